@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from answerlog import schema
 from answerlog.functions.scalars import parse_sources
@@ -17,7 +18,8 @@ def scan_results(
 
     ``start`` and ``end`` are dates; they prune the daily partitions.
     """
-    table = spark.read.schema(schema.RESULTS.add("dt", "date")).parquet(path)
+    stored = T.StructType([*schema.RESULTS.fields, T.StructField("dt", T.DateType())])
+    table = spark.read.schema(stored).parquet(path)
     if start:
         table = table.filter(F.col("dt") >= F.lit(start).cast("date"))
     if end:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -19,6 +19,15 @@ STABLE_ROW = "entity_id long, stable boolean, stable_seq long, stable_length lon
 STABLE_STATE = "digest string, size long, run int, checks long, done boolean"
 
 
+def _event_time(timestamp: Column) -> Column:
+    """The wall-clock time as an instant in UTC, as watermarks need instants."""
+    return F.from_utc_timestamp(timestamp.cast("timestamp"), F.current_timezone())
+
+
+def _wall_clock(moment: Column) -> Column:
+    return F.to_utc_timestamp(moment, F.current_timezone()).cast("timestamp_ntz")
+
+
 def append_stream(runs: DataFrame, path: str, delay: str = "1 hour") -> DataStreamWriter:
     """Append arriving runs to the log, each id once within ``delay``.
 
@@ -29,7 +38,8 @@ def append_stream(runs: DataFrame, path: str, delay: str = "1 hour") -> DataStre
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    fresh = runs.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["id"])
+    timed = runs.withColumn("event_time", _event_time(F.col("timestamp")))
+    fresh = timed.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["id"])
     return fresh.select(*schema.RESULTS.names).writeStream.foreachBatch(write)
 
 
@@ -45,14 +55,15 @@ def trend_stream(
     if period == PERIODS[-1]:
         raise ValueError("a stream window needs a fixed length: hour, day or week")
     offset = "4 days" if period == "week" else None
-    slot = F.window("timestamp", f"1 {period}", startTime=offset)
-    value = metric_value(metric)
+    slot = F.window("event_time", f"1 {period}", startTime=offset)
     return (
-        runs.withWatermark("timestamp", delay)
-        .select("timestamp", value.alias("value"))
+        runs.select(
+            _event_time(F.col("timestamp")).alias("event_time"), metric_value(metric).alias("value")
+        )
+        .withWatermark("event_time", delay)
         .groupBy(slot.alias("slot"))
         .agg(F.count(F.lit(1)).alias("count"), F.avg("value").alias("value"))
-        .select(F.col("slot.start").alias("period_start"), "count", "value")
+        .select(_wall_clock(F.col("slot.start")).alias("period_start"), "count", "value")
     )
 
 
