@@ -9,6 +9,8 @@ from answerlog import schema
 
 # Characters that Markdown gives a meaning.
 MARKDOWN_SPECIAL = "\\*_`[]()#+-.!"
+# White space of the Unicode standard, as far as text functions strip it.
+WHITE_SPACE = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
 # How many characters a report shows of an answer.
 PREVIEW_CHARS = 500
 COMPARISON_CHARS = 300
@@ -28,7 +30,7 @@ EXCLUDED_URL_PARTS = [
 
 def strip(text: Column) -> Column:
     """Remove white space, line ends included, at both ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def answer_length(answer: Column) -> Column:
@@ -184,7 +186,7 @@ def web_url_count(links: Column) -> Column:
 
 def truncate_text(text: Column, chars: int = PREVIEW_CHARS) -> Column:
     """At most ``chars`` characters, then ``...``; white space before the dots goes."""
-    cut = F.regexp_replace(F.substring(text, 1, chars), r"\s+$", "")
+    cut = F.rtrim(F.substring(text, 1, chars), F.lit(WHITE_SPACE))
     return F.when(F.length(text) > chars, F.concat(cut, F.lit("..."))).otherwise(
         F.coalesce(text, F.lit(""))
     )

@@ -18,25 +18,32 @@ def _metric(metric: str) -> Column:
     return metric_value(metric)
 
 
-def quantiles(rows: DataFrame, value: str, percents: list[float]) -> DataFrame:
-    """Exact percentiles with linear interpolation, one row each: ``percentile, value``.
+def value_counts(rows: DataFrame, value: str) -> DataFrame:
+    """Known values in order and how often each occurs: ``value, times, place``, pinned.
 
-    Equal values are counted first. The counts are range-partitioned in value order and
-    pinned; the totals per partition (a few numbers) tell which partitions hold the wanted
-    ranks, and only those are ranked. No task sees more than one range of the values,
-    where Spark's own ``percentile`` merges all distinct values into one task.
+    The rows are read once; whatever is derived from the counts does not read them again.
+    The counts lie in value order over range partitions, and ``place`` holds the partition.
     """
-    spark = rows.sparkSession
     counted = (
         rows.select(F.col(value).cast("double").alias("value"))
         .filter(F.col("value").isNotNull())
         .groupBy("value")
         .agg(F.count(F.lit(1)).alias("times"))
-        .repartitionByRange("value")
-        .sortWithinPartitions("value")
-        .withColumn("place", F.monotonically_increasing_id())
     )
-    counted = pin(counted).withColumn("part", F.shiftrightunsigned("place", 33))
+    ordered = counted.repartitionByRange("value").sortWithinPartitions("value")
+    return pin(ordered.withColumn("place", F.monotonically_increasing_id()))
+
+
+def quantiles(counts: DataFrame, percents: list[float]) -> DataFrame:
+    """Exact percentiles with linear interpolation, one row each: ``percentile, value``.
+
+    ``counts`` comes from :func:`value_counts`. The totals per partition (a few numbers)
+    tell which partitions hold the wanted ranks, and only those are ranked. No task sees
+    more than one range of the values, where Spark's own ``percentile`` merges all distinct
+    values into one task.
+    """
+    spark = counts.sparkSession
+    counted = counts.withColumn("part", F.shiftrightunsigned("place", 33))
     sizes = counted.groupBy("part").agg(F.sum("times").alias("size")).orderBy("part").collect()
     total = sum(row["size"] for row in sizes)
     wanted, before = [], {}
@@ -93,7 +100,7 @@ def percentiles(
         return pairs.select(
             F.col("pair.p").alias("percentile"), F.col("pair.found").alias("value")
         ).filter(F.col("value").isNotNull())
-    return quantiles(rows, "value", percents).orderBy("percentile")
+    return quantiles(value_counts(rows, "value"), percents).orderBy("percentile")
 
 
 def outliers(
@@ -104,13 +111,14 @@ def outliers(
 ) -> DataFrame:
     """Runs further from the mean than ``deviations`` sample deviations.
 
-    The mean and the deviation are one-row subqueries, so the rows are never shuffled.
+    Mean and deviation are a one-row subquery, so the rows are never shuffled.
     """
     value = _metric(metric)
     rows = results.filter(P.equals_model(model) & value.isNotNull())
-    mean = rows.agg(F.avg(value)).scalar()
-    spread = rows.agg(F.coalesce(F.stddev_samp(value), F.lit(0.0))).scalar()
-    return rows.filter((spread > 0) & (F.abs(value - mean) > F.lit(deviations) * spread))
+    spread = F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("spread")
+    stats = rows.agg(F.struct(F.avg(value).alias("mean"), spread)).scalar()
+    far = F.abs(value - stats["mean"]) > F.lit(deviations) * stats["spread"]
+    return rows.filter((stats["spread"] > 0) & far)
 
 
 def histogram(
@@ -127,9 +135,12 @@ def histogram(
         raise ValueError("bins must be at least 1")
     values = (
         results.filter(P.equals_model(model))
-        .select(_metric(metric).alias("value"))
+        .select(_metric(metric).alias("value"), F.lit(1).alias("times"))
         .filter(F.col("value").isNotNull())
     )
+    if metric != "execution_time":
+        # Few distinct values: both passes below read the shuffled counts, not the texts.
+        values = values.groupBy("value").agg(F.count(F.lit(1)).alias("times"))
     bounds = values.agg(F.min("value").alias("low"), F.max("value").alias("high")).filter(
         F.col("low").isNotNull()
     )
@@ -148,7 +159,7 @@ def histogram(
     counts = (
         values.withColumns({"low": low, "high": high})
         .groupBy(F.coalesce(place, F.lit(0)).cast("int").alias("bin"))
-        .agg(F.count(F.lit(1)).alias("count"))
+        .agg(F.sum("times").alias("count"))
     )
     last = F.when(F.col("high") > F.col("low"), F.lit(bins - 1)).otherwise(F.lit(0))
     frame = bounds.withColumn("width", width).withColumn(

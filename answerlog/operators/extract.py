@@ -42,29 +42,34 @@ NO_ANSWER = "No answer text extracted"
 ALL_FAILED = "All extraction strategies failed"
 
 
-def answer_between_markers(text: Column) -> Column:
-    """Text between the first start marker found and the nearest end marker, '' if none.
+def with_marked_answer(pages: DataFrame, name: str = "answer") -> DataFrame:
+    """Add the text between the first start marker found and the nearest end marker, else ''.
 
-    Start markers are tried in order; a marker at the very beginning does not count.
+    Start markers are tried in order; a marker at the very beginning does not count. The
+    steps are columns of their own, so a text is folded and searched once per marker.
     """
-    folded = F.lower(text)
-    start = F.coalesce(
-        *[
-            F.when(F.locate(marker, folded) > 1, F.locate(marker, folded) + len(marker))
-            for marker in START_MARKERS
-        ],
-        F.lit(0),
-    )
+    text, folded = F.col("full_text"), F.col("_folded")
     # Positions count from 1; start is the first character after the marker.
-    ends = []
-    for marker in END_MARKERS:
-        place = F.position(F.lit(marker), folded, start)
-        ends.append(F.when(place > 1, place))
-    end = F.least(F.length(text) + 1, *ends)
-    body = strip(F.substr(text, start, end - start))
+    found = {f"_start{i}": F.locate(marker, folded) for i, marker in enumerate(START_MARKERS)}
+    starts = [
+        F.when(F.col(column) > 1, F.col(column) + len(marker))
+        for column, marker in zip(found, START_MARKERS)
+    ]
+    start = F.coalesce(*starts, F.lit(0))
+    places = [F.position(F.lit(marker), folded, F.col("_from")) for marker in END_MARKERS]
+    end = F.least(F.length(text) + 1, *[F.when(place > 1, place) for place in places])
+    body = strip(F.substr(text, F.col("_from"), F.col("_to") - F.col("_from")))
     for phrase in UI_PHRASES:
         body = F.replace(body, F.lit(phrase), F.lit(""))
-    return F.when((start > 0) & (start < end), strip(body)).otherwise(F.lit(""))
+    inside = (F.col("_from") > 0) & (F.col("_from") < F.col("_to"))
+    return (
+        pages.withColumn("_folded", F.lower(text))
+        .withColumns(found)
+        .withColumn("_from", start)
+        .withColumn("_to", end)
+        .withColumn(name, F.coalesce(F.when(inside, strip(body)), F.lit("")))
+        .drop("_folded", "_from", "_to", *found)
+    )
 
 
 def answer_clean_lines(text: Column) -> Column:
@@ -106,12 +111,14 @@ def extract_answers(pages: DataFrame) -> DataFrame:
     ``pages`` has ``page_id, full_text`` and optionally ``html``. Adds ``success``,
     ``answer_text``, ``strategy_used`` and ``error``.
     """
-    marked = F.coalesce(answer_between_markers(F.col("full_text")), F.lit(""))
     clean = F.coalesce(answer_clean_lines(F.col("full_text")), F.lit(""))
     boxed = answer_container(F.col("html")) if "html" in pages.columns else F.lit("")
-    tried = pages.withColumns(
-        {"_marked": marked, "_clean": clean, "_boxed": F.coalesce(boxed, F.lit(""))}
-    )
+    marked = with_marked_answer(pages, "_marked")
+    # Later strategies are only computed for pages on which the earlier ones found nothing.
+    nothing = (F.col("_marked") == "") & (F.col("_clean") == "")
+    tried = marked.withColumn(
+        "_clean", F.when(F.col("_marked") == "", clean).otherwise(F.lit(""))
+    ).withColumn("_boxed", F.when(nothing, boxed).otherwise(F.lit("")))
     strategy = (
         F.when(F.col("_marked") != "", MARKERS)
         .when(F.col("_clean") != "", CLEAN)

@@ -13,7 +13,7 @@ from answerlog.functions.scalars import (
     source_count,
     success_number,
 )
-from answerlog.operators.distribution import quantiles
+from answerlog.operators.distribution import quantiles, value_counts
 
 TIME = "execution_time_seconds"
 
@@ -48,19 +48,25 @@ def _zero_filled_mean(value: Column) -> Column:
 
 
 def _six_numbers(rows: DataFrame, value: Column, total: str) -> DataFrame:
-    """Mean, median, sample deviation, minimum, maximum and count of the known values."""
-    values = rows.select(value.alias("value")).filter(F.col("value").isNotNull())
-    median = quantiles(values, "value", [50]).select("value").scalar()
+    """Mean, median, sample deviation, minimum, maximum and count of the known values.
+
+    All six come from the counted values, so the log is read once.
+    """
+    counts = value_counts(rows.select(value.alias("value")), "value")
+    number, times = F.col("value"), F.col("times")
+    mean = counts.agg(F.sum(number * times) / F.sum(times)).scalar()
+    median = quantiles(counts, [50]).select("value").scalar()
+    squares = F.sum(times * (number - mean) * (number - mean))
+    deviation = F.try_divide(squares, (F.sum(times) - 1).cast("double"))
     return (
-        values.agg(
-            F.avg("value").alias("mean"),
-            F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std_dev"),
+        counts.agg(
+            F.sqrt(F.coalesce(deviation, F.lit(0.0))).alias("std_dev"),
             F.min("value").alias("min"),
             F.max("value").alias("max"),
-            F.count("value").alias(total),
+            F.coalesce(F.sum("times"), F.lit(0)).alias(total),
         )
         .filter(F.col(total) > 0)
-        .select("mean", median.alias("median"), "std_dev", "min", "max", total)
+        .select(mean.alias("mean"), median.alias("median"), "std_dev", "min", "max", total)
     )
 
 

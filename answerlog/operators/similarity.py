@@ -27,6 +27,7 @@ EPS = 1e-9
 HOT = 1000
 MAX_DEPTH = 3
 SPREAD = 64
+IN_ONE_TASK = 1_000_000
 FIRST_ROLE, SECOND_ROLE = 1, 2
 
 
@@ -253,30 +254,44 @@ def _similar_pairs(signatures: DataFrame, end: int, total: int, measure) -> Data
     return measure.verified(named)
 
 
-def _leaders(edges: DataFrame) -> DataFrame:
-    """Prompts of the prefix that belong to no leader: ``x`` and its number of pairs ``count``.
+def _members_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Members among pairs that come in the order of ``y``: some smaller ``x`` is none itself."""
+    members: set[int] = set()
+    for batch in batches:
+        for x, y in zip(batch["x"].tolist(), batch["y"].tolist()):
+            if x not in members:
+                members.add(y)
+    yield pd.DataFrame({"y": sorted(members)}, dtype="int64")
+
+
+def _members(pairs: DataFrame, in_one_task: int) -> DataFrame:
+    """Prompts ``y`` of the prefix that belong to some leader.
 
     A prompt whose smaller neighbours are all settled as members leads; its neighbours are
-    members; pairs of members settle nothing and go. Repeated until no pair is open.
+    members; pairs of members settle nothing and go. This is repeated while more than
+    ``in_one_task`` pairs are open; so few are settled by one task in a single pass.
     """
-    members = edges.sparkSession.createDataFrame([], "y long")
-    open_pairs = edges.select("x", "y")
-    while not open_pairs.isEmpty():
+    found = []
+    open_pairs = pairs.select("x", "y")
+    while open_pairs.count() > in_one_task:
         waiting = open_pairs.select("y").distinct()
-        leading = open_pairs.groupBy("x").agg(F.count(F.lit(1)).alias("count"))
-        leading = leading.join(waiting, leading["x"] == waiting["y"], "left_anti")
-        found = pin(join_groups(open_pairs, leading, ["x"]).select("y").distinct())
         degrees = open_pairs.groupBy("x").agg(F.count(F.lit(1)).alias("count"))
-        staying = degrees.join(found, degrees["x"] == found["y"], "left_anti")
-        staying = staying.join(leading.select("x"), "x", "left_anti")
+        leading = degrees.join(waiting, degrees["x"] == waiting["y"], "left_anti")
+        settled = pin(join_groups(open_pairs, leading, ["x"]).select("y").distinct())
+        found.append(settled)
+        staying = degrees.join(waiting, degrees["x"] == waiting["y"], "left_semi")
+        staying = staying.join(settled, staying["x"] == settled["y"], "left_anti")
         rest = join_groups(open_pairs, staying, ["x"]).select("x", "y")
-        open_pairs = pin(rest.join(found, "y", "left_anti"))
-        members = members.unionByName(found)
-    return pin(members.distinct())
+        open_pairs = pin(rest.join(settled, "y", "left_anti"))
+    in_order = open_pairs.repartition(1).sortWithinPartitions("y", "x")
+    members = in_order.mapInPandas(_members_in_order, "y long")
+    for settled in found:
+        members = members.unionByName(settled)
+    return pin(members)
 
 
 def _settle(
-    signatures: DataFrame, last: int, measure, budget: int | None
+    signatures: DataFrame, last: int, measure, budget: int | None, in_one_task: int
 ) -> Iterator[DataFrame]:
     """Rounds of the greedy grouping; each gives ``y`` with its leader ``x`` and the score."""
     first = 0
@@ -286,7 +301,7 @@ def _settle(
             return
         end = _prefix_end(signatures, first, last, budget or max(20 * total, 5_000_000))
         edges = pin(_similar_pairs(signatures, end, total, measure))
-        members = _leaders(edges.filter(F.col("y") < end))
+        members = _members(edges.filter(F.col("y") < end), in_one_task)
         degrees = edges.groupBy("x").agg(F.count(F.lit(1)).alias("count"))
         leading = degrees.join(members, degrees["x"] == members["y"], "left_anti")
         best = F.min(F.struct("x", "score"))
@@ -305,18 +320,23 @@ def _settle(
 
 
 def leader_pairs(
-    texts: DataFrame, measure, hot: int = HOT, budget: int | None = None
+    texts: DataFrame,
+    measure,
+    hot: int = HOT,
+    budget: int | None = None,
+    in_one_task: int = IN_ONE_TASK,
 ) -> DataFrame:
     """Members and their leaders among distinct ``text`` rows ordered by ``name``.
 
     Returns ``leader, member, score``, the texts' names. ``hot`` is the number of rows above
-    which a signature is refined, ``budget`` bounds the candidates of one round.
+    which a signature is refined, ``budget`` bounds the candidates of one round and
+    ``in_one_task`` the pairs that one task may settle.
     """
     nodes = pin(with_dense_index(texts.select("text", "name"), [F.col("name")], "idx"))
     last = (nodes.agg(F.max("idx")).first()[0] or 0) if not nodes.isEmpty() else 0
     signatures = _signatures(nodes.select("idx", "text"), measure, hot)
     found = nodes.sparkSession.createDataFrame([], "y long, x long, score double")
-    for settled in _settle(signatures, last, measure, budget):
+    for settled in _settle(signatures, last, measure, budget, in_one_task):
         found = found.unionByName(settled)
     names = nodes.select("idx", "name")
     sized = names.join(
@@ -324,16 +344,19 @@ def leader_pairs(
     )
     leaders = sized.select(F.col("idx").alias("x"), F.col("name").alias("leader"), "count")
     named = join_groups(found, leaders, ["x"])
-    return named.join(names, named["y"] == names["idx"]).select(
-        "leader", F.col("name").alias("member"), "score"
-    )
+    pairs = named.join(names, named["y"] == names["idx"])
+    return pin(pairs.select("leader", F.col("name").alias("member"), "score"))
 
 
 # -- operators -------------------------------------------------------------------------
 
 
 def similar_queries(
-    results: DataFrame, threshold: float = 0.8, hot: int = HOT, budget: int | None = None
+    results: DataFrame,
+    threshold: float = 0.8,
+    hot: int = HOT,
+    budget: int | None = None,
+    in_one_task: int = IN_ONE_TASK,
 ) -> DataFrame:
     """Prompts listed with the leader they resemble: ``query_text, similar_query, similarity``.
 
@@ -346,7 +369,7 @@ def similar_queries(
     folded = pin(
         queries.groupBy("text").agg(F.min("query").alias("name"), F.count(F.lit(1)).alias("count"))
     )
-    pairs = leader_pairs(folded, Positional(threshold), hot, budget)
+    pairs = leader_pairs(folded, Positional(threshold), hot, budget, in_one_task)
     found = folded.join(pairs, folded["name"] == pairs["member"], "left").select(
         "text",
         "count",
@@ -360,13 +383,17 @@ def similar_queries(
 
 
 def fuzzy_groups(
-    results: DataFrame, threshold: float = 0.8, hot: int = HOT, budget: int | None = None
+    results: DataFrame,
+    threshold: float = 0.8,
+    hot: int = HOT,
+    budget: int | None = None,
+    in_one_task: int = IN_ONE_TASK,
 ) -> DataFrame:
     """Groups of similar prompts, one row per member: ``query_text, count, similar_query``.
 
     ``count`` includes the leader.
     """
-    pairs = pin(similar_queries(results, threshold, hot, budget))
+    pairs = pin(similar_queries(results, threshold, hot, budget, in_one_task))
     sizes = pairs.groupBy("query_text").agg(F.count(F.lit(1)).alias("members"))
     return join_groups(pairs, sizes, ["query_text"], "members").select(
         "query_text", (F.col("members") + 1).alias("count"), "similar_query"
@@ -374,12 +401,16 @@ def fuzzy_groups(
 
 
 def sequence_similar(
-    results: DataFrame, threshold: float = 0.9, hot: int = HOT, budget: int | None = None
+    results: DataFrame,
+    threshold: float = 0.9,
+    hot: int = HOT,
+    budget: int | None = None,
+    in_one_task: int = IN_ONE_TASK,
 ) -> DataFrame:
     """Prompts with a difflib ratio of at least ``threshold`` to their leader, case counts."""
     queries = results.select("query").distinct()
     texts = queries.select(F.col("query").alias("text"), F.col("query").alias("name"))
-    return leader_pairs(texts, Sequence(threshold), hot, budget).select(
+    return leader_pairs(texts, Sequence(threshold), hot, budget, in_one_task).select(
         F.col("leader").alias("query_text"),
         F.col("member").alias("similar_query"),
         F.col("score").alias("similarity"),

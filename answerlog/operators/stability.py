@@ -47,15 +47,19 @@ def content_stability(
         .withColumn("stable", run == threshold)
         .filter(F.col("chunk") == F.col("own"))
     )
-    first = F.min(F.when(F.col("stable"), F.struct("seq", "size")))
+    found = F.when(F.col("stable"), F.col("seq"))
     return (
         marked.groupBy("entity_id")
-        .agg(F.count(F.lit(1)).alias("checks"), first.alias("first"))
+        .agg(
+            F.count(F.lit(1)).alias("checks"),
+            F.min(found).alias("stable_seq"),
+            F.min_by(F.col("size").cast("long"), found).alias("stable_length"),
+        )
         .select(
             "entity_id",
             "checks",
-            F.col("first").isNotNull().alias("stable"),
-            F.col("first.seq").alias("stable_seq"),
-            F.col("first.size").cast("long").alias("stable_length"),
+            F.col("stable_seq").isNotNull().alias("stable"),
+            "stable_seq",
+            "stable_length",
         )
     )

@@ -62,8 +62,8 @@ def results_append(spark, sf_dir):
     """Two batches appended one after the other, then read back."""
     path = new_folder(spark, "append")
     old, new = retention.archive_split(runs(spark, sf_dir), SPLIT)
-    results.append_results(spark, old, path, [F.col("timestamp")])
-    results.append_results(spark, new, path, [F.col("timestamp")])
+    for batch in (old, new):
+        results.append_results(spark, batch, path)
     return results.scan_results(spark, path).select(
         "id", "query", "model", S.show_time(F.col("timestamp")).alias("timestamp"), "success"
     )
@@ -190,7 +190,7 @@ def _end_sql() -> str:
 
 
 def _strip_sql(text: str) -> str:
-    return rf"regexp_replace({text}, '^\s+|\s+$', '', 'g')"
+    return f"trim({text}, '{S.WHITE_SPACE}')"
 
 
 def _marked_sql() -> str:
@@ -223,8 +223,7 @@ EXTRACT_SQL = f""", placed AS (SELECT *, {_start_sql()} AS s FROM page_text),
     f"{EXTRACT_SQL} SELECT page_id, marked AS answer FROM tried",
 )
 def extract_answer_markers(spark, sf_dir):
-    answer = extract.answer_between_markers(F.col("full_text"))
-    return testdata.page_text(spark, sf_dir).select("page_id", answer.alias("answer"))
+    return extract.with_marked_answer(testdata.page_text(spark, sf_dir)).select("page_id", "answer")
 
 
 @query(
@@ -543,7 +542,7 @@ LINKS_SQL = f"""array_to_string(list_transform(range(1, source_count + 1), lambd
       '- **Execution Time**: ' || format('{{:.1f}}', coalesce(execution_time_seconds, 0)) || 's'
       || {NL} || '- **Success**: ' || CASE WHEN success THEN '✓' ELSE '✗' END || {NL} || {NL} ||
       '**Answer**:' || {NL} || {NL} || CASE WHEN length(answer_text) > 500 THEN
-        regexp_replace(substring(answer_text, 1, 500), '\s+$', '') || '...'
+        rtrim(substring(answer_text, 1, 500), '{S.WHITE_SPACE}') || '...'
         ELSE coalesce(answer_text, '') END || {NL} || {NL} ||
       CASE WHEN source_count > 0 THEN '**Sources**:' || {NL} || {NL} || {LINKS_SQL} || {NL} || {NL}
         ELSE '' END || '---' || {NL} AS block FROM counted""",

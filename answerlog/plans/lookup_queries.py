@@ -340,8 +340,8 @@ def is_excluded_url(spark, sf_dir):
 @query(
     "truncate_text",
     "",
-    r"SELECT doc_id, CASE WHEN length(text) > 500 THEN regexp_replace(substring(text, 1, 500), "
-    r"'\s+$', '') || '...' ELSE text END AS shown FROM documents",
+    "SELECT doc_id, CASE WHEN length(text) > 500 THEN rtrim(substring(text, 1, 500), "
+    f"'{S.WHITE_SPACE}') || '...' ELSE text END AS shown FROM documents",
 )
 def truncate_text(spark, sf_dir):
     documents = testdata.table(spark, sf_dir, "documents")

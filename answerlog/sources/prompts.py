@@ -85,14 +85,17 @@ def validate_prompts(prompts: DataFrame, models: list[str] | None = None) -> Dat
         .when(kind("no_screenshot") != "BOOLEAN", "no_screenshot_not_boolean")
     )
     shot = F.try_variant_get(entry, "$.no_screenshot", "boolean")
-    checked = read.withColumn("error_code", code)
+    verdict = F.struct(
+        code.alias("error_code"),
+        _text(entry, "query").alias("query"),
+        _text(entry, "model").alias("model"),
+        shot.alias("no_screenshot"),
+    )
+    # A generator's output is computed once; a filter on the code does not repeat the checks.
+    checked = read.select(*prompts.columns, F.inline(F.array(verdict)))
     valid = F.col("error_code").isNull()
-    return checked.select(
-        *prompts.columns,
-        "error_code",
-        F.when(valid, _text(entry, "query")).alias("query"),
-        F.when(valid, _text(entry, "model")).alias("model"),
-        F.when(valid, shot).alias("no_screenshot"),
+    return checked.withColumns(
+        {name: F.when(valid, F.col(name)) for name in ("query", "model", "no_screenshot")}
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,26 +32,19 @@ def with_parsed_sources(results: DataFrame) -> DataFrame:
     return results.withColumn("sources", parse_sources(F.col("sources")))
 
 
-def append_results(
-    spark: SparkSession, batch: DataFrame, path: str, order: list[Column] | None = None
-) -> DataFrame:
+def append_results(spark: SparkSession, batch: DataFrame, path: str) -> DataFrame:
     """Add a batch of runs and return it with its new ids, which go on after the largest id.
 
-    ``order`` says which run of the batch comes first (its time unless given).
+    Runs are numbered in the order of their time. That order also keeps the runs of a day
+    together, so the daily partitions are written without another shuffle.
     """
+    order = [F.col(name) for name in ("timestamp", "query", "model", "execution_time_seconds")]
     batch = schema.conform(batch).drop("id")
-    numbered = with_dense_index(
-        batch, order or [F.col("timestamp"), F.col("query")], "id", _last_id(spark, path) + 1
-    )
-    numbered = numbered.select(*schema.RESULTS.names)
-    (
-        numbered.withColumn("dt", F.to_date("timestamp"))
-        .repartitionByRange("dt", "id")
-        .write.mode("append")
-        .partitionBy("dt")
-        .parquet(path)
-    )
-    return numbered
+    numbered = with_dense_index(batch, order, "id", _last_id(spark, path) + 1)
+    rows = numbered.select(*schema.RESULTS.names)
+    daily = rows.withColumn("dt", F.to_date("timestamp"))
+    daily.write.mode("append").partitionBy("dt").parquet(path)
+    return rows
 
 
 def _last_id(spark: SparkSession, path: str) -> int:
