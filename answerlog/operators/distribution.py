@@ -147,18 +147,15 @@ def histogram(
     width = (F.col("high") - F.col("low")) / F.lit(float(bins))
     guess = F.floor((F.col("value") - F.col("low")) / width)
     # Division and interval edges round differently; the edges decide.
-    place = F.when(
-        width > 0,
-        guess
-        + F.when(F.col("value") >= F.col("low") + (guess + 1) * width, 1)
-        .when(F.col("value") < F.col("low") + guess * width, -1)
-        .otherwise(0),
+    edge = F.when(F.col("value") >= F.col("low") + (guess + 1) * width, 1).when(
+        F.col("value") < F.col("low") + guess * width, -1
     )
-    place = F.least(place, F.lit(bins - 1))
+    inside = F.least(guess + F.coalesce(edge, F.lit(0)), F.lit(bins - 1))
+    place = F.when(width > 0, inside).otherwise(F.lit(0))
     low, high = bounds.select("low").scalar(), bounds.select("high").scalar()
     counts = (
         values.withColumns({"low": low, "high": high})
-        .groupBy(F.coalesce(place, F.lit(0)).cast("int").alias("bin"))
+        .groupBy(place.cast("int").alias("bin"))
         .agg(F.sum("times").alias("count"))
     )
     last = F.when(F.col("high") > F.col("low"), F.lit(bins - 1)).otherwise(F.lit(0))

@@ -100,7 +100,7 @@ def query_like(results: DataFrame, pattern: str, limit: int | None = None) -> Da
     return newest_first(_gathered(found, limit), limit)
 
 
-def advanced_filter(
+def advanced_matches(
     results: DataFrame,
     query_pattern: str | None = None,
     model: str | None = None,
@@ -112,26 +112,17 @@ def advanced_filter(
     min_length: int | None = None,
     max_length: int | None = None,
     sources: bool | None = None,
-    order_by: str = "timestamp",
-    descending: bool = True,
-    limit: int | None = None,
-    profile: str = "library",
     sources_mode: str | None = None,
+    profile: str = "library",
 ) -> DataFrame:
-    """All given conditions together, in a chosen order.
+    """Runs that meet all given conditions, in no order.
 
-    Profile ``library``: the pattern is used as it is, bounds are points in time and an
-    unknown order column means ``timestamp``. Profile ``report``: the pattern may match
-    anywhere, bounds are dates up to 23:59:59 and an unknown order column is an error.
+    Profile ``library``: the pattern is used as it is and bounds are points in time.
+    Profile ``report``: the pattern may match anywhere and bounds are dates up to 23:59:59.
     """
-    P.check_limit(limit)
     if profile not in ("library", "report"):
         raise ValueError(f"unknown profile {profile!r}")
     report = profile == "report"
-    if order_by not in ORDER_COLUMNS:
-        if report:
-            raise ValueError(f"order_by must be one of {ORDER_COLUMNS}, got {order_by!r}")
-        order_by = "timestamp"
     conditions = [
         P.equals_model(model),
         P.time_window(F.col("timestamp"), start, end, "end_of_day" if report else "instant"),
@@ -143,14 +134,33 @@ def advanced_filter(
         conditions.append(P.like_pattern(F.col("query"), pattern))
     if success is not None:
         conditions.append(F.col("success") == F.lit(success))
-    if sources is not None:
+    if sources or (sources is False and not report):
         mode = sources_mode or ("not_blank" if report else "not_empty_list")
         cited = P.has_sources(F.col("sources"), mode)
-        if sources or not report:
-            conditions.append(cited if sources else ~cited)
-    kept = results.filter(P.all_of(conditions))
+        conditions.append(cited if sources else ~cited)
+    return results.filter(P.all_of(conditions))
+
+
+def advanced_filter(
+    results: DataFrame,
+    order_by: str = "timestamp",
+    descending: bool = True,
+    limit: int | None = None,
+    profile: str = "library",
+    **conditions,
+) -> DataFrame:
+    """The matches of :func:`advanced_matches` in a chosen order.
+
+    An unknown order column means ``timestamp``; in the ``report`` profile it is an error.
+    """
+    P.check_limit(limit)
+    if order_by not in ORDER_COLUMNS:
+        if profile == "report":
+            raise ValueError(f"order_by must be one of {ORDER_COLUMNS}, got {order_by!r}")
+        order_by = "timestamp"
     direction = F.desc if descending else F.asc
-    ordered = kept.orderBy(direction(order_by), direction("id"))
+    matches = advanced_matches(results, profile=profile, **conditions)
+    ordered = matches.orderBy(direction(order_by), direction("id"))
     return ordered if limit is None else ordered.limit(limit)
 
 
@@ -165,8 +175,8 @@ EXPORT_FILTERS = (
 )
 
 
-def export_filter(results: DataFrame, filters: dict | None = None) -> tuple[DataFrame, int]:
-    """Rows for an export, newest first, and how many filters were applied (both dates are one).
+def export_matches(results: DataFrame, filters: dict | None = None) -> tuple[DataFrame, int]:
+    """Rows for an export and how many filters were applied (both dates are one).
 
     The prompt pattern is a plain substring; a missing latency counts as 0.
     """
@@ -189,7 +199,13 @@ def export_filter(results: DataFrame, filters: dict | None = None) -> tuple[Data
     start, end = filters.get("start_date"), filters.get("end_date")
     if start or end:
         conditions.append(P.time_window(F.col("timestamp"), start, end, "date"))
-    return newest_first(results.filter(P.all_of(conditions))), len(conditions)
+    return results.filter(P.all_of(conditions)), len(conditions)
+
+
+def export_filter(results: DataFrame, filters: dict | None = None) -> tuple[DataFrame, int]:
+    """The rows of :func:`export_matches`, newest first, and the number of filters."""
+    matches, applied = export_matches(results, filters)
+    return newest_first(matches), applied
 
 
 def export_selection(

@@ -196,7 +196,6 @@ def _signatures(nodes: DataFrame, measure, hot: int) -> DataFrame:
     rows, kept = measure.start(nodes), []
     depth = MAX_DEPTH if isinstance(measure, Positional) else 2
     for level in range(1, depth + 1):
-        rows = pin(rows)
         groups = rows.groupBy("sig").agg(
             F.count(F.lit(1)).alias("size"), F.min("idx").alias("low"), F.max("idx").alias("high")
         )

@@ -7,6 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from answerlog.functions import predicates as P
 from answerlog.functions.scalars import (
     answer_length,
     export_key,
@@ -90,8 +91,9 @@ def export_csv(
 ) -> DataFrame:
     """Filtered runs as CSV, newest first; an empty selection is an error."""
     check_output(path, ".csv")
-    rows, applied = lookups.export_filter(results, filters)
-    _require_rows(rows)
+    matches, applied = lookups.export_matches(results, filters)
+    _require_rows(matches)
+    rows = lookups.newest_first(matches)
     return _written(csv_rows(rows, include_sources), path, lambda r: _write_csv(r, path), applied)
 
 
@@ -111,12 +113,16 @@ def csv_report_rows(results: DataFrame, include_sources: bool = False) -> DataFr
 
 
 def export_csv_report(
-    results: DataFrame, path: str, include_sources: bool = False, **conditions
+    results: DataFrame,
+    path: str,
+    include_sources: bool = False,
+    limit: int | None = None,
+    **conditions,
 ) -> DataFrame:
-    """The short CSV report of an advanced filter."""
+    """The short CSV report of an advanced filter, newest first."""
     check_output(path)
-    rows = lookups.advanced_filter(results, profile="report", **conditions)
-    _require_rows(rows)
+    _require_rows(lookups.advanced_matches(results, profile="report", **conditions))
+    rows = lookups.advanced_filter(results, limit=limit, profile="report", **conditions)
     short = csv_report_rows(rows, include_sources)
     return _written(short, path, lambda r: _write_csv(r, path))
 
@@ -130,8 +136,9 @@ def export_json(
 ) -> DataFrame:
     """Whole runs with parsed links as JSON lines."""
     check_output(path)
+    chosen = F.col("query") == F.lit(query) if query else P.equals_model(model)
+    _require_rows(results.filter(chosen & P.equals_model(model)))
     rows = with_parsed_sources(lookups.export_selection(results, query, model, limit))
-    _require_rows(rows)
     return _written(rows, path, lambda r: r.write.mode("errorifexists").json(path))
 
 
@@ -157,7 +164,7 @@ def export_markdown(
 ) -> DataFrame:
     """Filtered runs as Markdown blocks, newest first, after a heading with the total."""
     check_output(path, ".md")
-    rows, applied = lookups.export_filter(results, filters)
+    rows, applied = lookups.export_matches(results, filters)
     _require_rows(rows)
     now = F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
     heading = rows.agg(F.count(F.lit(1)).alias("total")).select(
@@ -183,15 +190,17 @@ def export_markdown(
 
 
 def export_markdown_report(
-    results: DataFrame, path: str, full: bool = False, **conditions
+    results: DataFrame, path: str, full: bool = False, limit: int | None = None, **conditions
 ) -> DataFrame:
     """Numbered sections of an advanced filter, newest first."""
     check_output(path)
-    rows = lookups.advanced_filter(results, profile="report", **conditions)
+    rows = lookups.advanced_matches(results, profile="report", **conditions)
+    _require_rows(rows)
+    if limit is not None:
+        rows = lookups.newest_first(rows, limit)
     order = [F.desc("timestamp"), F.desc("id")]
     numbered = with_parsed_sources(with_dense_index(rows, order, "number", 1))
     sections = numbered.orderBy("number").select(reports.report_block(full).alias("value"))
-    _require_rows(sections)
     return _written(sections, path, lambda r: r.write.mode("errorifexists").text(path))
 
 
@@ -257,15 +266,13 @@ def export_groups(grouped: DataFrame, path: str, format: str = "json") -> DataFr
 def manifest(grouped: DataFrame, path: str) -> DataFrame:
     """Counts per group next to the files that were written for it."""
     spark = grouped.sparkSession
-    listing = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(path)
-        .select("path", "length")
+    # The group is a column of the path; given as text it is not guessed to be a date.
+    listing = spark.read.format("binaryFile").schema(
+        "path string, modificationTime timestamp, length long, content binary, group_key string"
     )
-    key = F.url_decode(F.url_decode(F.regexp_extract("path", "group_key=([^/]*)/", 1)))
     files = (
-        listing.groupBy(key.alias("group_key"))
+        listing.load(path)
+        .groupBy("group_key")
         .agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
     )
     return group_counts(grouped).join(files, "group_key", "left").orderBy("group_key")
