@@ -47,8 +47,18 @@ def parse_date(text: str) -> datetime | None:
         return None
 
 
+def instant(value: str | datetime) -> Column:
+    """A point in time from ISO text or a datetime; the zone is left aside."""
+    if isinstance(value, str):
+        value = datetime.fromisoformat(value)
+    return F.lit(str(value.replace(tzinfo=None))).cast("timestamp_ntz")
+
+
 def time_window(
-    timestamp: Column, start: str | None = None, end: str | None = None, end_mode: str = "instant"
+    timestamp: Column,
+    start: str | datetime | None = None,
+    end: str | datetime | None = None,
+    end_mode: str = "instant",
 ) -> Column:
     """Inclusive time range; an empty bound is no bound.
 
@@ -57,14 +67,13 @@ def time_window(
     ``date``: bounds are dates compared with the calendar date; rows without time stay.
     """
     if end_mode == "instant":
-        low = timestamp >= F.lit(start).cast("timestamp_ntz") if start else None
-        high = timestamp <= F.lit(end).cast("timestamp_ntz") if end else None
+        low = timestamp >= instant(start) if start else None
+        high = timestamp <= instant(end) if end else None
         return all_of([low, high])
     if end_mode == "end_of_day":
         first, last = parse_date(start or ""), parse_date(end or "")
-        low = timestamp >= F.lit(str(first)).cast("timestamp_ntz") if first else None
-        bound = last.replace(hour=23, minute=59, second=59) if last else None
-        high = timestamp <= F.lit(str(bound)).cast("timestamp_ntz") if bound else None
+        low = timestamp >= instant(first) if first else None
+        high = timestamp <= instant(last.replace(hour=23, minute=59, second=59)) if last else None
         return all_of([low, high])
     if end_mode == "date":
         for text in (start, end):

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answerlog.functions.scalars import positional_similarity
+from answerlog.operators.dedup import duplicate_queries
 from answerlog.session import join_groups, pin, with_dense_index
 
 EPS = 1e-9
@@ -361,9 +362,19 @@ def similar_queries(
 
     Similarity counts equal characters at equal places and ignores case.
     """
-    if not 0.0 < threshold < 1.0:
-        raise ValueError("threshold must lie between 0 and 1, both excluded")
+    if not 0.0 <= threshold < 1.0:
+        raise ValueError("threshold must be at least 0 and below 1")
     queries = results.select("query").distinct().withColumn("text", F.lower("query"))
+    if threshold == 0.0:
+        # Everything resembles the first prompt.
+        first = queries.agg(F.min("query")).scalar()
+        score = positional_similarity(F.lower(first), F.col("text"))
+        rest = queries.filter(F.col("query") != first)
+        return rest.select(
+            first.alias("query_text"),
+            F.col("query").alias("similar_query"),
+            score.alias("similarity"),
+        )
     # Prompts that differ in case only have the same neighbours; the first one stands for all.
     folded = pin(
         queries.groupBy("text").agg(F.min("query").alias("name"), F.count(F.lit(1)).alias("count"))
@@ -390,8 +401,11 @@ def fuzzy_groups(
 ) -> DataFrame:
     """Groups of similar prompts, one row per member: ``query_text, count, similar_query``.
 
-    ``count`` includes the leader.
+    ``count`` includes the leader. A threshold of 1 means equal prompts: one row per prompt
+    with several runs, their number, and no similar prompt.
     """
+    if threshold == 1.0:
+        return duplicate_queries(results).withColumn("similar_query", F.lit(None).cast("string"))
     pairs = pin(similar_queries(results, threshold, hot, budget, in_one_task))
     sizes = pairs.groupBy("query_text").agg(F.count(F.lit(1)).alias("members"))
     return join_groups(pairs, sizes, ["query_text"], "members").select(

@@ -11,7 +11,7 @@ from answerlog.operators.aliases import MODEL_ALIASES, resolve_model
 from answerlog.plans.base import ROW_COLUMNS, query, shown
 from answerlog.plans.lookup_queries import KEY_SQL, PROMPT, runs
 from answerlog.plans.summary_queries import full
-from answerlog.session import new_folder
+from answerlog.session import new_folder, with_dense_index
 from answerlog.sinks import exports, reports
 from answerlog.sources import prompts, results, testdata
 from answerlog.streaming import jobs
@@ -311,8 +311,8 @@ def _harvest_sql(threshold: int, cap: int) -> str:
         OR (tier = 3 AND n1 < {threshold} AND n2 < {threshold}))
       SELECT result_id, url, text, regexp_replace(regexp_extract(url,
         '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1), '^www\\.', '') AS domain,
-        citation_number FROM (SELECT *, row_number() OVER (PARTITION BY result_id
-        ORDER BY tier, position) AS citation_number FROM used) WHERE citation_number <= {cap}"""
+        citation_number FROM (SELECT *, CAST(row_number() OVER (PARTITION BY result_id
+        ORDER BY tier, position) AS INT) AS citation_number FROM used) WHERE citation_number <= {cap}"""
 
 
 def _harvest(spark, sf_dir, threshold, cap):
@@ -573,12 +573,29 @@ def render_markdown(spark, sf_dir):
 )
 def export_md_cli(spark, sf_dir):
     order = [F.desc("timestamp"), F.desc("id")]
-    numbered = exports.with_dense_index(full(spark, sf_dir), order, "number", 1)
+    numbered = with_dense_index(full(spark, sf_dir), order, "number", 1)
     parsed = results.with_parsed_sources(numbered)
     return parsed.select("number", reports.report_block().alias("section"))
 
 
-@query("print_result")
+@query(
+    "print_result",
+    "counted",
+    f"""SELECT id, repeat('=', 80) || {NL} || 'ID: ' || CAST(id AS VARCHAR) || {NL} || 'Query: ' ||
+      query || {NL} || 'Model: ' || coalesce(nullif(model, ''), 'default') || {NL} ||
+      'Timestamp: ' || strftime("timestamp", '%Y-%m-%d %H:%M:%S') || {NL} || 'Execution Time: ' ||
+      format('{{:.2f}}', coalesce(execution_time_seconds, 0)) || 's' || {NL} || 'Success: ' ||
+      CASE WHEN success THEN '✓' ELSE '✗' || {NL} || 'Error: ' || error_message END || {NL} ||
+      {NL} || 'Answer (' || CAST(coalesce(length(answer_text), 0) AS VARCHAR) || ' chars):' ||
+      {NL} || repeat('-', 80) || {NL} || CASE WHEN length(answer_text) > 500 THEN
+        substring(answer_text, 1, 500) || '...' ELSE coalesce(answer_text, '') END ||
+      CASE WHEN source_count > 0 THEN {NL} || {NL} || 'Sources (' ||
+        CAST(source_count AS VARCHAR) || '):' || {NL} || repeat('-', 80) || {NL} ||
+        array_to_string(list_transform(range(1, source_count + 1), lambda i: CAST(i AS VARCHAR) ||
+          CASE WHEN i = source_count THEN '. t [ex.org]' || {NL} || '   https://ex.org/b'
+          ELSE '. s [ex.org]' || {NL} || '   https://ex.org/a' END || {NL}), {NL})
+        ELSE '' END AS text FROM counted""",
+)
 def print_result(spark, sf_dir):
     parsed = results.with_parsed_sources(full(spark, sf_dir))
     return parsed.select("id", reports.display_text().alias("text"))

@@ -21,7 +21,7 @@ def full(spark, sf_dir):
 def six_sql(value: str, total: str, where: str = "true") -> str:
     return f"""SELECT round(avg(v), 6) AS mean, round(median(v), 6) AS median,
         round(stddev_samp(v), 6) AS std_dev, min(v) AS min, max(v) AS max, count(v) AS {total}
-        FROM (SELECT {value} AS v FROM counted WHERE {where})"""
+        FROM (SELECT CAST({value} AS DOUBLE) AS v FROM counted WHERE {where})"""
 
 
 @query("execution_time_stats", "counted", six_sql(TIME, "total_queries"))

@@ -38,6 +38,8 @@ def table(columns: list[str], rows) -> list[tuple]:
 def difference(spark, connection, name, query, sql, sf_dir) -> str | None:
     """None if both give the same table, else what differs."""
     frame = query(spark, sf_dir)
+    if "CartesianProduct" in frame._jdf.queryExecution().toString():
+        return f"{name}: compares all pairs"
     got = table(frame.columns, [tuple(row) for row in frame.collect()])
     answer = connection.sql(sql)
     want = table(answer.columns, answer.fetchall())

@@ -166,11 +166,15 @@ def test_template_cluster_gives_one_row_per_member(make_log):
 
 def test_similarity_arguments(diverse, empty_log):
     for call in (
-        lambda: similarity.similar_queries(diverse, 0.0),
+        lambda: similarity.similar_queries(diverse, -0.1),
         lambda: similarity.similar_queries(diverse, 1.0),
         lambda: similarity.sequence_similar(diverse, 0.5),
     ):
         with pytest.raises(ValueError):
             call()
+    everything = found_pairs(similarity.similar_queries(diverse, 0.0))
+    assert everything == greedy({f"prompt {i}" for i in range(7)}, positional, 0.0)
+    exact = rows_of(similarity.fuzzy_groups(diverse, 1.0))
+    assert len(exact) == 7 and {r["similar_query"] for r in exact} == {None}
     assert rows_of(similarity.similar_queries(empty_log)) == []
     assert rows_of(similarity.sequence_similar(empty_log)) == []

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,8 +49,10 @@ def test_date_ranges(log):
     assert ids(lookups.by_date_range(log, None, "2024-01-02", end_mode="end_of_day")) == [2, 1]
     assert ids(lookups.by_date_range(log, "2024-01-03", "2024-01-03", end_mode="date")) == [4, 3, 5]
     assert ids(lookups.by_date_range(log, "junk", "2024-01-01", end_mode="end_of_day")) == [1]
-    with pytest.raises(ValueError):
-        lookups.by_date_range(log, "junk", end_mode="date")
+    assert ids(lookups.by_date_range(log, datetime.datetime(2024, 1, 3), "2024-01-03T11:59:59Z")) == [3]
+    for mode in ("date", "instant"):
+        with pytest.raises(ValueError):
+            lookups.by_date_range(log, "junk", end_mode=mode)
     for limit in (0, -3, 1.5, True):
         with pytest.raises(ValueError):
             lookups.by_date_range(log, limit=limit)
