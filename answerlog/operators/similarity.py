@@ -367,13 +367,11 @@ def similar_queries(
     queries = results.select("query").distinct().withColumn("text", F.lower("query"))
     if threshold == 0.0:
         # Everything resembles the first prompt.
-        first = queries.agg(F.min("query")).scalar()
-        score = positional_similarity(F.lower(first), F.col("text"))
-        rest = queries.filter(F.col("query") != first)
+        first = queries.agg(F.min("query").alias("query_text"))
+        rest = queries.join(F.broadcast(first), F.col("query") != F.col("query_text"))
+        score = positional_similarity(F.lower("query_text"), F.col("text"))
         return rest.select(
-            first.alias("query_text"),
-            F.col("query").alias("similar_query"),
-            score.alias("similarity"),
+            "query_text", F.col("query").alias("similar_query"), score.alias("similarity")
         )
     # Prompts that differ in case only have the same neighbours; the first one stands for all.
     folded = pin(
