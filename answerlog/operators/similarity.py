@@ -6,7 +6,7 @@ per member, so a cluster of many near copies gives as many rows, not their squar
 
 Candidates come from signatures that any two similar prompts must share (a pigeonhole
 argument, so none is missed); candidates are always verified. Signatures shared by many
-prompts are refined by a second one under them. Prompts are settled in rounds over growing
+prompts are refined by a second one under them where that pays. Prompts are settled in rounds over growing
 prefixes of the order: the members that a round's leaders find, leave before they can be
 paired with each other, and a round's prefix is chosen so that its candidates fit a budget.
 """
@@ -51,6 +51,39 @@ def sequence_ratio_of(threshold: float = 0.0):
     return ratio
 
 
+# Characters are counted in buckets by hash; a count is a run of as many bits, at most eight.
+WORDS, BUCKETS_PER_WORD, MOST = 4, 7, 8
+
+
+def character_bag(text: Column) -> Column:
+    """Counts of a text's characters as bits of ``WORDS`` numbers, and what went beyond."""
+    buckets = WORDS * BUCKETS_PER_WORD
+    places = F.transform(F.split(text, ""), lambda char: F.pmod(F.hash(char), F.lit(buckets)))
+
+    def count(bucket: int) -> Column:
+        return F.size(F.filter(places, lambda place: place == bucket))
+
+    runs = F.array(*[F.lit((1 << n) - 1).cast("long") for n in range(MOST + 1)])
+    words, beyond = [], F.lit(0).cast("long")
+    for word in range(WORDS):
+        value = F.lit(0).cast("long")
+        for slot in range(BUCKETS_PER_WORD):
+            found = count(word * BUCKETS_PER_WORD + slot)
+            run = F.get(runs, F.least(found, F.lit(MOST)))
+            value = value + run * F.lit(1 << (MOST * slot)).cast("long")
+            beyond = beyond + F.greatest(found - MOST, F.lit(0))
+        words.append(value)
+    return F.array(*words, beyond)
+
+
+def common_characters(left: Column, right: Column) -> Column:
+    """Upper bound of the characters two texts have in common, from their bags."""
+    common = F.least(left[WORDS], right[WORDS])
+    for word in range(WORDS):
+        common = common + F.bit_count(left[word].bitwiseAND(right[word]))
+    return common
+
+
 # -- signatures ------------------------------------------------------------------------
 
 
@@ -78,6 +111,7 @@ class Positional:
         empty = nodes.filter(F.length("text") > 0).withColumns(
             {
                 "rest": F.col("text"),
+                "bag": F.lit(None).cast("array<bigint>"),
                 "sig": F.lit(0).cast("long"),
                 "pos": F.lit(0),
                 "role": F.lit(FIRST_ROLE | SECOND_ROLE),
@@ -144,7 +178,7 @@ class Sequence:
 
     def start(self, nodes: DataFrame) -> DataFrame:
         size = F.length("text")
-        texts = nodes.filter(size > 0)
+        texts = nodes.filter(size > 0).withColumn("bag", character_bag(F.col("text")))
         lengths = F.sequence(F.greatest(_ceil(size / self.stretch), F.lit(1)), size)
 
         def rows(widths: Column, step: Column, role: int) -> DataFrame:
@@ -154,7 +188,7 @@ class Sequence:
             return each.select(
                 "idx",
                 "text",
-                F.lit("").alias("rest"),
+                "bag",
                 F.xxhash64("width", piece).alias("sig"),
                 "pos",
                 F.lit(role).alias("role"),
@@ -178,7 +212,10 @@ class Sequence:
         unmatched = _floor(total * (1 - self.threshold))
         near = F.abs(F.col("x_pos") - F.col("y_pos")) <= unmatched
         shorter = F.least(F.length("x_text"), F.length("y_text"))
-        reachable = 2 * shorter >= total * self.threshold - EPS
+        least = total * self.threshold - EPS
+        reachable = (2 * shorter >= least) & (
+            2 * common_characters(F.col("x_bag"), F.col("y_bag")) >= least
+        )
         ratio = sequence_ratio_of(self.threshold)
         return (
             pairs.filter(near & reachable)
@@ -189,28 +226,51 @@ class Sequence:
         )
 
 
+COLUMNS = ["idx", "text", "bag", "pos", "role"]
+
+
+def _sizes(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows per signature, and whether it is shared by two prompts."""
+    groups = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("size"), F.min("idx").alias("low"), F.max("idx").alias("high")
+    )
+    return groups.withColumn("shared", F.col("low") < F.col("high")).drop("low", "high")
+
+
 def _signatures(nodes: DataFrame, measure, hot: int) -> DataFrame:
-    """Signatures that at least two prompts share, hot ones refined: ``size`` is how many rows.
+    """Signatures that at least two prompts share, ``size`` is how many rows one has.
 
-    Every level drops signatures of single prompts and keeps those up to ``hot`` rows.
+    A signature of more than ``hot`` rows is replaced by refined ones if these give less
+    than half of its candidates. They do for prompts that merely begin alike, but not for
+    a cluster of near copies, which is left to the rounds.
     """
-    rows, kept = measure.start(nodes), []
-    depth = MAX_DEPTH if isinstance(measure, Positional) else 2
-    for level in range(1, depth + 1):
-        groups = rows.groupBy("sig").agg(
-            F.count(F.lit(1)).alias("size"), F.min("idx").alias("low"), F.max("idx").alias("high")
-        )
-        shared = groups.filter("low < high").select("sig", "size")
-        sized = pin(join_groups(rows, shared, ["sig"], "size"))
-        final = sized if level == depth else sized.filter(F.col("size") <= hot)
-        kept.append(final.select("idx", "text", "sig", "pos", "role", "size"))
-        more = sized.filter(F.col("size") > hot)
-        if level == depth or more.isEmpty():
+    rows = measure.start(nodes)
+    shared = _sizes(rows, "sig").filter("shared").drop("shared")
+    sized = pin(join_groups(rows, shared, ["sig"], "size"))
+    kept = []
+    for _ in range(MAX_DEPTH - 1):
+        crowded = sized.filter(F.col("size") > hot)
+        if crowded.isEmpty():
             break
-        rows = measure.refine(more.drop("size"))
-    signatures = kept[0]
-    for level_rows in kept[1:]:
-        signatures = signatures.unionByName(level_rows)
+        kept.append(sized.filter(F.col("size") <= hot))
+        parents = crowded.withColumnsRenamed({"size": "whole"}).withColumn("parent", F.col("sig"))
+        children = measure.refine(parents)
+        sizes = pin(_sizes(children, "parent", "sig", "whole"))
+        square = F.when(F.col("shared"), F.col("size").cast("double") * F.col("size"))
+        costs = sizes.groupBy("parent", "whole").agg(
+            F.coalesce(F.sum(square), F.lit(0.0)).alias("cost")
+        )
+        whole = F.col("whole").cast("double")
+        pays = F.col("cost") * 2 < whole * whole
+        staying = costs.filter(~pays).select(F.col("parent").alias("sig"), F.col("whole").alias("size"))
+        kept.append(join_groups(crowded.drop("size"), staying, ["sig"], "size"))
+        paying = costs.filter(pays).select("parent")
+        chosen = sizes.filter("shared").join(paying, "parent", "left_semi").select("sig", "size")
+        sized = pin(join_groups(children.drop("parent", "whole"), chosen, ["sig"], "size"))
+    kept.append(sized)
+    signatures = kept[0].select("sig", "size", *COLUMNS)
+    for rows in kept[1:]:
+        signatures = signatures.unionByName(rows.select("sig", "size", *COLUMNS))
     return pin(signatures)
 
 
@@ -237,16 +297,15 @@ def _similar_pairs(signatures: DataFrame, end: int, total: int, measure) -> Data
     Signatures with more than a thousandth of all rows are spread over several tasks.
     """
     spread = F.when(F.col("size") > total / 1000, F.lit(SPREAD)).otherwise(F.lit(1))
-    columns = ["idx", "text", "pos", "role"]
     left = signatures.filter(F.col("idx") < end).select(
         "sig",
         F.explode(F.sequence(F.lit(0), spread - 1)).alias("salt"),
-        *[F.col(name).alias(f"x_{name}") for name in columns],
+        *[F.col(name).alias(f"x_{name}") for name in COLUMNS],
     )
     right = signatures.select(
         "sig",
         F.pmod(F.xxhash64("idx"), spread).cast("int").alias("salt"),
-        *[F.col(name).alias(f"y_{name}") for name in columns],
+        *[F.col(name).alias(f"y_{name}") for name in COLUMNS],
     )
     both = F.col("x_role").bitwiseOR(F.col("y_role")) == (FIRST_ROLE | SECOND_ROLE)
     pairs = left.join(right, ["sig", "salt"]).filter((F.col("x_idx") < F.col("y_idx")) & both)
