@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answerlog.llm import oracles
+from answerlog.llm.jaccard_join import jaccard_join
+from answerlog.llm.packing import packing
 from answerlog.llm.quality_rules import quality_rules
 from answerlog.llm.registry import query, table
 from answerlog.llm.secret_scans import BASE, listing, secret_scans
+from answerlog.llm.sentencepiece_codec import sentencepiece_codec
 from answerlog.llm.topk_search import top_k
 from answerlog.llm.url_filters import host_and_path, url_filters
 
@@ -53,6 +57,27 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+@query("op4_jaccard_join")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = jaccard_join(table(spark, sf_dir, "documents"))
+    return joined.select("doc_id", "n_shingles", "component_id")
+
+
+def byte_bpe() -> dict[str, str]:
+    """Files of the byte-level tokenizer that sequences are packed with."""
+    return {
+        "path": public_tokenizers.path("byte_bpe_50k.json"),
+        "ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        "pattern": public_tokenizers.PATTERN,
+    }
+
+
+@query("op6_packing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing(table(spark, sf_dir, "documents"), **byte_bpe(), payload=F.crc32("ids").alias("ids_crc32"))
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 @query("op8_secret_scans", oracles.secret_scans())
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = secret_scans(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -66,6 +91,15 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op9_sentencepiece_codec")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    coded = sentencepiece_codec(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    return coded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 @query("op10_topk_search", oracles.topk_search())
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
