@@ -13,6 +13,7 @@ from answerlog.llm.quality_rules import quality_rules
 from answerlog.llm.registry import query, table
 from answerlog.llm.secret_scans import BASE, listing, secret_scans
 from answerlog.llm.sentencepiece_codec import sentencepiece_codec
+from answerlog.llm.suffix_dedup import suffix_dedup
 from answerlog.llm.topk_search import top_k
 from answerlog.llm.url_filters import host_and_path, url_filters
 
@@ -63,6 +64,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "n_shingles", "component_id")
 
 
+@query("op5_suffix_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"), payload=F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def byte_bpe() -> dict[str, str]:
     """Files of the byte-level tokenizer that sequences are packed with."""
     return {
