@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -187,12 +187,13 @@ def _describe(width: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(2),
                     pa.array([k[0] for k in keys], pa.int64()),
                     pa.array([k[1] for k in keys], pa.int64()),
                     pa.array(sizes, pa.int64()),
                     pa.array(hot, pa.list_(pa.struct([("shingle", pa.int64()), ("count", pa.int64())]))),
                 ],
-                ["doc_id", "a", "b", "n", "hot"],
+                ["doc_id", "t", "a", "b", "n", "hot"],
             )
 
     return describe
@@ -378,6 +379,11 @@ def _candidates(percent: int):
     return candidates
 
 
+def row_hash(doc_id: Column, text: Column) -> Column:
+    """Tells rows apart that share an id."""
+    return F.xxhash64(doc_id.isNull(), doc_id, text)
+
+
 class JaccardJoin:
     """The join of one table of documents; see the module's text."""
 
@@ -394,12 +400,12 @@ class JaccardJoin:
     def links(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Documents with the key of their set, vertices (``v, a, b``), and links (``x, y``)
         that connect every component."""
-        rows = self.docs.mapInArrow(
+        rows = self.docs.withColumn("t", row_hash(F.col("doc_id"), F.col("text"))).mapInArrow(
             _describe(self.width),
-            "doc_id long, a long, b long, n long, hot array<struct<shingle:long,count:long>>",
+            "doc_id long, t long, a long, b long, n long, hot array<struct<shingle:long,count:long>>",
         )
         rows = self.saved(rows, "documents")
-        described = rows.select("doc_id", "a", "b", "n")
+        described = rows.select("doc_id", "t", "a", "b", "n")
         vertices = self.saved(
             described.filter("n > 0").groupBy("a", "b").agg(F.first("n").alias("n"))
             .withColumn("v", F.monotonically_increasing_id()),
@@ -545,3 +551,20 @@ def jaccard_join(
         F.when(F.col("n") > 0, F.concat_ws(":", "a", "b")).alias("set_key"),
         F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id")).alias("component_id"),
     )
+
+
+def keep_one(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75
+) -> DataFrame:
+    """``docs`` with one row of every component, that with the smallest id (a null is largest);
+    of equal rows one stays. Rows without words are in no component and all stay."""
+    described, vertices, edges = JaccardJoin(docs, doc_id, text, width, percent).links()
+    named = vertices.join(components(edges), "v", "left").select("a", "b", F.coalesce("comp", "v").alias("comp"))
+    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "t")
+    stay = described.filter("n > 0").join(named, ["a", "b"]).groupBy("comp").agg(F.min(order).alias("row"))
+    stay = stay.select(F.coalesce("row.doc_id", F.lit(0)).alias("_id"), F.col("row.t").alias("_t"))
+    has_words = F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    id_ = F.col(doc_id).cast("long")
+    keyed = docs.filter(has_words).withColumns({"_id": F.coalesce(id_, F.lit(0)), "_t": row_hash(id_, F.col(text))})
+    one = keyed.join(stay, ["_id", "_t"]).dropDuplicates(["_id", "_t"]).select(*docs.columns)
+    return one.unionByName(docs.filter(~has_words))

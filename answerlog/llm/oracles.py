@@ -79,6 +79,40 @@ def quality_rules(limits: rules.Limits = rules.Limits()) -> str:
     FROM judged LEFT JOIN near USING (doc_id)"""
 
 
+def substring_dedup(least: int = 2, words: int = 20, longest: int = 16) -> str:
+    gap = r"[\x20\x09-\x0D]"
+    return rf"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT doc_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS raw
+        FROM (SELECT doc_id, regexp_extract_all(t, '{WORD}{gap}*') AS ws FROM d)),
+    tidy AS (SELECT *, regexp_replace(raw, '{gap}+$', '') AS word FROM w),
+    ends AS (SELECT *, regexp_matches(word, '[.!?]$') OR contains(raw, chr(10)) AS stop FROM tidy),
+    said_to AS (SELECT *, coalesce(sum(CAST(stop AS INT)) OVER (PARTITION BY doc_id ORDER BY i
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM ends),
+    cut AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, s ORDER BY i) - 1) // {longest} AS part FROM said_to),
+    sentence AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) AS n, count(*) AS size,
+        string_agg(word, ' ' ORDER BY i) AS said, string_agg(raw, '' ORDER BY i) AS raw
+        FROM cut GROUP BY doc_id, s, part),
+    ahead AS (SELECT *, list(size) OVER next AS sizes, list(said) OVER next AS saids FROM sentence
+        WINDOW next AS (PARTITION BY doc_id ORDER BY n ROWS BETWEEN CURRENT ROW AND {words + least} FOLLOWING)),
+    sized AS (SELECT *, list_min(list_filter(range({least}, len(sizes) + 1),
+        lambda k: list_sum(sizes[:k]) >= {words})) AS k FROM ahead),
+    span AS (SELECT doc_id, n, k, array_to_string(saids[:k], ' ') AS said FROM sized WHERE k IS NOT NULL),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY said ORDER BY doc_id, n) AS place FROM span),
+    gone AS (SELECT DISTINCT doc_id, n + j AS n FROM placed, range({words + least + 1}) r(j)
+        WHERE place > 1 AND j < k),
+    flagged AS (SELECT s.*, g.doc_id IS NOT NULL AS is_gone
+        FROM sentence s LEFT JOIN gone g ON s.doc_id = g.doc_id AND s.n = g.n),
+    kept AS (SELECT doc_id, count(*) AS n_sentences, count(*) FILTER (WHERE is_gone) AS n_removed,
+        string_agg(raw, '' ORDER BY n) FILTER (WHERE NOT is_gone) AS body,
+        min(n) FILTER (WHERE NOT is_gone) AS head FROM flagged GROUP BY doc_id)
+    SELECT doc_id, CAST(coalesce(n_sentences, 0) AS BIGINT) AS n_sentences,
+        CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+        sha256(CASE WHEN coalesce(n_removed, 0) = 0 THEN t
+            WHEN head = 1 THEN regexp_extract(t, '^{gap}*') || body ELSE coalesce(body, '') END) AS kept_sha256
+    FROM d LEFT JOIN kept USING (doc_id)"""
+
+
 def url_filters(url_rules: list[tuple[str, str]], listed_words: list[str]) -> str:
     def fits(rule: str) -> str:
         domain, _, rest = rule.partition("/")

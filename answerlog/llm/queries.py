@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answerlog.llm import oracles
+from answerlog.llm.classifier import classify, train
 from answerlog.llm.jaccard_join import jaccard_join
 from answerlog.llm.packing import packing
 from answerlog.llm.quality_rules import quality_rules
 from answerlog.llm.registry import query, table
 from answerlog.llm.secret_scans import BASE, listing, secret_scans
 from answerlog.llm.sentencepiece_codec import sentencepiece_codec
+from answerlog.llm.substring_dedup import substring_dedup
 from answerlog.llm.suffix_dedup import suffix_dedup
 from answerlog.llm.topk_search import top_k
 from answerlog.llm.url_filters import host_and_path, url_filters
@@ -36,6 +38,15 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[f"quality.{name}" for name in names])
 
 
+@query("op2_substring_dedup", oracles.substring_dedup())
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select(
+        "doc_id", "dedup.n_sentences", "dedup.n_removed",
+        F.sha2(F.coalesce("dedup.text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
 def listed_domains(pages: DataFrame) -> DataFrame:
     """Domains of the corpus to block: those whose first label holds a listed word."""
     labels = F.split(host_and_path(F.col("url"))[0], r"\.")
@@ -84,6 +95,21 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def hash_fifth(doc_id: str = "doc_id") -> Column:
+    """Remainder by five of the CRC-32 of an id as text; that of '' for a null."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5
+
+
+@query("op7_byte_cnn_classifier")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    network = train(docs, table(spark, sf_dir, "labels"), "quality", hash_fifth() != 0)
+    scored = classify(docs, network)
+    return scored.select(
+        "doc_id", (hash_fifth() == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 @query("op8_secret_scans", oracles.secret_scans())
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = secret_scans(table(spark, sf_dir, "documents").select("doc_id", "text"))

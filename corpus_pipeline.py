@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from answerlog.llm import jaccard_join  # noqa: E402
+from answerlog.llm.packing import packing  # noqa: E402
 from answerlog.llm.quality_rules import quality_rules  # noqa: E402
+from answerlog.llm.queries import byte_bpe  # noqa: E402
 from answerlog.llm.registry import table  # noqa: E402
 from answerlog.llm.secret_scans import masked, secret_scans  # noqa: E402
+from answerlog.llm.substring_dedup import substring_dedup  # noqa: E402
+from answerlog.session import new_folder  # noqa: E402
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -24,16 +29,40 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.filter("_quality.kept").drop("_quality")
 
 
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each group linked by the Jaccard join."""
+    return jaccard_join.keep_one(docs)
+
+
+def with_text(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of documents after a change of the text; the length follows the text."""
+    return rows.withColumn("n_chars", F.length("text").cast("long")).select(*columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without repeated sentence spans; one of which nothing is left goes."""
+    cut = substring_dedup(docs, into="_cut").withColumn("text", F.col("_cut.text"))
+    kept = cut.filter((F.col("_cut.n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return with_text(kept, docs.columns)
+
+
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked."""
     scanned = secret_scans(docs, into="_spans")
-    rows = scanned.withColumn("text", masked(F.col("text"), F.col("_spans"))).drop("_spans")
-    return rows.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return with_text(scanned.withColumn("text", masked(F.col("text"), F.col("_spans"))), docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences, with their token ids."""
+    return packing(docs, **byte_bpe())
 
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality rules", keep_good),
+    ("n-gram Jaccard join", keep_one_of_near_copies),
+    ("substring dedup", cut_repeats),
     ("secret scans", mask_secrets),
+    ("packing", pack),
 ]
 ORACLE_SQL = None
 
@@ -42,5 +71,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what a stage keeps is written and read again."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        folder = new_folder(spark, "stage")
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
     return docs
