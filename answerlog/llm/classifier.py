@@ -104,7 +104,9 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 def fit(texts: list[list[bytes]], labels: np.ndarray, seed: int = 5, epochs: int = 14, batch: int = 48) -> Network:
     """Fit to texts given as lists of chunks, by Adam on the logistic loss. Both labels weigh
     alike in half of the loss, so the rare one is learned too."""
-    positive = float(labels.mean()) if len(labels) else 0.5
+    if not len(labels):
+        return constant(0.5)
+    positive = float(labels.mean())
     if not 0 < positive < 1:
         return constant(positive)
     rng = np.random.default_rng(seed)

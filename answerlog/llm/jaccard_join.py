@@ -13,12 +13,14 @@ in any common order of shingles. The order is by hash, but frequent shingles com
 so a passage that many unrelated documents share makes no block, except for documents
 that consist of it.
 
-Links are found in three steps, each exact in what it decides. ``_grow`` runs through the
-blocks of every set's first shared shingle (then its first three), each block split into
-parts of bounded size, and verifies all pairs that are not connected yet; so a group of
-near copies is connected along the way and its pairs are not listed. ``_rest`` lists what
-is left, pairs in any block that are still in different components and were not verified
-before, and verifies them. Components follow from the links.
+The trees first take out of every block the sets that the bound leaves no partner; that is
+nearly all of them, and only points move for it. Links among the others are found in three
+steps, each exact in what it decides. ``grow`` runs through the blocks of every set's first
+shared shingle (then its first three), each block split into parts of bounded size, and
+verifies all pairs that are not connected yet; so a group of near copies is connected along
+the way and its pairs are not listed. ``rest`` lists what is left, pairs in any block that
+are still in different components and were not verified before, and verifies them.
+Components follow from the links.
 
 Documents with equal sets are one vertex. Sets are made anew from the texts where they
 are needed, and only for documents that share a prefix shingle with others.
@@ -45,6 +47,7 @@ from answerlog.session import new_folder, pin
 
 LEAF = 16
 PART = 3000  # most sets in one task's block
+SMALL = 24  # blocks up to this size are taken pair by pair
 BROADCAST = 2_000_000  # most keys that are broadcast, 8 bytes each
 
 
@@ -167,8 +170,9 @@ def _describe(width: int):
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, parts = [], [], []
+            keys, sizes, parts, points = [], [], [], []
             for shingles in shingle_sets(batch.column(1), width):
+                points.append(count_vector(shingles).tobytes() if len(shingles) else None)
                 keys.append(_key(shingles) if len(shingles) else (None, None))
                 sizes.append(len(shingles))
                 parts.append(shingles)
@@ -192,8 +196,9 @@ def _describe(width: int):
                     pa.array([k[1] for k in keys], pa.int64()),
                     pa.array(sizes, pa.int64()),
                     pa.array(hot, pa.list_(pa.struct([("shingle", pa.int64()), ("count", pa.int64())]))),
+                    pa.array(points, pa.binary()),
                 ],
-                ["doc_id", "t", "a", "b", "n", "hot"],
+                ["doc_id", "t", "a", "b", "n", "hot", "vector"],
             )
 
     return describe
@@ -314,22 +319,62 @@ def _grow_blocks(percent: int):
     return grow
 
 
+def _small_pairs(heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs inside the blocks of up to ``SMALL`` rows, as places in the table."""
+    sizes, left, right = np.diff(heads), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for size in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]):
+        i, j = np.triu_indices(int(size), 1)
+        base = heads[:-1][sizes == size][:, None]
+        left.append((base + i).ravel())
+        right.append((base + j).ravel())
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _bound_holds(points: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether pairs may be similar, by sizes and points."""
+    fits = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
+    for low in range(0, len(x), 100_000):
+        part = np.flatnonzero(fits[low : low + 100_000]) + low
+        i, j = x[part], y[part]
+        least = np.minimum(points[i], points[j])
+        bound = least.sum(1, dtype=np.int64) + np.where((least == 255).any(1), 1 << 60, 0)
+        fits[part] = bound >= needed(n[i], n[j], percent)
+    return fits
+
+
+def _partnered(percent: int):
+    """The rows of each block that the bound leaves a partner. Rows are (shingle, one, two,
+    mine, v, n, vector), sorted by block."""
+
+    def partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches, 3):
+            heads = _heads(table, 3)
+            n = table.column(5).to_numpy()
+            points = np.array([folded(np.frombuffer(x, np.uint8), 128) for x in table.column(6).to_pylist()])
+            has = np.zeros(len(n), bool)
+            x, y = _small_pairs(heads)
+            fits = _bound_holds(points, n, x, y, percent)
+            has[x[fits]] = has[y[fits]] = True
+            sizes = np.diff(heads)
+            for a, b in zip(heads[:-1][sizes > SMALL].tolist(), heads[1:][sizes > SMALL].tolist()):
+                tree = CountTree(points[a:b], n[a:b])
+                for q in range(b - a):
+                    if not has[a + q]:
+                        near = tree.near(points[a + q], int(n[a + q]), percent)
+                        if len(near) > 1:
+                            has[a + near] = True
+            rows = pa.array(np.flatnonzero(has))
+            yield pa.RecordBatch.from_arrays(
+                [table.column(i).combine_chunks().take(rows) for i in (0, 4, 5)], ["shingle", "v", "n"]
+            )
+
+    return partnered
+
+
 def _candidates(percent: int):
     """Pairs of blocks that may be similar, are in different components and were not verified.
     Rows are (shingle, one, two, mine, v, comp, n, vector, first1, first2, first3), sorted."""
 
-    def pairs_of(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs inside small blocks, as places."""
-        starts = np.cumsum(sizes) - sizes
-        left, right = [], []
-        for size in np.unique(sizes[sizes > 1]):
-            i, j = np.triu_indices(int(size), 1)
-            base = starts[sizes == size][:, None]
-            left.append((base + i).ravel())
-            right.append((base + j).ravel())
-        none = np.empty(0, np.int64)
-        return np.concatenate(left or [none]), np.concatenate(right or [none])
-
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches, 3):
             heads = _heads(table, 3)
@@ -338,14 +383,8 @@ def _candidates(percent: int):
             firsts = np.stack([table.column(i).to_numpy() for i in (8, 9, 10)], axis=1)
             points = np.array([folded(np.frombuffer(x, np.uint8), 128) for x in raw])
             sizes = np.diff(heads)
-            x, y = pairs_of(np.where(sizes <= 24, sizes, 0))
-            starts = heads[:-1][sizes <= 24]
-            if len(x):
-                # Places counted without the large blocks, mapped back to the table.
-                small = np.concatenate([np.arange(a, a + s) for a, s in zip(starts, sizes[sizes <= 24])])
-                x, y = small[x], small[y]
-            found = [(x, y)]
-            for a, b in zip(heads[:-1][sizes > 24].tolist(), heads[1:][sizes > 24].tolist()):
+            found = [_small_pairs(heads)]
+            for a, b in zip(heads[:-1][sizes > SMALL].tolist(), heads[1:][sizes > SMALL].tolist()):
                 if (comp[a:b] == comp[a]).all():
                     continue
                 tree = CountTree(points[a:b], n[a:b])
@@ -359,21 +398,15 @@ def _candidates(percent: int):
             # A pair of one part of a split block is listed once, a pair of two parts in their block.
             meets = (one[x] == two[x]) | (mine[x] != mine[y])
             keep = meets & (comp[x] != comp[y])
-            keep &= (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
             x, y = x[keep], y[keep]
             verified = np.zeros(len(x), bool)
             for i in range(3):
                 for j in range(3):
                     verified |= (firsts[x, i] == firsts[y, j]) & (firsts[x, i] != 0)
             x, y = x[~verified], y[~verified]
-            out = []
-            for low in range(0, len(x), 100_000):
-                i, j = x[low : low + 100_000], y[low : low + 100_000]
-                least = np.minimum(points[i], points[j])
-                bound = least.sum(1, dtype=np.int64) + np.where((least == 255).any(1), 1 << 60, 0)
-                fits = bound >= needed(n[i], n[j], percent)
-                out.append(np.stack([np.minimum(v[i], v[j])[fits], np.maximum(v[i], v[j])[fits]], axis=1))
-            pairs = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
+            fits = _bound_holds(points, n, x, y, percent)
+            x, y = v[x[fits]], v[y[fits]]
+            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["x", "y"])
 
     return candidates
@@ -402,12 +435,13 @@ class JaccardJoin:
         that connect every component."""
         rows = self.docs.withColumn("t", row_hash(F.col("doc_id"), F.col("text"))).mapInArrow(
             _describe(self.width),
-            "doc_id long, t long, a long, b long, n long, hot array<struct<shingle:long,count:long>>",
+            "doc_id long, t long, a long, b long, n long, hot array<struct<shingle:long,count:long>>, "
+            "vector binary",
         )
         rows = self.saved(rows, "documents")
         described = rows.select("doc_id", "t", "a", "b", "n")
         vertices = self.saved(
-            described.filter("n > 0").groupBy("a", "b").agg(F.first("n").alias("n"))
+            rows.filter("n > 0").groupBy("a", "b").agg(F.first("n").alias("n"), F.first("vector").alias("vector"))
             .withColumn("v", F.monotonically_increasing_id()),
             "vertices",
         )
@@ -416,7 +450,7 @@ class JaccardJoin:
         first, rest = self.grow(shared, sets, None, 1)
         second, comps = self.grow(shared, sets, rest, 3)
         edges = first.unionByName(second)
-        edges = edges.unionByName(self.rest(shared, sets, comps))
+        edges = edges.unionByName(self.rest(shared, sets, vertices, comps))
         return described, vertices, edges
 
     def shared_shingles(self, rows: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -440,11 +474,30 @@ class JaccardJoin:
         by_shingle = Window.partitionBy("shingle")
         seen = prefixes.withColumns({"low": F.min("a").over(by_shingle), "high": F.max("a").over(by_shingle)})
         seen = self.saved(seen.filter("low <> high").select("shingle", "a").distinct(), "shared")
-        known = seen.join(vertices.select("a", "v", "n"), "a").select("shingle", "v", "n")
+        known = seen.join(vertices.select("a", "v", "n", "vector"), "a").select("shingle", "v", "n", "vector")
         sizes = seen.groupBy("shingle").agg(F.count("*").alias("size"))
-        ranked = known.withColumn("rank", F.row_number().over(Window.partitionBy("v").orderBy("shingle")))
+        placed = self.in_blocks(known, sizes, ["v", "n", "vector"])
+        able = placed.mapInArrow(_partnered(self.percent), "shingle long, v long, n long").distinct()
+        able = self.saved(able, "partnered")
+        ranked = able.withColumn("rank", F.row_number().over(Window.partitionBy("v").orderBy("shingle")))
+        sizes = able.groupBy("shingle").agg(F.count("*").alias("size"))
         return self.saved(ranked.join(sizes, "shingle"), "ranked")
 
+    def in_blocks(self, rows: DataFrame, sizes: DataFrame, columns: list[str]) -> DataFrame:
+        """Rows dealt and sorted by block. A block of more than ``PART`` rows is split into
+        parts; every two parts (``one``, ``two``) meet in a block of their own, and ``mine``
+        is a row's part."""
+        parts = F.ceil(F.col("size") / F.lit(PART)).cast("long")
+        rows = rows.join(sizes.select("shingle", parts.alias("parts")), "shingle")
+        rows = rows.withColumn("mine", F.pmod(F.xxhash64("v", "shingle"), F.col("parts")))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        rows = rows.select(
+            "shingle", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"),
+            "mine", *columns,
+        )
+        count = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return rows.repartition(count, "shingle", "one", "two").sortWithinPartitions("shingle", "one", "two")
+
     def sets(self, shared: DataFrame, vertices: DataFrame) -> DataFrame:
         """(v, shingles) of the vertices that share a prefix shingle."""
         wanted = shared.select("v").distinct().join(vertices.select("v", "a", "b"), "v")
@@ -483,7 +536,7 @@ class JaccardJoin:
             return rows.withColumn("comp", F.col("v"))
         return rows.join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
 
-    def rest(self, shared: DataFrame, sets: DataFrame, comps: DataFrame) -> DataFrame:
+    def rest(self, shared: DataFrame, sets: DataFrame, vertices: DataFrame, comps: DataFrame) -> DataFrame:
         """Links between different components that growing has not decided."""
         # Pairs in a block of the first three shingles are decided, if it was in one part.
         first = [
@@ -491,23 +544,13 @@ class JaccardJoin:
             for i in (1, 2, 3)
         ]
         firsts = shared.groupBy("v").agg(*[c.alias(f"first{i}") for i, c in enumerate(first, 1)])
-        vector = F.arrow_udf(_vector_batch, "binary")(F.col("shingles"))
-        points = sets.select("v", vector.alias("vector")).join(firsts, "v")
+        points = vertices.select("v", "vector").join(firsts, "v")
         rows = self.with_comps(shared.select("shingle", "v", "n"), comps)
         blocks = rows.groupBy("shingle").agg(
             F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")
         ).filter("low <> high").select("shingle", "size")
-        parts = F.ceil(F.col("size") / F.lit(PART)).cast("long")
-        mine = F.pmod(F.xxhash64("v", "shingle"), F.col("parts"))
-        rows = rows.join(blocks.select("shingle", parts.alias("parts")), "shingle").withColumn("mine", mine)
-        # Every two parts of a split block meet in a block of their own.
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        rows = rows.join(points, "v").select(
-            "shingle", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"),
-            "mine", "v", "comp", "n", "vector", "first1", "first2", "first3",
-        )
-        count = self.spark.conf.get("spark.sql.shuffle.partitions")
-        placed = rows.repartition(int(count), "shingle", "one", "two").sortWithinPartitions("shingle", "one", "two")
+        names = ["v", "comp", "n", "vector", "first1", "first2", "first3"]
+        placed = self.in_blocks(rows.join(points, "v"), blocks, names)
         pairs = placed.mapInArrow(_candidates(self.percent), "x long, y long").distinct()
         both = pairs.join(sets.select(F.col("v").alias("x"), F.col("shingles").alias("left")), "x").join(
             sets.select(F.col("v").alias("y"), F.col("shingles").alias("right")), "y"
@@ -516,10 +559,6 @@ class JaccardJoin:
         return self.saved(both.filter(similar).select("x", "y"), "links-rest")
 
 
-def _vector_batch(column: pa.Array) -> pa.Array:
-    return pa.array([count_vector(np.frombuffer(x, np.uint64)).tobytes() for x in column.to_pylist()], pa.binary())
-
-
 def _similar(percent: int):
     def similar(left: pa.Array, right: pa.Array) -> pa.Array:
         result = []
@@ -562,9 +601,9 @@ def keep_one(
     named = vertices.join(components(edges), "v", "left").select("a", "b", F.coalesce("comp", "v").alias("comp"))
     order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "t")
     stay = described.filter("n > 0").join(named, ["a", "b"]).groupBy("comp").agg(F.min(order).alias("row"))
-    stay = stay.select(F.coalesce("row.doc_id", F.lit(0)).alias("_id"), F.col("row.t").alias("_t"))
+    stay = stay.select(F.coalesce("row.doc_id", F.lit(0)).alias("__llm_id"), F.col("row.t").alias("__llm_t"))
     has_words = F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     id_ = F.col(doc_id).cast("long")
-    keyed = docs.filter(has_words).withColumns({"_id": F.coalesce(id_, F.lit(0)), "_t": row_hash(id_, F.col(text))})
-    one = keyed.join(stay, ["_id", "_t"]).dropDuplicates(["_id", "_t"]).select(*docs.columns)
+    keyed = docs.filter(has_words).withColumns({"__llm_id": F.coalesce(id_, F.lit(0)), "__llm_t": row_hash(id_, F.col(text))})
+    one = keyed.join(stay, ["__llm_id", "__llm_t"]).dropDuplicates(["__llm_id", "__llm_t"]).select(*docs.columns)
     return one.unionByName(docs.filter(~has_words))

@@ -220,7 +220,7 @@ def quality_rules(
     """``docs`` with a struct column ``into``: the base counts, ``base_failed``, the two
     distances and ``kept``. An input column of that name is replaced."""
     known = references(docs, text, lang, limits)
-    c = F.col("_counts")
+    c = F.col("__llm_counts")
     far = (c["n_chars"] >= limits.min_chars) & (c["class_distance"] > limits.class_distance)
     far |= (c["n_words"] >= limits.min_words) & (c["word_distance"] > limits.word_distance)
     failed = base_failed(c, limits)
@@ -231,5 +231,5 @@ def quality_rules(
         c["word_distance"].alias("word_distance"),
         (~failed & ~F.coalesce(far, F.lit(False))).alias("kept"),
     )
-    rows = docs.withColumn("_counts", judged_counts(known, F.col(text)))
-    return rows.withColumn(into, judged).drop("_counts")
+    rows = docs.withColumn("__llm_counts", judged_counts(known, F.col(text)))
+    return rows.withColumn(into, judged).drop("__llm_counts")

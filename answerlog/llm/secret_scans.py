@@ -134,11 +134,11 @@ def secret_scans(docs: DataFrame, text: str = "text", reach: int = 200, into: st
     tidy = F.transform(
         sorted_, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
     )
-    found = spans.groupBy(F.col("key").alias("_text_key")).agg(tidy.alias("_found"))
-    keyed = docs.withColumn("_text_key", F.md5(F.coalesce(F.col(text), F.lit(""))))
-    joined = keyed.join(found, "_text_key", "left")
-    result = F.coalesce(F.col("_found"), F.array().cast(SPANS))
-    return joined.withColumn(into, result).drop("_text_key", "_found")
+    found = spans.groupBy(F.col("key").alias("__llm_key")).agg(tidy.alias("__llm_found"))
+    keyed = docs.withColumn("__llm_key", F.md5(F.coalesce(F.col(text), F.lit(""))))
+    joined = keyed.join(found, "__llm_key", "left")
+    result = F.coalesce(F.col("__llm_found"), F.array().cast(SPANS))
+    return joined.withColumn(into, result).drop("__llm_key", "__llm_found")
 
 
 def listing(spans: Column) -> Column:

@@ -186,11 +186,11 @@ def substring_dedup(
     place = F.struct("doc", "t", "first")
     firsts = places.groupBy("a", "b").agg(F.min(place).alias("earliest"))
     again = places.join(firsts, ["a", "b"]).filter(place != F.col("earliest"))
-    covered = again.groupBy("doc", "t").agg(F.collect_set(F.struct("first", "last")).alias("_spans"))
-    keyed = docs.withColumns({"_doc": doc, "_t": t})
+    covered = again.groupBy("doc", "t").agg(F.collect_set(F.struct("first", "last")).alias("__llm_spans"))
+    keyed = docs.withColumns({"__llm_doc": doc, "__llm_t": t})
     joined = keyed.join(
-        covered.withColumnsRenamed({"doc": "_doc", "t": "_t"}), ["_doc", "_t"], "left"
+        covered.withColumnsRenamed({"doc": "__llm_doc", "t": "__llm_t"}), ["__llm_doc", "__llm_t"], "left"
     )
     kind = "struct<text:string,n_removed:bigint,n_sentences:bigint>"
-    cut = F.arrow_udf(_cut(rule), kind)(F.col(text), F.col("_spans"))
-    return joined.withColumn(into, cut).drop("_doc", "_t", "_spans")
+    cut = F.arrow_udf(_cut(rule), kind)(F.col(text), F.col("__llm_spans"))
+    return joined.withColumn(into, cut).drop("__llm_doc", "__llm_t", "__llm_spans")

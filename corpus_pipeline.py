@@ -25,8 +25,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    judged = quality_rules(docs, into="_quality")
-    return judged.filter("_quality.kept").drop("_quality")
+    judged = quality_rules(docs, into="__llm_quality")
+    return judged.filter("__llm_quality.kept").drop("__llm_quality")
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,15 +41,15 @@ def with_text(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated sentence spans; one of which nothing is left goes."""
-    cut = substring_dedup(docs, into="_cut").withColumn("text", F.col("_cut.text"))
-    kept = cut.filter((F.col("_cut.n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    cut = substring_dedup(docs, into="__llm_cut").withColumn("text", F.col("__llm_cut.text"))
+    kept = cut.filter((F.col("__llm_cut.n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return with_text(kept, docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked."""
-    scanned = secret_scans(docs, into="_spans")
-    return with_text(scanned.withColumn("text", masked(F.col("text"), F.col("_spans"))), docs.columns)
+    scanned = secret_scans(docs, into="__llm_spans")
+    return with_text(scanned.withColumn("text", masked(F.col("text"), F.col("__llm_spans"))), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
