@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answerlog.functions.scalars import source_count
 
+DAY = "dt"  # the daily partitions of a stored log
 SEARCH_COLUMNS = {"answers": "answer_text", "sources": "sources", "queries": "query"}
 
 
@@ -86,6 +87,36 @@ def time_window(
     raise ValueError(f"unknown end_mode {end_mode!r}")
 
 
+def within(
+    results: DataFrame,
+    start: str | datetime | None = None,
+    end: str | datetime | None = None,
+    end_mode: str = "instant",
+) -> Column:
+    """:func:`time_window` over the runs' time; on a log that is read with its daily
+    partitions also a bound on these, so other days are not read."""
+    window = time_window(F.col("timestamp"), start, end, end_mode)
+    if DAY not in results.columns:
+        return window
+
+    def day_of(value: str | datetime | None) -> Column | None:
+        if end_mode == "end_of_day":
+            value = parse_date(value or "")
+        if not value:
+            return None
+        moment = datetime.fromisoformat(value) if isinstance(value, str) else value
+        return F.lit(moment.replace(tzinfo=None).date())
+
+    low, high = day_of(start), day_of(end)
+    if low is None and high is None:
+        return window
+    days = all_of(
+        [F.col(DAY) >= low if low is not None else None]
+        + [F.col(DAY) <= high if high is not None else None]
+    )
+    return window & (F.col(DAY).isNull() | days if end_mode == "date" else days)
+
+
 def value_range(value: Column, low: float | None, high: float | None) -> Column:
     """Inclusive range; a bound that is not given does not restrict."""
     return all_of(

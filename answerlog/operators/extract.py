@@ -135,18 +135,19 @@ def extract_answers(pages: DataFrame) -> DataFrame:
 
 
 def validation_error(
-    answer: Column, links: Column | None = None, check_chars: int = ERROR_CHECK_CHARS
+    answer: Column, links: Column | None = None, check_chars: int | None = None
 ) -> Column:
     """What is wrong with an extraction, NULL if nothing is.
 
-    In order: too short; error wording; links given but none of them with a web url. The
-    error wording is by definition looked for at the start of an answer only, as long
-    answers may well speak of errors; the message says so when the answer is longer.
+    In order: too short; error wording; links given but none of them with a web url. With
+    ``check_chars`` the wording is looked for in so many characters at the start only, and
+    the message says so when the answer is longer.
     """
-    head = F.substring(answer, 1, check_chars)
-    note = F.when(
-        F.length(answer) > check_chars, F.lit(f" (checked first {check_chars} chars)")
-    ).otherwise(F.lit(""))
+    head, note = answer, F.lit("")
+    if check_chars is not None:
+        head = F.substring(answer, 1, check_chars)
+        longer = F.length(answer) > check_chars
+        note = F.when(longer, F.lit(f" (checked first {check_chars} chars)")).otherwise(note)
     message = F.when(
         F.length(answer) < MIN_ANSWER_CHARS,
         F.concat(F.lit("Answer too short ("), F.length(answer).cast("string"), F.lit(" chars)")),
@@ -180,7 +181,7 @@ def harvest_citations(
     candidates: DataFrame,
     excluded: list[str],
     threshold: int = TIER_THRESHOLD,
-    cap: int = MAX_SOURCES,
+    cap: int | None = None,
 ) -> DataFrame:
     """Accepted links of each page, numbered in order.
 
@@ -188,8 +189,9 @@ def harvest_citations(
     that is not excluded and a text of three characters; the first of equal urls counts.
     A further tier is used only while fewer than ``threshold`` links were accepted.
 
-    Equal urls are combined by a partial aggregate and the cap is a per-task group limit,
-    so a page with most of the links sends at most ``cap`` of them per task to its group.
+    Equal urls are combined by a partial aggregate. Links are numbered within parts of a
+    page by url hash and placed by counts over the parts, so a page with most of the links
+    is spread; a ``cap`` keeps the first so many links of a page.
     """
     text = strip(F.col("text"))
     sound = (
@@ -205,21 +207,20 @@ def harvest_citations(
         .agg(first)
         .select("result_id", "url", "link.*")
     )
-    page = Window.partitionBy("result_id")
-    in_order = page.orderBy("tier", "position", "url")
-    head = links.withColumn("citation_number", F.row_number().over(in_order)).filter(
-        F.col("citation_number") <= cap
+    # How many links a page has per tier tells which tiers are used.
+    per_tier = links.groupBy("result_id").agg(
+        F.count_if(F.col("tier") == 1).alias("_first"), F.count_if(F.col("tier") <= 2).alias("_two")
     )
-    first_tier = F.count_if(F.col("tier") == 1).over(page)
-    two_tiers = F.count_if(F.col("tier") <= 2).over(page)
-    counted = head.withColumns({"_first": first_tier, "_two": two_tiers})
+    counted = links.join(per_tier, "result_id")
     used = (
         (F.col("tier") == 1)
         | ((F.col("tier") == 2) & (F.col("_first") < threshold))
         | ((F.col("tier") == 3) & (F.col("_two") < threshold))
     )
-    # Unused tiers come after all used ones, so the numbers stay without gaps.
-    return counted.filter(used).select(
+    counted = _numbered(counted.filter(used))
+    if cap is not None:
+        counted = counted.filter(F.col("citation_number") <= cap)
+    return counted.select(
         "result_id",
         "url",
         "text",
@@ -230,6 +231,23 @@ def harvest_citations(
     )
 
 
+def _numbered(links: DataFrame, stretch: int = 10_000) -> DataFrame:
+    """Number the links of each page by tier and position.
+
+    A page's positions are cut into stretches; a link is numbered within its stretch, after
+    the links of the stretches before it, of which there is one row each. So no task gets
+    more links of a page than a stretch holds.
+    """
+    links = links.withColumn("_part", F.floor(F.col("position") / stretch))
+    within = Window.partitionBy("result_id", "tier", "_part").orderBy("position", "url")
+    before = Window.partitionBy("result_id").orderBy("tier", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = links.groupBy("result_id", "tier", "_part").agg(F.count(F.lit(1)).alias("_size"))
+    starts = starts.withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
+    placed = links.withColumn("_place", F.row_number().over(within)).join(starts, ["result_id", "tier", "_part"])
+    number = (F.col("_start") + F.col("_place")).cast("int")
+    return placed.withColumn("citation_number", number).drop("_part", "_place", "_start")
+
+
 ANCHOR = r"(?is)<a\s[^>]*>.*?</a>"
 
 

@@ -15,8 +15,14 @@ from answerlog.functions.scalars import answer_length, model_label, source_count
 ORDER_COLUMNS = ("timestamp", "query", "model", "execution_time_seconds", "id")
 
 
+def without_day(results: DataFrame) -> DataFrame:
+    """Runs without the column of the daily partitions, which only serves for pruning."""
+    return results.drop(P.DAY)
+
+
 def newest_first(results: DataFrame, limit: int | None = None) -> DataFrame:
     """Newest runs first; with a limit Spark keeps a top-k per task instead of sorting all."""
+    results = without_day(results)
     ordered = results.orderBy(F.desc("timestamp"), F.desc("id"))
     return ordered if limit is None else ordered.limit(limit)
 
@@ -26,12 +32,12 @@ def by_query(results: DataFrame, query: str, model: str | None = None) -> DataFr
     return newest_first(results.filter((F.col("query") == F.lit(query)) & P.equals_model(model)))
 
 
-def by_model(results: DataFrame, model: str, limit: int = 50) -> DataFrame:
-    """The newest runs of one model."""
-    return recent(results.filter(F.col("model") == F.lit(model)), limit)
+def by_model(results: DataFrame, model: str, limit: int | None = None) -> DataFrame:
+    """Runs of one model, newest first; all of them unless a limit is given."""
+    return recent(results.filter(F.col("model") == F.lit(model)), -1 if limit is None else limit)
 
 
-def recent(results: DataFrame, limit: int = 50) -> DataFrame:
+def recent(results: DataFrame, limit: int) -> DataFrame:
     """The newest runs; 0 gives none and a negative limit gives all."""
     return newest_first(results, None if limit < 0 else limit)
 
@@ -46,7 +52,7 @@ def by_date_range(
 ) -> DataFrame:
     """Runs within a time range, both ends included."""
     P.check_limit(limit)
-    window = P.time_window(F.col("timestamp"), start, end, end_mode)
+    window = P.within(results, start, end, end_mode)
     return newest_first(results.filter(window & P.equals_model(model)), limit)
 
 
@@ -125,7 +131,7 @@ def advanced_matches(
     report = profile == "report"
     conditions = [
         P.equals_model(model),
-        P.time_window(F.col("timestamp"), start, end, "end_of_day" if report else "instant"),
+        P.within(results, start, end, "end_of_day" if report else "instant"),
         P.value_range(F.col("execution_time_seconds"), min_time, max_time),
         P.value_range(F.length("answer_text"), min_length, max_length),
     ]
@@ -138,7 +144,7 @@ def advanced_matches(
         mode = sources_mode or ("not_blank" if report else "not_empty_list")
         cited = P.has_sources(F.col("sources"), mode)
         conditions.append(cited if sources else ~cited)
-    return results.filter(P.all_of(conditions))
+    return without_day(results.filter(P.all_of(conditions)))
 
 
 def advanced_filter(
@@ -198,8 +204,8 @@ def export_matches(results: DataFrame, filters: dict | None = None) -> tuple[Dat
         conditions.append(time <= F.lit(filters["max_exec_time"]))
     start, end = filters.get("start_date"), filters.get("end_date")
     if start or end:
-        conditions.append(P.time_window(F.col("timestamp"), start, end, "date"))
-    return results.filter(P.all_of(conditions)), len(conditions)
+        conditions.append(P.within(results, start, end, "date"))
+    return without_day(results.filter(P.all_of(conditions))), len(conditions)
 
 
 def export_filter(results: DataFrame, filters: dict | None = None) -> tuple[DataFrame, int]:
@@ -218,7 +224,7 @@ def export_selection(
     if query:
         return by_query(results, query, model)
     if model:
-        return by_model(results, model, limit or 50)
+        return by_model(results, model, limit)
     return recent(results, limit or -1)
 
 

@@ -285,16 +285,18 @@ def _shown_query(query: Column, chars: int = 50) -> Column:
     return F.when(F.length(query) > chars, cut).otherwise(query)
 
 
-def summary_query_counts(results: DataFrame, limit: int = 20) -> DataFrame:
-    """The first prompts in alphabetical order with their number of runs."""
-    counts = results.groupBy("query").agg(F.count(F.lit(1)).alias("count"))
-    return counts.orderBy("query").limit(limit).select(_shown_query(F.col("query")).alias("query"), "count")
+def summary_query_counts(results: DataFrame, limit: int | None = None) -> DataFrame:
+    """The prompts in alphabetical order, or the first of them, with their number of runs."""
+    counts = results.groupBy("query").agg(F.count(F.lit(1)).alias("count")).orderBy("query")
+    counts = counts if limit is None else counts.limit(limit)
+    return counts.select(_shown_query(F.col("query")).alias("query"), "count")
 
 
-def top_queries(results: DataFrame, limit: int = 20) -> DataFrame:
-    """The prompts with the most runs."""
+def top_queries(results: DataFrame, limit: int | None = None) -> DataFrame:
+    """The prompts, most runs first; all of them unless a limit is given."""
     counts = results.groupBy("query").agg(F.count(F.lit(1)).alias("count"))
-    return counts.orderBy(F.desc("count"), "query").limit(limit)
+    ordered = counts.orderBy(F.desc("count"), "query")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def first_appearance(observations: DataFrame) -> DataFrame:

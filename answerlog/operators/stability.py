@@ -19,21 +19,21 @@ def content_stability(
 ) -> DataFrame:
     """First check at which a text had been unchanged ``threshold`` times in a row.
 
-    ``snapshots`` has ``entity_id, seq, text`` with checks numbered without gaps. Whether
-    a check is the stable one depends on the ``threshold`` checks before it only. So the
-    checks of an entity are cut into chunks, each with a copy of the last checks of the one
-    before; an entity with most of the rows is spread over many tasks. Only hash and length
-    of a text are shuffled.
+    ``snapshots`` has ``entity_id, seq, text``; numbers may have gaps. Whether a check is the
+    stable one depends on the ``threshold`` checks before it only. So the checks of an entity
+    are cut into chunks by their number, each with a copy of the last checks before it, from
+    however many chunks these come; an entity with most of the rows is spread over many
+    tasks. Only hash and length of a text are shuffled.
     """
     if threshold < 1 or min_chars < 0 or chunk <= threshold:
         raise ValueError("threshold must be positive, min_chars not negative, chunk larger")
     size = F.coalesce(F.length("text"), F.lit(0))
     digest = F.when(size > 0, F.md5("text")).otherwise(F.lit(""))
     checks = snapshots.select("entity_id", "seq", size.alias("size"), digest.alias("digest"))
-    own = F.floor(F.col("seq") / chunk)
-    overlaps = F.col("seq") % chunk >= chunk - threshold
-    chunks = F.when(overlaps, F.array(own, own + 1)).otherwise(F.array(own))
-    spread = checks.withColumn("own", own).withColumn("chunk", F.explode(chunks))
+    checks = checks.withColumn("chunk", F.floor(F.col("seq") / chunk))
+    spread = checks.withColumn("own", F.lit(True)).unionByName(
+        _before_chunks(checks, threshold).withColumn("own", F.lit(False))
+    )
     order = Window.partitionBy("entity_id", "chunk").orderBy("seq")
     unchanged = (
         (F.col("size") >= min_chars)
@@ -45,7 +45,7 @@ def content_stability(
     marked = (
         spread.withColumn("unchanged", unchanged)
         .withColumn("stable", run == threshold)
-        .filter(F.col("chunk") == F.col("own"))
+        .filter("own")
     )
     found = F.when(F.col("stable"), F.col("seq"))
     return (
@@ -63,3 +63,19 @@ def content_stability(
             "stable_length",
         )
     )
+
+
+def _before_chunks(checks: DataFrame, count: int) -> DataFrame:
+    """The last ``count`` checks before each chunk, as rows of that chunk.
+
+    Only the last checks of every chunk can be among them; these few are numbered per
+    entity, and each chunk takes the numbers before its own.
+    """
+    latest = Window.partitionBy("entity_id", "chunk").orderBy(F.desc("seq"))
+    tails = checks.withColumn("place", F.row_number().over(latest)).filter(F.col("place") <= count)
+    number = F.row_number().over(Window.partitionBy("entity_id").orderBy("seq"))
+    tails = tails.select("entity_id", "seq", "size", "digest", "chunk", number.alias("number"))
+    first = tails.groupBy("entity_id", "chunk").agg(F.min("number").alias("first")).filter("first > 1")
+    wanted = F.sequence(F.greatest(F.col("first") - count, F.lit(1)), F.col("first") - 1)
+    needs = first.select("entity_id", "chunk", F.explode(wanted).alias("number"))
+    return needs.join(tails.drop("chunk"), ["entity_id", "number"]).drop("number")

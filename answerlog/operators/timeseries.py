@@ -27,18 +27,18 @@ def metric_value(metric: str):
 
 
 def query_volume(
-    results: DataFrame, period: str = "day", model: str | None = None, limit: int = 30
+    results: DataFrame, period: str = "day", model: str | None = None, limit: int | None = None
 ) -> DataFrame:
-    """Runs per period, newest period first."""
+    """Runs per period, newest period first; all periods unless a limit is given."""
     check_period(period)
     P.check_limit(limit)
-    return (
+    counts = (
         results.filter(P.equals_model(model))
         .groupBy(period_key(F.col("timestamp"), period).alias("period"))
         .agg(F.count(F.lit(1)).alias("count"))
         .orderBy(F.desc("period"))
-        .limit(limit)
     )
+    return counts if limit is None else counts.limit(limit)
 
 
 def trend(
@@ -46,12 +46,13 @@ def trend(
     metric: str = "execution_time",
     period: str = "day",
     model: str | None = None,
-    limit: int = 30,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Mean of a metric per period over the runs that have it, newest period first."""
+    """Mean of a metric per period over the runs that have it, newest period first; all
+    periods unless a limit is given."""
     check_period(period)
     P.check_limit(limit)
-    return (
+    means = (
         results.filter(P.equals_model(model))
         .select(
             period_key(F.col("timestamp"), period).alias("period"),
@@ -61,8 +62,8 @@ def trend(
         .groupBy("period")
         .agg(F.avg("value").alias("value"))
         .orderBy(F.desc("period"))
-        .limit(limit)
     )
+    return means if limit is None else means.limit(limit)
 
 
 def trend_report(

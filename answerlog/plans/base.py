@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from answerlog.functions.scalars import show_time, source_count
+from answerlog.functions.scalars import parse_sources, show_time, source_count
+from answerlog.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -79,7 +80,10 @@ VIEWS = {
 }
 NEEDS = {"counted": ["results"]}
 ROW_COLUMNS = """id, query, model, strftime("timestamp", '%Y-%m-%d %H:%M:%S') AS "timestamp",
-  source_count, execution_time_seconds, success"""
+  md5(answer_text) AS answer_md5, CASE WHEN json_valid(sources) THEN array_to_string(
+    list_transform(from_json(sources, '[{"url":"VARCHAR","text":"VARCHAR"}]'),
+      lambda x: x.url || ' ' || x.text), '|') ELSE '' END AS links,
+  source_count, screenshot_path, execution_time_seconds, success, error_message"""
 
 
 def sql_over(views: str, body: str) -> str:
@@ -98,7 +102,7 @@ def query(name: str, views: str = "", sql: str | None = None):
     def register(function: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = lambda spark, sf_dir: rounded(function(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: rounded(function(ship_package(spark), sf_dir))
         if sql is not None:
             SQL[name] = sql_over(views, sql)
         return function
@@ -119,13 +123,19 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def shown(results: DataFrame) -> DataFrame:
-    """The columns of a run that the registered lookups return."""
+    """A whole run as the registered lookups return it: every column, the answer by its hash
+    and the links as they are parsed."""
+    links = F.transform(parse_sources(F.col("sources")), lambda x: F.concat_ws(" ", x["url"], x["text"]))
     return results.select(
         "id",
         "query",
         "model",
         show_time(F.col("timestamp")).alias("timestamp"),
+        F.md5("answer_text").alias("answer_md5"),
+        F.array_join(links, "|").alias("links"),
         source_count(F.col("sources")).alias("source_count"),
+        "screenshot_path",
         "execution_time_seconds",
         "success",
+        "error_message",
     )

@@ -9,7 +9,7 @@ from answerlog.functions import scalars as S
 from answerlog.operators import extract, retention, rollups, similarity, stability
 from answerlog.operators.aliases import MODEL_ALIASES, resolve_model
 from answerlog.plans.base import ROW_COLUMNS, query, shown
-from answerlog.plans.lookup_queries import KEY_SQL, PROMPT, runs
+from answerlog.plans.lookup_queries import KEY_SQL, PROMPT, runs, whole
 from answerlog.plans.summary_queries import full
 from answerlog.session import new_folder, with_dense_index
 from answerlog.sinks import exports, reports
@@ -38,16 +38,13 @@ def results_schema(spark, sf_dir):
 @query(
     "results_scan",
     "counted",
-    "SELECT id, source_count, CASE WHEN source_count > 0 THEN 'https://ex.org/b' END AS last_url "
-    "FROM counted",
+    f"SELECT {ROW_COLUMNS} FROM counted",
 )
 def results_scan(spark, sf_dir):
-    parsed = results.with_parsed_sources(runs(spark, sf_dir))
-    return parsed.select(
-        "id",
-        F.size("sources").cast("long").alias("source_count"),
-        F.try_element_at("sources", F.lit(-1))["url"].alias("last_url"),
-    )
+    """Whole runs, written and read back."""
+    path = new_folder(spark, "scan")
+    results.write_batch(schema.conform(whole(spark, sf_dir)), path, "all")
+    return shown(results.scan_results(spark, path))
 
 
 @query(
@@ -56,16 +53,22 @@ def results_scan(spark, sf_dir):
     f""", numbered AS (SELECT *, row_number() OVER (ORDER BY "timestamp" >= TIMESTAMP '{SPLIT}',
           "timestamp", id) AS new_id FROM results)
         SELECT new_id AS id, query, model, strftime("timestamp", '%Y-%m-%d %H:%M:%S')
-          AS "timestamp", success FROM numbered""",
+          AS "timestamp", md5(answer_text) AS answer_md5, error_message, success FROM numbered""",
 )
 def results_append(spark, sf_dir):
     """Two batches appended one after the other, then read back."""
     path = new_folder(spark, "append")
-    old, new = retention.archive_split(runs(spark, sf_dir), SPLIT)
+    old, new = retention.archive_split(whole(spark, sf_dir), SPLIT)
     for batch in (old, new):
         results.append_results(spark, batch, path)
     return results.scan_results(spark, path).select(
-        "id", "query", "model", S.show_time(F.col("timestamp")).alias("timestamp"), "success"
+        "id",
+        "query",
+        "model",
+        S.show_time(F.col("timestamp")).alias("timestamp"),
+        F.md5("answer_text").alias("answer_md5"),
+        "error_message",
+        "success",
     )
 
 
@@ -97,6 +100,35 @@ def prompt_ingest(spark, sf_dir):
     return checked.groupBy("error_code", "query", "model").agg(F.count(F.lit(1)).alias("count"))
 
 
+@query(
+    "prompt_batches",
+    "prompts",
+    f"""SELECT 'entry' AS level, error_code, CASE WHEN error_code IS NULL THEN query END AS query,
+          CASE WHEN error_code IS NULL THEN model END AS model, count(*) AS count
+        FROM ({CHECKED_SQL}) GROUP BY ALL
+        UNION ALL SELECT 'file', code, NULL, NULL, 1
+          FROM (VALUES ('invalid_json'), ('not_an_array'), ('empty')) v(code)
+        UNION ALL SELECT 'file', NULL, NULL, NULL, count(DISTINCT idx // 500) FROM prompts""",
+)
+def prompt_batches(spark, sf_dir):
+    """Prompts written as files with a JSON array of up to 500 each, and three bad files."""
+    path = new_folder(spark, "batches")
+    entries = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "raw"))), lambda e: e["raw"]), ",")
+    arrays = testdata.prompts(spark, sf_dir).groupBy(F.floor(F.col("idx") / 500)).agg(
+        F.concat(F.lit("["), entries, F.lit("]")).alias("value")
+    )
+    bad = spark.createDataFrame([("not json",), ('{"query": "q"}',), ("[]",)], "value string")
+    files = arrays.select("value").unionByName(bad)
+    files.write.option("maxRecordsPerFile", 1).text(path)
+    read = prompts.read_prompt_files(spark, path)
+    checked = prompts.validate_prompts(prompts.prompts_of_files(read).select("idx", "raw"))
+    none = F.lit(None).cast("string")
+    counted = checked.groupBy(F.lit("entry").alias("level"), "error_code", "query", "model")
+    of_files = read.groupBy(F.lit("file").alias("level"), "error_code", none.alias("query"), none.alias("model"))
+    count = F.count(F.lit(1)).alias("count")
+    return counted.agg(count).unionByName(of_files.agg(count))
+
+
 @query(
     "prompt_validate",
     "prompts",
@@ -262,9 +294,31 @@ def extract_answer_container(spark, sf_dir):
     return pages.select("page_id", extract.answer_container(F.col("html")).alias("answer"))
 
 
-@query("extract_answer", "page_text", f"{EXTRACT_SQL} SELECT * FROM extracted")
+def _boxed_sql() -> str:
+    article = _html_text_sql("regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1)")
+    return f"""boxed AS (SELECT t.*, CASE WHEN marked = '' AND clean = '' AND length({article}) > 50
+      THEN {article} ELSE '' END AS box FROM tried t LEFT JOIN pages p
+      ON p.page_id = t.page_id % (SELECT count(*) FROM pages))"""
+
+
+@query(
+    "extract_answer",
+    "page_text",
+    f"""{EXTRACT_SQL}, {_boxed_sql()}
+      SELECT page_id, marked <> '' OR clean <> '' OR box <> '' AS success,
+        coalesce(nullif(marked, ''), nullif(clean, ''), nullif(box, ''), '{extract.NO_ANSWER}') AS answer_text,
+        CASE WHEN marked <> '' THEN '{extract.MARKERS}' WHEN clean <> '' THEN '{extract.CLEAN}'
+          WHEN box <> '' THEN '{extract.CONTAINER}' END AS strategy_used,
+        CASE WHEN marked = '' AND clean = '' AND box = '' THEN '{extract.ALL_FAILED}' END AS error
+      FROM boxed""",
+)
 def extract_answer(spark, sf_dir):
-    return extract.extract_answers(testdata.page_text(spark, sf_dir))
+    """All three steps: each text with the page of its number around it."""
+    pages = testdata.table(spark, sf_dir, "pages").select(F.col("page_id").alias("_page"), "html")
+    count = pages.agg(F.count(F.lit(1))).scalar()
+    texts = testdata.page_text(spark, sf_dir)
+    both = texts.join(pages, F.col("page_id") % count == F.col("_page"), "left").drop("_page")
+    return extract.extract_answers(both)
 
 
 def _message_sql() -> str:
@@ -273,12 +327,12 @@ def _message_sql() -> str:
     ]
     for pattern in extract.ERROR_PATTERNS:
         quoted = pattern.replace("'", "''")
-        found = f"regexp_extract(substring(a, 1, 10000), '(?i)({quoted})', 1)"
+        found = f"regexp_extract(a, '(?i)({quoted})', 1)"
         cases.append(
-            f"WHEN {found} <> '' THEN 'Error message detected' || CASE WHEN length(a) > 10000 THEN "
-            f"' (checked first 10000 chars)' ELSE '' END || ': ''' || {found} || ''' matched "
+            f"WHEN {found} <> '' THEN 'Error message detected: ''' || {found} || ''' matched "
             f"pattern {quoted}'"
         )
+    cases.append("WHEN page_id % 3 = 1 THEN 'No valid source URLs found (got 1 sources)'")
     return "CASE " + " ".join(cases) + " END"
 
 
@@ -289,8 +343,14 @@ def _message_sql() -> str:
     f"{_message_sql()} AS message FROM (SELECT page_id, answer_text AS a FROM extracted))",
 )
 def validate_extraction(spark, sf_dir):
+    """With no link, one without a web url, or two of which one has it."""
     found = extract.extract_answers(testdata.page_text(spark, sf_dir))
-    message = extract.validation_error(F.col("answer_text"))
+    link = lambda url: F.struct(F.lit(url).alias("url"), F.lit("t").alias("text"))
+    number = F.col("page_id") % 3
+    links = F.when(number == 1, F.array(link("ftp://a"))).when(
+        number == 2, F.array(link("ftp://a"), link("https://b"))
+    ).otherwise(F.array().cast("array<struct<url:string,text:string>>"))
+    message = extract.validation_error(F.col("answer_text"), links)
     return found.select("page_id", message.alias("message")).select(
         "page_id", F.col("message").isNull().alias("valid"), "message"
     )
@@ -299,7 +359,8 @@ def validate_extraction(spark, sf_dir):
 EXCLUDED = ["casino", "free-bets"]
 
 
-def _harvest_sql(threshold: int, cap: int) -> str:
+def _harvest_sql(threshold: int, cap: int | None) -> str:
+    kept = f" WHERE citation_number <= {cap}" if cap else ""
     return f""", sound AS (SELECT result_id, url, text, tier, position FROM citations WHERE
         regexp_matches(url, '^https?://') AND NOT contains(lower(url), 'casino') AND NOT
         contains(lower(url), 'free-bets') AND length(text) >= 3),
@@ -312,7 +373,7 @@ def _harvest_sql(threshold: int, cap: int) -> str:
       SELECT result_id, url, text, regexp_replace(regexp_extract(url,
         '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1), '^www\\.', '') AS domain,
         citation_number FROM (SELECT *, CAST(row_number() OVER (PARTITION BY result_id
-        ORDER BY tier, position) AS INT) AS citation_number FROM used) WHERE citation_number <= {cap}"""
+        ORDER BY tier, position) AS INT) AS citation_number FROM used){kept}"""
 
 
 def _harvest(spark, sf_dir, threshold, cap):
@@ -320,9 +381,9 @@ def _harvest(spark, sf_dir, threshold, cap):
     return links.drop("title", "snippet")
 
 
-@query("harvest_citations", "citations", _harvest_sql(3, 20))
+@query("harvest_citations", "citations", _harvest_sql(3, None))
 def harvest_citations(spark, sf_dir):
-    return _harvest(spark, sf_dir, 3, 20)
+    return _harvest(spark, sf_dir, 3, None)
 
 
 @query("citation_numbering", "citations", _harvest_sql(2, 3))
@@ -401,7 +462,7 @@ def content_stability(spark, sf_dir):
     f"{ROW_COLUMNS} FROM counted",
 )
 def archive_split(spark, sf_dir):
-    old, rest = retention.archive_split(runs(spark, sf_dir), SPLIT)
+    old, rest = retention.archive_split(whole(spark, sf_dir), SPLIT)
     parts = [shown(rows).select(F.lit(name).alias("part"), "*") for name, rows in [("archive", old), ("main", rest)]]
     return parts[0].unionByName(parts[1])
 
@@ -413,7 +474,7 @@ def archive_split(spark, sf_dir):
     f"'{SPLIT}')",
 )
 def delete_failed(spark, sf_dir):
-    return shown(retention.without_failed(runs(spark, sf_dir), SPLIT))
+    return shown(retention.without_failed(whole(spark, sf_dir), SPLIT))
 
 
 @query(
@@ -422,22 +483,23 @@ def delete_failed(spark, sf_dir):
     f"SELECT {ROW_COLUMNS} FROM counted WHERE NOT success AND \"timestamp\" < TIMESTAMP '{SPLIT}'",
 )
 def archive_failed_before(spark, sf_dir):
-    return shown(retention.failed_runs(runs(spark, sf_dir), SPLIT))
+    return shown(retention.failed_runs(whole(spark, sf_dir), SPLIT))
 
 
-@query("snapshot_backup", "results", "SELECT count(*) AS records, true AS has_bytes FROM results")
+@query("snapshot_backup", "counted", f"SELECT {ROW_COLUMNS} FROM counted")
 def snapshot_backup(spark, sf_dir):
+    """The rows of a snapshot, read from its files."""
     path = new_folder(spark, "backup")
-    manifest = retention.write_snapshot(runs(spark, sf_dir), path)
-    return manifest.select("records", (F.col("bytes") > 0).alias("has_bytes"))
+    retention.write_snapshot(whole(spark, sf_dir), path)
+    return shown(spark.read.schema(schema.RESULTS).parquet(path))
 
 
-@query("snapshot_restore", "results", "SELECT count(*) AS records FROM results")
+@query("snapshot_restore", "counted", f"SELECT {ROW_COLUMNS} FROM counted")
 def snapshot_restore(spark, sf_dir):
-    path = new_folder(spark, "backup")
-    retention.write_snapshot(runs(spark, sf_dir), path)
-    restored = retention.restore_snapshot(spark, path, new_folder(spark, "restored"))
-    return restored.select("records")
+    path, target = new_folder(spark, "backup"), new_folder(spark, "restored")
+    retention.write_snapshot(whole(spark, sf_dir), path)
+    retention.restore_snapshot(spark, path, target)
+    return shown(spark.read.schema(schema.RESULTS).parquet(target))
 
 
 @query(
@@ -489,43 +551,48 @@ def export_csv_cli(spark, sf_dir):
     return rows.withColumn("timestamp", S.show_time(F.col("timestamp")))
 
 
-@query(
-    "export_json",
-    "counted",
-    f"""SELECT id, query, model, strftime("timestamp", '%Y-%m-%d %H:%M:%S') AS "timestamp",
-        source_count, success FROM counted WHERE query = '{PROMPT}'""",
+READ_BACK = (
+    "id long, query string, model string, timestamp timestamp_ntz, answer_text string, "
+    "sources array<struct<url string, text string>>, execution_time_seconds double, "
+    "success boolean, error_message string"
 )
-def export_json(spark, sf_dir):
-    """Written as JSON lines and read back."""
-    path = new_folder(spark, "export")
-    exports.export_json(runs(spark, sf_dir), path, query=PROMPT)
-    types = "id long, query string, model string, timestamp timestamp_ntz, success boolean"
-    back = spark.read.schema(f"{types}, sources array<struct<url string, text string>>").json(path)
-    return back.select(
+JSON_SQL = f"""id, query, model, strftime("timestamp", '%Y-%m-%d %H:%M:%S') AS "timestamp",
+  md5(answer_text) AS answer_md5, source_count, execution_time_seconds, success, error_message"""
+
+
+def _from_json(rows, *more):
+    """Runs as they were read from exported JSON."""
+    return rows.select(
+        *more,
         "id",
         "query",
         "model",
         S.show_time(F.col("timestamp")).alias("timestamp"),
+        F.md5("answer_text").alias("answer_md5"),
         F.size("sources").cast("long").alias("source_count"),
+        "execution_time_seconds",
         "success",
+        "error_message",
     )
 
 
+@query("export_json", "counted", f"SELECT {JSON_SQL} FROM counted WHERE model = 'model-1'")
+def export_json(spark, sf_dir):
+    """All runs of a model, written as JSON lines and read back."""
+    path = new_folder(spark, "export")
+    exports.export_json(whole(spark, sf_dir), path, model="model-1")
+    return _from_json(spark.read.schema(READ_BACK).json(path))
+
+
 @query(
     "export_json_per_result",
     "counted",
-    f"""SELECT {KEY_SQL} AS key, id AS document_id, query AS document_query, source_count
-        AS document_sources FROM counted""",
+    f"SELECT {KEY_SQL} AS key, {JSON_SQL} FROM counted",
 )
 def export_json_per_result(spark, sf_dir):
-    documents = exports.json_documents(results.with_parsed_sources(runs(spark, sf_dir)))
-    links = F.get_json_object("document", "$.sources")
-    return documents.select(
-        "key",
-        F.get_json_object("document", "$.id").cast("long").alias("document_id"),
-        F.get_json_object("document", "$.query").alias("document_query"),
-        F.json_array_length(links).cast("long").alias("document_sources"),
-    )
+    documents = exports.json_documents(results.with_parsed_sources(whole(spark, sf_dir)))
+    run = F.from_json("document", READ_BACK).alias("run")
+    return _from_json(documents.select("key", run).select("key", "run.*"), "key")
 
 
 LINKS_SQL = f"""array_to_string(list_transform(range(1, source_count + 1), lambda i:
@@ -533,20 +600,17 @@ LINKS_SQL = f"""array_to_string(list_transform(range(1, source_count + 1), lambd
   ELSE '[s](https://ex.org/a)' END), {NL})"""
 
 
-@query(
-    "render_markdown",
-    "counted",
-    rf"""SELECT id, '### Query: "' || query || '"' || {NL} || {NL} || {NL} ||
+BLOCK_SQL = rf"""'### Query: "' || query || '"' || {NL} || {NL} || {NL} ||
       '- **Model**: ' || coalesce(nullif(model, ''), 'unknown') || {NL} ||
       '- **Timestamp**: ' || strftime("timestamp", '%Y-%m-%d %H:%M:%S') || {NL} ||
       '- **Execution Time**: ' || format('{{:.1f}}', coalesce(execution_time_seconds, 0)) || 's'
       || {NL} || '- **Success**: ' || CASE WHEN success THEN '✓' ELSE '✗' END || {NL} || {NL} ||
-      '**Answer**:' || {NL} || {NL} || CASE WHEN length(answer_text) > 500 THEN
-        rtrim(substring(answer_text, 1, 500), '{S.WHITE_SPACE}') || '...'
-        ELSE coalesce(answer_text, '') END || {NL} || {NL} ||
+      '**Answer**:' || {NL} || {NL} || coalesce(answer_text, '') || {NL} || {NL} ||
       CASE WHEN source_count > 0 THEN '**Sources**:' || {NL} || {NL} || {LINKS_SQL} || {NL} || {NL}
-        ELSE '' END || '---' || {NL} AS block FROM counted""",
-)
+        ELSE '' END || '---' || {NL}"""
+
+
+@query("render_markdown", "counted", f"SELECT id, {BLOCK_SQL} AS block FROM counted")
 def render_markdown(spark, sf_dir):
     parsed = results.with_parsed_sources(full(spark, sf_dir))
     return parsed.select("id", reports.markdown_block().alias("block"))
@@ -562,8 +626,7 @@ def render_markdown(spark, sf_dir):
       '**Status:** ' || CASE WHEN success THEN 'Success' ELSE 'Failed' END || {NL} || {NL} ||
       '**Execution Time:** ' || format('{{:.2f}}', coalesce(execution_time_seconds, 0)) || 's' ||
       {NL} || {NL} || CASE WHEN coalesce(answer_text, '') <> '' THEN '### Answer' || {NL} || {NL} ||
-        CASE WHEN length(answer_text) > 500 THEN substring(answer_text, 1, 500) || '...'
-        ELSE answer_text END || {NL} || {NL} ELSE '' END ||
+        answer_text || {NL} || {NL} ELSE '' END ||
       CASE WHEN source_count > 0 THEN '### Sources' || {NL} || {NL} ||
         array_to_string(list_transform(range(1, source_count + 1), lambda i: CASE WHEN
           i = source_count THEN '- [t](https://ex.org/b)' ELSE '- [s](https://ex.org/a)' END), {NL})
@@ -587,8 +650,7 @@ def export_md_cli(spark, sf_dir):
       format('{{:.2f}}', coalesce(execution_time_seconds, 0)) || 's' || {NL} || 'Success: ' ||
       CASE WHEN success THEN '✓' ELSE '✗' || {NL} || 'Error: ' || error_message END || {NL} ||
       {NL} || 'Answer (' || CAST(coalesce(length(answer_text), 0) AS VARCHAR) || ' chars):' ||
-      {NL} || repeat('-', 80) || {NL} || CASE WHEN length(answer_text) > 500 THEN
-        substring(answer_text, 1, 500) || '...' ELSE coalesce(answer_text, '') END ||
+      {NL} || repeat('-', 80) || {NL} || coalesce(answer_text, '') ||
       CASE WHEN source_count > 0 THEN {NL} || {NL} || 'Sources (' ||
         CAST(source_count AS VARCHAR) || '):' || {NL} || repeat('-', 80) || {NL} ||
         array_to_string(list_transform(range(1, source_count + 1), lambda i: CAST(i AS VARCHAR) ||
@@ -615,50 +677,137 @@ def markdown_table(spark, sf_dir):
     return reports.markdown_table(counts, {"model": "Model", "count": "Count"}, ["model"])
 
 
-@query("comparison_report")
+GENERATED = "2024-02-01 08:00:00"
+
+
+def _table_sql(titles: str, line: str, source: str, order: str) -> str:
+    """Lines of a Markdown table: places from 0 on."""
+    count = titles.count("|") - 1
+    rule = "| " + " | ".join(["---"] * count) + " |"
+    return f"""SELECT CAST(0 AS BIGINT) AS place, '{titles}' AS line UNION ALL SELECT 1, '{rule}'
+      UNION ALL SELECT row_number() OVER (ORDER BY {order}) + 1, {line} FROM ({source})"""
+
+
+def _model_rows_sql(model: str, where: str) -> str:
+    return f"""SELECT {model} AS model, count(*) AS n,
+      sum(coalesce(execution_time_seconds, 0)) / count(*) AS mean,
+      CAST(round_even(count(*) FILTER (WHERE success) * 100.0::DOUBLE / count(*), 0) AS BIGINT) AS rate
+      FROM counted WHERE {where} GROUP BY 1"""
+
+
+COMPARED = f"query = '{PROMPT}'"
+LABEL = "coalesce(nullif(model, ''), 'unknown')"
+
+
+@query(
+    "comparison_report",
+    "counted",
+    f""", asked AS (SELECT *, {LABEL} AS label FROM counted WHERE {COMPARED}),
+      head AS (SELECT ['# Model Comparison' || {NL}, 'Query: "{PROMPT}"' || {NL},
+        'Generated: {GENERATED}' || {NL},
+        'Models Compared: ' || count(DISTINCT label) || {NL} || {NL},
+        'Total Results: ' || count(*) || {NL} || {NL}, '## Comparison Table' || {NL}] AS lines FROM asked),
+      models AS ({_table_sql(
+          "| Model | Count | Avg Execution Time | Success Rate |",
+          "'| ' || model || ' | ' || n || ' | ' || format('{:.1f}', mean) || 's | ' || rate || '% |'",
+          _model_rows_sql(LABEL, COMPARED), "model")}),
+      numbered AS (SELECT *, row_number() OVER (ORDER BY label, "timestamp" DESC, id DESC) - 1 AS place,
+        row_number() OVER (PARTITION BY label ORDER BY "timestamp" DESC, id DESC) AS number,
+        count(*) OVER (PARTITION BY label) AS runs FROM asked)
+      SELECT 0 AS section, generate_subscripts(lines, 1) - 1 AS place, unnest(lines) AS line FROM head
+      UNION ALL SELECT 1, place, line FROM models
+      UNION ALL SELECT 2, 0, {NL} || '## Detailed Results' || {NL}
+      UNION ALL SELECT 3, place, CASE WHEN number = 1 THEN '### ' || label || {NL} || 'Results: ' || runs
+          || {NL} || {NL} ELSE '' END || '#### Result ' || number || {NL} || {NL} ||
+        '- **Timestamp**: ' || strftime("timestamp", '%Y-%m-%d %H:%M:%S') || {NL} ||
+        '- **Execution Time**: ' || format('{{:.1f}}', coalesce(execution_time_seconds, 0)) || 's' || {NL} ||
+        '- **Success**: ' || CASE WHEN success THEN '✓' ELSE '✗' END || {NL} || {NL} ||
+        coalesce(answer_text, '') || {NL} FROM numbered""",
+)
 def comparison_report(spark, sf_dir):
-    return reports.comparison_report(full(spark, sf_dir), PROMPT)
+    return reports.comparison_report(full(spark, sf_dir), PROMPT, generated=GENERATED)
 
 
-@query("summary_report")
+@query(
+    "summary_report",
+    "counted",
+    f""", t AS (SELECT count(*) AS n, sum(execution_time_seconds) AS time,
+        count(*) FILTER (WHERE success) AS good, CAST(sum(source_count) AS BIGINT) AS links,
+        CAST(sum(length(answer_text)) AS BIGINT) AS chars, count(DISTINCT query) AS queries,
+        count(DISTINCT model) AS models FROM counted),
+      head AS (SELECT ['# Database Summary' || {NL}, 'Generated: {GENERATED}' || {NL} || {NL},
+        '## Overview' || {NL}, '- **Total Results**: ' || n, '- **Unique Queries**: ' || queries,
+        '- **Unique Models**: ' || models || {NL}, '## Performance Statistics' || {NL},
+        '- **Total Execution Time**: ' || format('{{:.1f}}', time) || 's',
+        '- **Average Execution Time**: ' || format('{{:.1f}}', time / n) || 's',
+        '- **Success Rate**: ' || format('{{:.1f}}', good * 100.0::DOUBLE / n) || '%',
+        '- **Successful Results**: ' || good || '/' || n || {NL}, '## Content Statistics' || {NL},
+        '- **Total Sources**: ' || links,
+        '- **Average Sources per Result**: ' || format('{{:.1f}}', links / n),
+        '- **Total Answer Characters**: ' || chars,
+        '- **Average Answer Length**: ' || CAST(round_even(chars / n, 0) AS BIGINT) || ' characters' || {NL},
+        '## Model Summary' || {NL}] AS lines FROM t),
+      models AS ({_table_sql(
+          "| Model | Count | Success Rate | Avg Time |",
+          "'| ' || model || ' | ' || n || ' | ' || rate || '% | ' || format('{:.1f}', mean) || 's |'",
+          _model_rows_sql("model", "model IS NOT NULL"), "model")}),
+      prompts AS ({_table_sql(
+          "| Query | Count |", "'| ' || query || ' | ' || n || ' |'",
+          "SELECT query, count(*) AS n FROM counted GROUP BY query", "query")})
+      SELECT 0 AS section, generate_subscripts(lines, 1) - 1 AS place, unnest(lines) AS line FROM head
+      UNION ALL SELECT 1, place, line FROM models
+      UNION ALL SELECT 2, 0, {NL} || '## Top Queries' || {NL}
+      UNION ALL SELECT 3, place, line FROM prompts""",
+)
 def summary_report(spark, sf_dir):
-    return reports.summary_report(full(spark, sf_dir))
+    return reports.summary_report(full(spark, sf_dir), generated=GENERATED)
 
 
 @query(
     "export_by_model",
-    "results",
-    "SELECT regexp_replace(model, '[^a-z0-9]', '_', 'g') AS group_key, count(*) AS record_count "
-    "FROM results WHERE model IS NOT NULL GROUP BY 1",
+    "counted",
+    f"""SELECT regexp_replace(model, '[^a-z0-9]', '_', 'g') AS group_key, {JSON_SQL}
+        FROM counted WHERE model IS NOT NULL""",
 )
 def export_by_model(spark, sf_dir):
-    grouped = exports.model_groups(runs(spark, sf_dir))
-    written = exports.export_groups(grouped, new_folder(spark, "by-model"), "json")
-    return written.filter("files > 0 AND bytes > 0").select("group_key", "record_count")
+    """Runs as the files of the groups hold them."""
+    path = new_folder(spark, "by-model")
+    exports.export_groups(exports.model_groups(whole(spark, sf_dir)), path, "json")
+    return _from_json(spark.read.schema(f"{READ_BACK}, group_key string").json(path), "group_key")
 
 
 @query(
     "export_by_period",
-    "results",
-    "SELECT strftime(\"timestamp\", '%Y-W%V') AS group_key, count(*) AS record_count "
-    "FROM results GROUP BY 1",
+    "counted",
+    """SELECT strftime("timestamp", '%Y-W%V') AS group_key, id, query,
+         coalesce(nullif(model, ''), 'unknown') AS model, md5(coalesce(answer_text, '')) AS answer_md5,
+         CAST(source_count AS VARCHAR) AS sources, success FROM counted""",
 )
 def export_by_period(spark, sf_dir):
-    grouped = exports.period_groups(runs(spark, sf_dir), "week")
-    written = exports.export_groups(grouped, new_folder(spark, "by-week"), "csv")
-    return written.filter("files > 0 AND bytes > 0").select("group_key", "record_count")
+    path = new_folder(spark, "by-week")
+    exports.export_groups(exports.period_groups(whole(spark, sf_dir), "week"), path, "csv")
+    return exports.read_groups(spark, path, "csv").select(
+        "group_key",
+        F.col("id").cast("long").alias("id"),
+        "query",
+        "model",
+        F.md5(F.coalesce("answer_text", F.lit(""))).alias("answer_md5"),
+        "sources",
+        (F.col("success") == "true").alias("success"),
+    )
 
 
 @query(
     "export_batch_cli",
-    "results",
-    "SELECT strftime(\"timestamp\", '%Y-%m-%d') AS group_key, count(*) AS record_count "
-    "FROM results GROUP BY 1",
+    "counted",
+    f"""SELECT strftime("timestamp", '%Y-%m-%d') AS group_key, md5({BLOCK_SQL}) AS block_md5
+        FROM counted""",
 )
 def export_batch_cli(spark, sf_dir):
-    grouped = exports.label_groups(runs(spark, sf_dir), "date")
-    written = exports.export_groups(grouped, new_folder(spark, "by-date"), "md")
-    return written.filter("files > 0 AND bytes > 0").select("group_key", "record_count")
+    path = new_folder(spark, "by-date")
+    exports.export_groups(exports.label_groups(whole(spark, sf_dir), "date"), path, "md")
+    blocks = exports.read_groups(spark, path, "md")
+    return blocks.select("group_key", F.md5("value").alias("block_md5"))
 
 
 @query(
@@ -667,7 +816,10 @@ def export_batch_cli(spark, sf_dir):
     "SELECT coalesce(model, 'default') AS group_key, count(*) AS record_count FROM results GROUP BY 1",
 )
 def export_manifest(spark, sf_dir):
-    return exports.group_counts(exports.label_groups(runs(spark, sf_dir)))
+    """Counts of what the files hold."""
+    path = new_folder(spark, "manifest")
+    written = exports.export_groups(exports.label_groups(whole(spark, sf_dir)), path, "json")
+    return written.filter("files > 0 AND bytes > 0").select("group_key", "record_count")
 
 
 # -- similarity ------------------------------------------------------------------------
@@ -747,8 +899,9 @@ def _drained(writer, spark, name: str) -> None:
 def stream_append_results(spark, sf_dir):
     path = new_folder(spark, "stream-log")
     arriving = testdata.results_of(testdata.stream_table(spark, sf_dir, "events"))
+    arriving = testdata.with_answers(arriving, testdata.table(spark, sf_dir, "documents"))
     _drained(jobs.append_stream(arriving, path), spark, "append-stream")
-    return shown(spark.read.schema(schema.RESULTS).parquet(path))
+    return shown(results.scan_results(spark, path))
 
 
 @query(

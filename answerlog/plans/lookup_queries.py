@@ -23,23 +23,29 @@ def rows_sql(where: str, tail: str = "") -> str:
 NEWEST = 'ORDER BY "timestamp" DESC, id DESC'
 
 
+def whole(spark, sf_dir):
+    """The whole log, for operators that return runs."""
+    return testdata.results(spark, sf_dir)
+
+
 def runs(spark, sf_dir):
+    """The log without its answers, for what counts or reads other columns only."""
     return testdata.results(spark, sf_dir, answers=False)
 
 
 @query("results_by_query", "counted", rows_sql(f"query = '{PROMPT}' AND model = 'model-1'"))
 def results_by_query(spark, sf_dir):
-    return shown(lookups.by_query(runs(spark, sf_dir), PROMPT, "model-1"))
+    return shown(lookups.by_query(whole(spark, sf_dir), PROMPT, "model-1"))
 
 
-@query("results_by_model", "counted", rows_sql("model = 'model-2'", f"{NEWEST} LIMIT 50"))
+@query("results_by_model", "counted", rows_sql("model = 'model-2'"))
 def results_by_model(spark, sf_dir):
-    return shown(lookups.by_model(runs(spark, sf_dir), "model-2"))
+    return shown(lookups.by_model(whole(spark, sf_dir), "model-2"))
 
 
 @query("recent_results", "counted", rows_sql("true", f"{NEWEST} LIMIT 50"))
 def recent_results(spark, sf_dir):
-    return shown(lookups.recent(runs(spark, sf_dir)))
+    return shown(lookups.recent(whole(spark, sf_dir), 50))
 
 
 @query(
@@ -51,12 +57,12 @@ def recent_results(spark, sf_dir):
     ),
 )
 def results_by_date_range(spark, sf_dir):
-    return shown(lookups.by_date_range(runs(spark, sf_dir), START, END, "model-0"))
+    return shown(lookups.by_date_range(whole(spark, sf_dir), START, END, "model-0"))
 
 
 @query("results_by_success", "counted", rows_sql("NOT success"))
 def results_by_success(spark, sf_dir):
-    return shown(lookups.by_success(runs(spark, sf_dir), success=False))
+    return shown(lookups.by_success(whole(spark, sf_dir), success=False))
 
 
 @query(
@@ -65,7 +71,7 @@ def results_by_success(spark, sf_dir):
     rows_sql("execution_time_seconds >= 20 AND execution_time_seconds <= 60.5"),
 )
 def results_by_execution_time(spark, sf_dir):
-    return shown(lookups.by_execution_time(runs(spark, sf_dir), 20, 60.5))
+    return shown(lookups.by_execution_time(whole(spark, sf_dir), 20, 60.5))
 
 
 @query("search_answers_ci", "counted", rows_sql("contains(lower(answer_text), lower('THE '))"))
@@ -81,17 +87,17 @@ def search_answers_cs(spark, sf_dir):
 
 @query("search_sources_cs", "counted", rows_sql("contains(sources, 'ex.org/a')"))
 def search_sources_cs(spark, sf_dir):
-    return shown(lookups.search(runs(spark, sf_dir), "ex.org/a", "sources", case_sensitive=True))
+    return shown(lookups.search(whole(spark, sf_dir), "ex.org/a", "sources", case_sensitive=True))
 
 
 @query("search_sources_ci", "counted", rows_sql("contains(lower(sources), 'json')"))
 def search_sources_ci(spark, sf_dir):
-    return shown(lookups.search(runs(spark, sf_dir), "JSON", "sources"))
+    return shown(lookups.search(whole(spark, sf_dir), "JSON", "sources"))
 
 
 @query("query_like", "counted", rows_sql("query ILIKE 'VIEW topic 1_'"))
 def query_like(spark, sf_dir):
-    return shown(lookups.query_like(runs(spark, sf_dir), "VIEW topic 1_"))
+    return shown(lookups.query_like(whole(spark, sf_dir), "VIEW topic 1_"))
 
 
 @query(
@@ -133,7 +139,7 @@ def advanced_filter(spark, sf_dir):
 )
 def advanced_filter_cli(spark, sf_dir):
     found = lookups.advanced_filter(
-        runs(spark, sf_dir),
+        whole(spark, sf_dir),
         query_pattern="TOPIC 2",
         start=START,
         end=END,
@@ -168,7 +174,7 @@ def search_all_columns(spark, sf_dir):
 )
 def export_filters(spark, sf_dir):
     rows, applied = lookups.export_filter(
-        runs(spark, sf_dir),
+        whole(spark, sf_dir),
         {
             "query_pattern": "Topic 7",
             "success": True,
@@ -190,18 +196,17 @@ def export_filters(spark, sf_dir):
 )
 def date_window_inclusive(spark, sf_dir):
     window = P.time_window(F.col("timestamp"), START, END, "date")
-    return shown(runs(spark, sf_dir).filter(window))
+    return shown(whole(spark, sf_dir).filter(window))
 
 
 @query(
     "export_precedence",
     "counted",
     f"SELECT 'query' AS chosen_by, {ROW_COLUMNS} FROM counted WHERE query = '{PROMPT}' "
-    f"UNION ALL (SELECT 'model', {ROW_COLUMNS} FROM counted WHERE model = 'model-1' "
-    f"{NEWEST} LIMIT 50) UNION ALL (SELECT 'recent', {ROW_COLUMNS} FROM counted {NEWEST} LIMIT 7)",
+    f"UNION ALL (SELECT 'model', {ROW_COLUMNS} FROM counted WHERE model = 'model-1') UNION ALL (SELECT 'recent', {ROW_COLUMNS} FROM counted {NEWEST} LIMIT 7)",
 )
 def export_precedence(spark, sf_dir):
-    log = runs(spark, sf_dir)
+    log = whole(spark, sf_dir)
     chosen = {
         "query": lookups.export_selection(log, query=PROMPT, limit=2),
         "model": lookups.export_selection(log, model="model-1"),
@@ -506,7 +511,7 @@ def sequence_ratio(spark, sf_dir):
     ),
 )
 def semi_join_ids(spark, sf_dir):
-    log = runs(spark, sf_dir)
+    log = whole(spark, sf_dir)
     ids = distribution.outliers(log, deviations=2.0).select("id")
     return shown(log.join(ids, "id", "left_semi"))
 
@@ -514,11 +519,15 @@ def semi_join_ids(spark, sf_dir):
 @query(
     "anti_join_keepers",
     "counted",
-    rows_sql('id NOT IN (SELECT min(id) FROM counted GROUP BY query, model)'),
+    rows_sql(
+        "id NOT IN (SELECT min(id) FROM counted GROUP BY query, model, CAST(\"timestamp\" AS DATE))"
+    ).replace("%H:%M:%S", "00:00:00"),
 )
 def anti_join_keepers(spark, sf_dir):
-    log = runs(spark, sf_dir)
-    first = log.groupBy("query", "model").agg(F.min("id").alias("id")).select("id")
+    # Days in place of moments, so that equal triplets occur.
+    day = F.col("timestamp").cast("date").cast("timestamp_ntz")
+    log = whole(spark, sf_dir).withColumn("timestamp", day)
+    first = log.groupBy("query", "model", "timestamp").agg(F.min("id").alias("id")).select("id")
     return shown(log.join(first, "id", "left_anti"))
 
 
@@ -539,17 +548,8 @@ def unique_models(spark, sf_dir):
     f"FROM counted WHERE query = '{PROMPT}'",
 )
 def compare_models_for_query(spark, sf_dir):
-    rows = lookups.compare_models(runs(spark, sf_dir), PROMPT)
-    return rows.select(
-        "model_label",
-        "id",
-        "query",
-        "model",
-        S.show_time(F.col("timestamp")).alias("timestamp"),
-        S.source_count(F.col("sources")).alias("source_count"),
-        "execution_time_seconds",
-        "success",
-    )
+    rows = lookups.compare_models(whole(spark, sf_dir), PROMPT)
+    return shown(rows).withColumn("model_label", S.model_label(F.col("model"), "unknown"))
 
 
 @query(
@@ -624,17 +624,17 @@ def _ranked(keep: str, columns: str, place: str) -> str:
 
 @query("dedup_keep_latest", "counted", _ranked("latest", ROW_COLUMNS, "= 1"))
 def dedup_keep_latest(spark, sf_dir):
-    return shown(dedup.deduplicate(runs(spark, sf_dir), "latest"))
+    return shown(dedup.deduplicate(whole(spark, sf_dir), "latest"))
 
 
 @query("dedup_keep_earliest", "counted", _ranked("earliest", ROW_COLUMNS, "= 1"))
 def dedup_keep_earliest(spark, sf_dir):
-    return shown(dedup.deduplicate(runs(spark, sf_dir), "earliest"))
+    return shown(dedup.deduplicate(whole(spark, sf_dir), "earliest"))
 
 
 @query("dedup_keep_best", "counted", _ranked("best", ROW_COLUMNS, "= 1"))
 def dedup_keep_best(spark, sf_dir):
-    return shown(dedup.deduplicate(runs(spark, sf_dir), "best"))
+    return shown(dedup.deduplicate(whole(spark, sf_dir), "best"))
 
 
 @query("keep_policy", "counted", _ranked("best", "id", "= 1"))
@@ -667,4 +667,4 @@ def dedup_report(spark, sf_dir):
 def dedup_exact_triplet(spark, sf_dir):
     # Days in place of moments, so that equal triplets occur.
     day = F.col("timestamp").cast("date").cast("timestamp_ntz")
-    return shown(dedup.deduplicate_triplets(runs(spark, sf_dir).withColumn("timestamp", day)))
+    return shown(dedup.deduplicate_triplets(whole(spark, sf_dir).withColumn("timestamp", day)))

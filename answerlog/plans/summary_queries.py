@@ -97,7 +97,7 @@ def _volume(period: str) -> None:
         f"query_volume_{period}",
         "results",
         f"SELECT {key} AS period, count(*) AS count FROM results GROUP BY 1 "
-        "ORDER BY period DESC LIMIT 30",
+        "ORDER BY period DESC",
     )
     def volume(spark, sf_dir):
         return timeseries.query_volume(runs(spark, sf_dir), period)
@@ -122,7 +122,7 @@ def _trend(metric: str, period: str) -> None:
         f"trend_{metric}_{period}",
         "results",
         f"SELECT {key} AS period, round(avg({value}), 6) AS value FROM results WHERE {value} IS "
-        "NOT NULL GROUP BY 1 ORDER BY period DESC LIMIT 30",
+        "NOT NULL GROUP BY 1 ORDER BY period DESC",
     )
     def trend(spark, sf_dir):
         return timeseries.trend(_log_for(metric, spark, sf_dir), metric, period)
@@ -154,7 +154,7 @@ for _metric in METRIC_SQL:
     for _period in FORMATS:
         _trend(_metric, _period)
 for _metric in (*METRIC_SQL, "query_volume"):
-    for _period in ("day", "week"):
+    for _period in FORMATS:
         _trend_cli(_metric, _period)
 
 
@@ -188,14 +188,17 @@ def _distribution(metric: str) -> None:
     def histogram(spark, sf_dir):
         return distribution.histogram(_log_for(metric, spark, sf_dir), metric)
 
+    # One failure in seven lies 2.4 deviations from the mean, so 2.5 would find none.
+    deviations = 2.0 if metric == "success_rate" else 2.5
+
     @query(
         f"outliers_{metric}",
         "counted",
         f"""SELECT {ROW_COLUMNS} FROM counted WHERE abs({value} - (SELECT avg({value}) FROM counted))
-            > 2.5 * (SELECT stddev_samp({value}) FROM counted)""",
+            > {deviations} * (SELECT stddev_samp({value}) FROM counted)""",
     )
     def outliers(spark, sf_dir):
-        return shown(distribution.outliers(_log_for(metric, spark, sf_dir), metric, 2.5))
+        return shown(distribution.outliers(full(spark, sf_dir), metric, deviations))
 
 
 for _metric in METRIC_SQL:
@@ -316,7 +319,7 @@ def summary_overall(spark, sf_dir):
 @query(
     "summary_query_counts",
     "results",
-    "SELECT query, count(*) AS count FROM results GROUP BY query ORDER BY query LIMIT 20",
+    "SELECT query, count(*) AS count FROM results GROUP BY query ORDER BY query",
 )
 def summary_query_counts(spark, sf_dir):
     return rollups.summary_query_counts(runs(spark, sf_dir))
@@ -325,7 +328,7 @@ def summary_query_counts(spark, sf_dir):
 @query(
     "top_queries",
     "results",
-    "SELECT query, count(*) AS count FROM results GROUP BY query ORDER BY count DESC, query LIMIT 20",
+    "SELECT query, count(*) AS count FROM results GROUP BY query ORDER BY count DESC, query",
 )
 def top_queries(spark, sf_dir):
     return rollups.top_queries(runs(spark, sf_dir))

@@ -160,7 +160,7 @@ def export_json_documents(results: DataFrame, path: str) -> DataFrame:
 
 
 def export_markdown(
-    results: DataFrame, path: str, filters: dict | None = None, full: bool = False
+    results: DataFrame, path: str, filters: dict | None = None, full: bool = True
 ) -> DataFrame:
     """Filtered runs as Markdown blocks, newest first, after a heading with the total."""
     check_output(path, ".md")
@@ -190,7 +190,7 @@ def export_markdown(
 
 
 def export_markdown_report(
-    results: DataFrame, path: str, full: bool = False, limit: int | None = None, **conditions
+    results: DataFrame, path: str, full: bool = True, limit: int | None = None, **conditions
 ) -> DataFrame:
     """Numbered sections of an advanced filter, newest first."""
     check_output(path)
@@ -260,12 +260,30 @@ def export_groups(grouped: DataFrame, path: str, format: str = "json") -> DataFr
         block = reports.markdown_block(full=True).alias("value")
         blocks = with_parsed_sources(spread).select("group_key", block)
         blocks.write.mode("errorifexists").partitionBy("group_key").text(path)
-    return manifest(grouped, path)
+    return manifest(grouped.sparkSession, path, format)
 
 
-def manifest(grouped: DataFrame, path: str) -> DataFrame:
-    """Counts per group next to the files that were written for it."""
-    spark = grouped.sparkSession
+BLOCK_END = "---\n\n"  # ends every Markdown block of a file
+
+
+def read_groups(spark: SparkSession, path: str, format: str) -> DataFrame:
+    """What the files of :func:`export_groups` hold, with the ``group_key`` of each record.
+
+    CSV gives its columns as text, Markdown a ``value`` per block, JSON a ``value`` per line.
+    """
+    if format == "csv":
+        fields = ", ".join(f"{name} string" for name in [*csv_columns(), "group_key"])
+        reader = spark.read.schema(fields).option("header", True).option("escape", '"')
+        return reader.option("multiLine", True).csv(path)
+    reader = spark.read.schema("value string, group_key string")
+    if format == "json":
+        return reader.text(path)
+    blocks = reader.option("lineSep", BLOCK_END).text(path)
+    return blocks.withColumn("value", F.concat("value", F.lit("---\n")))
+
+
+def manifest(spark: SparkSession, path: str, format: str) -> DataFrame:
+    """The records that the files of each group hold, and number and size of the files."""
     # The group is a column of the path; given as text it is not guessed to be a date.
     listing = spark.read.format("binaryFile").schema(
         "path string, modificationTime timestamp, length long, content binary, group_key string"
@@ -275,4 +293,5 @@ def manifest(grouped: DataFrame, path: str) -> DataFrame:
         .groupBy("group_key")
         .agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
     )
-    return group_counts(grouped).join(files, "group_key", "left").orderBy("group_key")
+    counts = group_counts(read_groups(spark, path, format))
+    return counts.join(files, "group_key", "left").orderBy("group_key")

@@ -54,7 +54,7 @@ def _numbered_links(links: Column) -> Column:
     return F.array_join(F.transform(links, item), "\n")
 
 
-def markdown_block(full: bool = False) -> Column:
+def markdown_block(full: bool = True) -> Column:
     """One run as a Markdown block. Needs parsed ``sources``."""
     answer = F.coalesce("answer_text", F.lit(""))
     links = F.when(
@@ -77,7 +77,7 @@ def markdown_block(full: bool = False) -> Column:
     )
 
 
-def report_block(full: bool = False) -> Column:
+def report_block(full: bool = True) -> Column:
     """One run as a numbered section. Needs parsed ``sources`` and a ``number`` column."""
     answer = F.col("answer_text")
     shown = answer if full else answer_preview(answer)
@@ -105,7 +105,7 @@ def report_block(full: bool = False) -> Column:
     )
 
 
-def display_text(full: bool = False) -> Column:
+def display_text(full: bool = True) -> Column:
     """One run as plain text for a terminal. Needs parsed ``sources``."""
     answer = F.coalesce("answer_text", F.lit(""))
     failed = ~F.coalesce("success", F.lit(True))
@@ -182,7 +182,9 @@ def _heading(results: DataFrame, number: int, *lines: Column | str) -> DataFrame
     )
 
 
-def _now() -> Column:
+def _time_shown(generated: str | None) -> Column:
+    if generated is not None:
+        return F.lit(generated)
     return F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
 
 
@@ -191,8 +193,13 @@ def _percent(value: Column, digits: int) -> Column:
     return F.concat(shown, F.lit("%"))
 
 
-def comparison_report(results: DataFrame, query: str) -> DataFrame:
-    """Models side by side for one prompt: ``section, place, line`` in reading order."""
+def comparison_report(
+    results: DataFrame, query: str, chars: int | None = None, generated: str | None = None
+) -> DataFrame:
+    """Models side by side for one prompt: ``section, place, line`` in reading order.
+
+    Answers are whole unless cut at ``chars``; ``generated`` is the time to show, else now.
+    """
     asked = results.filter(F.col("query") == F.lit(query))
     totals = asked.agg(
         F.count(F.lit(1)).alias("total"),
@@ -203,7 +210,7 @@ def comparison_report(results: DataFrame, query: str) -> DataFrame:
         0,
         "# Model Comparison\n",
         f'Query: "{query}"\n',
-        F.concat(F.lit("Generated: "), _now(), F.lit("\n")),
+        F.concat(F.lit("Generated: "), _time_shown(generated), F.lit("\n")),
         F.concat(F.lit("Models Compared: "), F.col("models").cast("string"), F.lit("\n\n")),
         F.concat(F.lit("Total Results: "), F.col("total").cast("string"), F.lit("\n\n")),
         "## Comparison Table\n",
@@ -241,7 +248,7 @@ def comparison_report(results: DataFrame, query: str) -> DataFrame:
         _said("- **Execution Time**: ", _seconds(1)),
         _said("- **Success**: ", _mark(F.col("success"))),
         "",
-        truncate_text(F.col("answer_text"), COMPARISON_CHARS),
+        F.coalesce("answer_text", F.lit("")) if chars is None else truncate_text(F.col("answer_text"), chars),
         "",
     )
     body = numbered.join(F.broadcast(firsts), "label").select("place", block.alias("line"))
@@ -254,8 +261,10 @@ def comparison_report(results: DataFrame, query: str) -> DataFrame:
     )
 
 
-def summary_report(results: DataFrame, queries: int = 20) -> DataFrame:
-    """Totals, models and first prompts of the log: ``section, place, line``."""
+def summary_report(
+    results: DataFrame, queries: int | None = None, generated: str | None = None
+) -> DataFrame:
+    """Totals, models and prompts, or the first of them: ``section, place, line``."""
     overall = rollups.summary_overall(results)
     unique = results.agg(
         F.countDistinct("query").alias("unique_queries"),
@@ -278,7 +287,7 @@ def summary_report(results: DataFrame, queries: int = 20) -> DataFrame:
         totals,
         0,
         "# Database Summary\n",
-        F.concat(F.lit("Generated: "), _now(), F.lit("\n\n")),
+        F.concat(F.lit("Generated: "), _time_shown(generated), F.lit("\n\n")),
         "## Overview\n",
         said("Total Results", whole("total_results")),
         said("Unique Queries", whole("unique_queries")),

@@ -1,7 +1,12 @@
-"""Reading and appending the results table."""
+"""Reading and appending the results table.
+
+The table is stored by day and batch (``dt=…/batch=…``), by batch jobs and streams alike.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,19 +17,23 @@ from answerlog.session import with_dense_index
 
 
 def scan_results(
-    spark: SparkSession, path: str, start: str | None = None, end: str | None = None
+    spark: SparkSession,
+    path: str,
+    start: str | None = None,
+    end: str | None = None,
+    keep_day: bool = False,
 ) -> DataFrame:
-    """Read a results table written by :func:`append_results`.
+    """Read a results table written by :func:`append_results` or by the append stream.
 
-    ``start`` and ``end`` are dates; they prune the daily partitions.
+    ``start`` and ``end`` are dates; they prune the daily partitions. With ``keep_day`` the
+    column ``dt`` of these partitions stays, and lookups with date bounds prune by it.
     """
-    stored = T.StructType([*schema.RESULTS.fields, T.StructField("dt", T.DateType())])
-    table = spark.read.schema(stored).parquet(path)
+    table = _stored(spark, path)
     if start:
         table = table.filter(F.col("dt") >= F.lit(start).cast("date"))
     if end:
         table = table.filter(F.col("dt") <= F.lit(end).cast("date"))
-    return table.drop("dt")
+    return table.select(*schema.RESULTS.names, *["dt"] * keep_day)
 
 
 def with_parsed_sources(results: DataFrame) -> DataFrame:
@@ -32,23 +41,58 @@ def with_parsed_sources(results: DataFrame) -> DataFrame:
     return results.withColumn("sources", parse_sources(F.col("sources")))
 
 
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    parts = [T.StructField("dt", T.DateType()), T.StructField("batch", T.StringType())]
+    return spark.read.schema(T.StructType([*schema.RESULTS.fields, *parts])).parquet(path)
+
+
+def write_batch(rows: DataFrame, path: str, batch: str) -> None:
+    """Write runs as one batch of the log; the same batch written again takes its place."""
+    daily = rows.select(*schema.RESULTS.names, F.to_date("timestamp").alias("dt"), F.lit(batch).alias("batch"))
+    writer = daily.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("dt", "batch").parquet(path)
+
+
 def append_results(spark: SparkSession, batch: DataFrame, path: str) -> DataFrame:
     """Add a batch of runs and return it with its new ids, which go on after the largest id.
 
     Runs are numbered in the order of their time. That order also keeps the runs of a day
-    together, so the daily partitions are written without another shuffle.
+    together, so the daily partitions are written without another shuffle. A batch is named
+    by its last id, so the next one learns it from the names and does not read the log.
     """
     order = [F.col(name) for name in ("timestamp", "query", "model", "execution_time_seconds")]
-    batch = schema.conform(batch).drop("id")
-    numbered = with_dense_index(batch, order, "id", _last_id(spark, path) + 1)
+    start = _last_id(spark, path) + 1
+    numbered = with_dense_index(schema.conform(batch).drop("id"), order, "id", start)
     rows = numbered.select(*schema.RESULTS.names)
-    daily = rows.withColumn("dt", F.to_date("timestamp"))
-    daily.write.mode("append").partitionBy("dt").parquet(path)
+    last = rows.agg(F.max("id")).first()[0]
+    if last is not None:
+        write_batch(rows, path, f"{last:019d}-{uuid.uuid4().hex}")
     return rows
 
 
+def without_known(rows: DataFrame, path: str, batch: str) -> DataFrame:
+    """Runs whose id no other batch of the log holds. Only the days of the runs are read."""
+    spark = rows.sparkSession
+    if not _batches(spark, path):
+        return rows
+    first, last = rows.agg(F.min(F.to_date("timestamp")), F.max(F.to_date("timestamp"))).first()
+    days = F.col("dt").isNull() | F.col("dt").between(F.lit(first), F.lit(last))
+    known = _stored(spark, path).filter(days & (F.col("batch") != batch)).select("id")
+    return rows.join(known, "id", "left_anti")
+
+
+def _batches(spark: SparkSession, path: str) -> set[str]:
+    """Names of the batches of a log; none if there is no log yet."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/dt=*/batch=*")
+    system = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+    return {found.getPath().getName().removeprefix("batch=") for found in system.globStatus(pattern) or []}
+
+
 def _last_id(spark: SparkSession, path: str) -> int:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return 0
-    return scan_results(spark, path).agg(F.max("id")).first()[0] or 0
+    names = _batches(spark, path)
+    numbered = [int(name.split("-")[0]) for name in names if name[:19].isdigit()]
+    last = max(numbered, default=0)
+    if len(numbered) < len(names):  # streams keep the ids that arrive
+        arrived = _stored(spark, path).filter(~F.col("batch").rlike("^[0-9]{19}-"))
+        last = max(last, arrived.agg(F.max("id")).first()[0] or 0)
+    return last

@@ -61,9 +61,12 @@ def results_of(events: DataFrame) -> DataFrame:
 def results(spark: SparkSession, sf_dir: str, answers: bool = True) -> DataFrame:
     """The results table; without ``answers`` the texts are not joined and stay NULL."""
     runs = results_of(table(spark, sf_dir, "events"))
-    if not answers:
-        return runs
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return with_answers(runs, table(spark, sf_dir, "documents")) if answers else runs
+
+
+def with_answers(runs: DataFrame, documents: DataFrame) -> DataFrame:
+    """Runs, also those of a stream, with the texts of documents as answers."""
+    documents = documents.select("doc_id", "text")
     count = documents.agg(F.count(F.lit(1))).scalar()
     number = F.col("id")
     answer = _choice(

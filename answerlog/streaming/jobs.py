@@ -14,6 +14,8 @@ from answerlog import schema
 from answerlog.functions.scalars import PERIODS, check_period
 from answerlog.operators.stability import MIN_CHARS, STABLE_CHECKS
 from answerlog.operators.timeseries import check_metric, metric_value
+from answerlog.session import pin
+from answerlog.sources import results
 
 STABLE_ROW = "entity_id long, stable boolean, stable_seq long, stable_length long"
 STABLE_STATE = "digest string, size long, run int, checks long, done boolean"
@@ -28,19 +30,21 @@ def _wall_clock(moment: Column) -> Column:
     return F.to_utc_timestamp(moment, F.current_timezone()).cast("timestamp_ntz")
 
 
-def append_stream(runs: DataFrame, path: str, delay: str = "1 hour") -> DataStreamWriter:
-    """Append arriving runs to the log, each id once within ``delay``.
+def append_stream(runs: DataFrame, path: str) -> DataStreamWriter:
+    """Append arriving runs to the log of :func:`answerlog.sources.results.append_results`.
 
-    Every micro-batch overwrites its own folder, so a batch that is run again after a
-    failure leaves no second copy. Set the checkpoint location before starting.
+    A run is added once by its id, however late it or its copy arrives; the ids of the same
+    days in the log tell. A micro-batch that is run again after a failure replaces what it
+    wrote. Missing columns get the defaults of a batch. Set the checkpoint location before
+    starting.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        name = f"stream-{number}"
+        fresh = pin(schema.conform(batch).dropDuplicates(["id"]))
+        results.write_batch(results.without_known(fresh, path, name), path, name)
 
-    timed = runs.withColumn("event_time", _event_time(F.col("timestamp")))
-    fresh = timed.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["id"])
-    return fresh.select(*schema.RESULTS.names).writeStream.foreachBatch(write)
+    return runs.writeStream.foreachBatch(write)
 
 
 def trend_stream(

@@ -72,7 +72,12 @@ def test_validation(spark):
     assert got[2].startswith("Error message detected: 'Not Found' matched")
     assert got[3] is None
     assert got[4] == "No valid source URLs found (got 2 sources)"
-    assert got[5] is None and got[6] is None
+    assert got[5] is None
+    assert got[6].startswith("Error message detected: 'error'"), "errors are found after 10,000 characters"
+    assert got[7].startswith("Error message detected: 'error'")
+    bounded = extract.validation_error(F.col("answer"), F.col("links"), check_chars=10_000).alias("m")
+    got = [r["m"] for r in rows_of(df.select(bounded))]
+    assert got[6] is None
     assert got[7].startswith("Error message detected (checked first 10000 chars): 'error'")
 
 
@@ -130,7 +135,14 @@ def test_one_page_with_most_links(spark):
         F.lit("text").alias("text"),
     )
     got = rows_of(extract.harvest_citations(links, []).orderBy("citation_number"))
-    assert [r["citation_number"] for r in got] == list(range(1, 21))
+    assert [r["citation_number"] for r in got] == list(range(1, 351)), "tier 1 suffices, and all of it counts"
+    few = rows_of(extract.harvest_citations(links, [], cap=20).orderBy("citation_number"))
+    assert few == got[:20]
+    more = rows_of(extract.harvest_citations(links, [], threshold=351).orderBy("citation_number"))
+    assert [r["citation_number"] for r in more] == list(range(1, 701)) and more[:350] == got
+    split = rows_of(extract._numbered(links.dropDuplicates(["url"]), stretch=7))
+    order = sorted(split, key=lambda r: (r["tier"], r["position"]))
+    assert [r["citation_number"] for r in order] == list(range(1, 701))
     assert got[0]["url"] == "https://x.example/0" and got[1]["url"] == "https://x.example/2"
 
 
@@ -200,6 +212,22 @@ def test_stability_equals_the_loop(spark, threshold, min_chars, chunk):
         assert got[entity]["stable"] == (want is not None)
 
 
+@pytest.mark.parametrize("threshold, min_chars, chunk", [(3, 20, 5), (2, 0, 4), (1, 10, 3), (4, 5, 6)])
+def test_stability_with_gaps_in_the_numbers(spark, threshold, min_chars, chunk):
+    """Checks before a chunk may come from any number of chunks."""
+    entities, rnd = growing_texts(11), random.Random(3)
+    rows, numbers = [], {}
+    for entity, texts in entities.items():
+        places = sorted(rnd.sample(range(1, 12 * len(texts) + 1), len(texts)))
+        numbers[entity] = places
+        rows += [(entity, s, t) for s, t in zip(places, texts)]
+    df = spark.createDataFrame(rows, "entity_id int, seq long, text string")
+    got = {r["entity_id"]: r for r in rows_of(stability.content_stability(df, threshold, min_chars, chunk))}
+    for entity, texts in entities.items():
+        want = stable_by_loop(texts, threshold, min_chars)
+        assert got[entity]["stable_seq"] == (want and numbers[entity][want - 1])
+
+
 def test_schema_defaults(spark):
     batch = spark.createDataFrame([("q", [("u", "t")])], "query string, sources array<struct<url string, text string>>")
     row = one(schema.conform(batch))

@@ -4,9 +4,9 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from answerlog import schema
 from answerlog.operators import stability
 from answerlog.session import new_folder
+from answerlog.sources import results
 from answerlog.streaming import jobs
 from tests.conftest import rows_of
 from tests.test_extraction import growing_texts
@@ -27,13 +27,34 @@ def drain(spark, writer, name, checkpoint=None):
     assert stream.awaitTermination(300)
 
 
-def test_append_stream_keeps_each_id_once(spark, diverse):
-    stream = batches_of(spark, [diverse.filter("id <= 12"), diverse.filter("id > 8")], "runs")
+def test_append_stream_keeps_each_id_once_and_late_runs(spark, diverse):
+    # The oldest runs come last, with copies of others; none is lost or doubled.
+    parts = [diverse.filter("id BETWEEN 13 AND 30"), diverse.filter("id BETWEEN 9 AND 14"), diverse.filter("id <= 10")]
+    stream = batches_of(spark, parts, "runs")
     path, place = new_folder(spark, "log"), new_folder(spark, "check")
-    writer = jobs.append_stream(stream, path, "60 days")
-    drain(spark, writer, "append", place)
-    stored = spark.read.schema(schema.RESULTS).parquet(path)
+    drain(spark, jobs.append_stream(stream, path), "append", place)
+    stored = results.scan_results(spark, path)
     assert sorted(r["id"] for r in stored.collect()) == list(range(1, 31))
+    assert rows_of(stored.orderBy("id")) == rows_of(diverse.orderBy("id"))
+
+
+def test_batch_and_stream_share_one_log(spark, diverse):
+    path = new_folder(spark, "log")
+    drain(spark, jobs.append_stream(batches_of(spark, [diverse.filter("id <= 12")], "runs"), path), "append")
+    more = results.append_results(spark, diverse.filter("id > 12"), path)
+    assert sorted(r["id"] for r in more.collect()) == list(range(13, 31))
+    again = results.append_results(spark, diverse.filter("id = 1"), path)
+    assert [r["id"] for r in again.collect()] == [31]
+    assert results.scan_results(spark, path).count() == 31
+    some = results.scan_results(spark, path, start="2024-01-20")
+    assert {r["timestamp"].day >= 20 for r in some.collect()} == {True}
+
+
+def test_a_batch_written_again_takes_its_place(spark, diverse):
+    path = new_folder(spark, "log")
+    for _ in range(2):
+        results.write_batch(diverse, path, "stream-0")
+    assert results.scan_results(spark, path).count() == 30
 
 
 def test_stability_stream_equals_the_batch_result(spark):
