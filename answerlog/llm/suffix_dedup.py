@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from answerlog.llm.steps import Steps
 from answerlog.llm.textkit import document_blocks, mix, powers, text_bytes, _BYTES
-from answerlog.session import new_folder
 
 SHARD = 4 << 20
 MOST_WINDOWS = 256
@@ -421,12 +421,7 @@ def suffix_dedup(
     ``payload`` is an expression over ``kept`` that takes its place, under its own name, so
     that texts need not be moved to the documents."""
     spark = docs.sparkSession
-    folder = new_folder(spark, "suffixes")
-
-    def saved(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
-
+    saved = Steps(spark, "suffixes").saved
     payload = F.col("kept") if payload is None else payload
     body = F.coalesce(F.col(text).cast("binary"), F.lit("").cast("binary"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("kept"))
@@ -469,13 +464,14 @@ def suffix_dedup(
     single = saved(single, "single")
     twice = single.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window")
     one_by_one = single.join(twice, "window").select("hash", "name", "a", F.col("a").alias("b"))
-    repeated = whole.unionByName(by_shard).unionByName(one_by_one)
+    repeated = saved(whole.unionByName(by_shard).unionByName(one_by_one), "windows")
     spans = snippets.select("hash", "name", "key", "first").join(repeated, ["hash", "name"]).groupBy("key").agg(
         F.collect_list(F.struct((F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b")))
         .alias("spans")
     )
     changed = candidates.select("key", "text").join(spans, "key").select("key", "text", "spans")
     kept = changed.mapInArrow(_keep(length), KEPT).select("key", "n_removed", "n_spans", payload)
+    kept = saved(kept, "kept")
     name = kept.columns[-1]
     copies = rows.filter(F.col("n_bytes") >= length).groupBy("key").agg(F.count("*").alias("copies")).filter("copies > 1")
     empty = spark.range(1).select(F.lit("").cast("binary").alias("kept")).select(payload)
