@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from answerlog.llm.steps import Steps
 from answerlog.llm.textkit import BLOCK, WHITE, document_blocks, mix, powers, text_bytes, word_bounds, span_hashes
-from answerlog.session import new_folder
 
 BROADCAST = 4_000_000
 ENDS = np.zeros(256, bool)
@@ -159,13 +159,8 @@ def substring_dedup(
     """``docs`` with a struct ``into``: the remaining ``text``, ``n_removed`` and
     ``n_sentences``. An input column of that name is replaced."""
     spark = docs.sparkSession
-    folder = new_folder(spark, "spans")
+    saved = Steps(spark, "spans").saved
     rule = (least, words, longest)
-
-    def saved(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
-
     doc = F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1))
     body = F.coalesce(F.col(text), F.lit(""))
     # Equal documents give equal rows here, so counting one document's copies needs distinct places.
