@@ -42,8 +42,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from answerlog.llm.components import components
+from answerlog.llm.steps import Steps
 from answerlog.llm.textkit import mix, shingle_sets
-from answerlog.session import new_folder, pin
 
 LEAF = 16
 PART = 3000  # most sets in one task's block
@@ -205,14 +205,13 @@ def _describe(width: int):
 
 
 def _prefixes(width: int, percent: int, hot):
-    """(shingle, a) for the prefix of every set, once per task and set."""
+    """(shingle, a, n) for the prefix of every set, once per task and set."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         late = hot.value
         for batch in batches:
-            tokens, owners = [np.empty(0, np.uint64)], []
-            lengths = []
+            tokens, owners, lengths, sizes = [np.empty(0, np.uint64)], [], [], []
             for shingles in shingle_sets(batch.column(0), width):
                 n = len(shingles)
                 if not n:
@@ -232,9 +231,14 @@ def _prefixes(width: int, percent: int, hot):
                 tokens.append(shingles[:length])
                 owners.append(key[0])
                 lengths.append(length)
-            token = np.concatenate(tokens).view(np.int64)
+                sizes.append(n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(token), pa.array(np.repeat(np.array(owners, np.int64), lengths))], ["shingle", "a"]
+                [
+                    pa.array(np.concatenate(tokens).view(np.int64)),
+                    pa.array(np.repeat(np.array(owners, np.int64), lengths)),
+                    pa.array(np.repeat(np.array(sizes, np.int32), lengths)),
+                ],
+                ["shingle", "a", "n"],
             )
 
     return prefixes
@@ -330,16 +334,34 @@ def _small_pairs(heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(left), np.concatenate(right)
 
 
-def _bound_holds(points: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-    """Whether pairs may be similar, by sizes and points."""
-    fits = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
-    for low in range(0, len(x), 100_000):
-        part = np.flatnonzero(fits[low : low + 100_000]) + low
-        i, j = x[part], y[part]
-        least = np.minimum(points[i], points[j])
-        bound = least.sum(1, dtype=np.int64) + np.where((least == 255).any(1), 1 << 60, 0)
-        fits[part] = bound >= needed(n[i], n[j], percent)
-    return fits
+class _Points:
+    """Count vectors of some rows in 128 groups, and in more where the rows have more."""
+
+    def __init__(self, raw: list[bytes], n: np.ndarray):
+        vectors = [np.frombuffer(x, np.uint8) for x in raw]
+        self.n, self.tables = n, []
+        for groups in (128, 512, 2048):
+            rows = np.array([i for i, x in enumerate(vectors) if len(x) >= groups], np.int64)
+            if len(rows):
+                place = np.full(len(vectors), -1, np.int64)
+                place[rows] = np.arange(len(rows))
+                self.tables.append((place, np.array([folded(vectors[i], groups) for i in rows])))
+        self.coarse = self.tables[0][1] if self.tables else np.empty((0, 128), np.uint8)
+
+    def similar(self, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+        """Whether pairs may be similar, by sizes and then by ever finer points."""
+        n = self.n
+        fits = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
+        for place, points in self.tables:
+            have = np.flatnonzero(fits & (place[x] >= 0) & (place[y] >= 0))
+            step = max(1, 10_000_000 // points.shape[1])
+            for low in range(0, len(have), step):
+                part = have[low : low + step]
+                i, j = x[part], y[part]
+                least = np.minimum(points[place[i]], points[place[j]])
+                bound = least.sum(1, dtype=np.int64) + np.where((least == 255).any(1), 1 << 60, 0)
+                fits[part] = bound >= needed(n[i], n[j], percent)
+        return fits
 
 
 def _partnered(percent: int):
@@ -350,19 +372,21 @@ def _partnered(percent: int):
         for table in _runs(batches, 3):
             heads = _heads(table, 3)
             n = table.column(5).to_numpy()
-            points = np.array([folded(np.frombuffer(x, np.uint8), 128) for x in table.column(6).to_pylist()])
+            points = _Points(table.column(6).to_pylist(), n)
             has = np.zeros(len(n), bool)
             x, y = _small_pairs(heads)
-            fits = _bound_holds(points, n, x, y, percent)
+            fits = points.similar(x, y, percent)
             has[x[fits]] = has[y[fits]] = True
             sizes = np.diff(heads)
             for a, b in zip(heads[:-1][sizes > SMALL].tolist(), heads[1:][sizes > SMALL].tolist()):
-                tree = CountTree(points[a:b], n[a:b])
-                for q in range(b - a):
-                    if not has[a + q]:
-                        near = tree.near(points[a + q], int(n[a + q]), percent)
-                        if len(near) > 1:
-                            has[a + near] = True
+                tree = CountTree(points.coarse[a:b], n[a:b])
+                for q in range(a, b):
+                    if not has[q]:
+                        near = a + tree.near(points.coarse[q], int(n[q]), percent)
+                        near = near[near != q]
+                        near = near[points.similar(np.full(len(near), q), near, percent)]
+                        if len(near):
+                            has[q] = has[near] = True
             rows = pa.array(np.flatnonzero(has))
             yield pa.RecordBatch.from_arrays(
                 [table.column(i).combine_chunks().take(rows) for i in (0, 4, 5)], ["shingle", "v", "n"]
@@ -381,17 +405,17 @@ def _candidates(percent: int):
             one, two, mine, v, comp, n = (table.column(i).to_numpy() for i in (1, 2, 3, 4, 5, 6))
             raw = table.column(7).to_pylist()
             firsts = np.stack([table.column(i).to_numpy() for i in (8, 9, 10)], axis=1)
-            points = np.array([folded(np.frombuffer(x, np.uint8), 128) for x in raw])
+            points = _Points(raw, n)
             sizes = np.diff(heads)
             found = [_small_pairs(heads)]
             for a, b in zip(heads[:-1][sizes > SMALL].tolist(), heads[1:][sizes > SMALL].tolist()):
                 if (comp[a:b] == comp[a]).all():
                     continue
-                tree = CountTree(points[a:b], n[a:b])
+                tree = CountTree(points.coarse[a:b], n[a:b])
                 labels, counts = np.unique(comp[a:b], return_counts=True)
                 inside = comp[a:b] == labels[counts.argmax()]
                 for q in np.flatnonzero(~inside):
-                    near = tree.near(points[a + q], int(n[a + q]), percent)
+                    near = tree.near(points.coarse[a + q], int(n[a + q]), percent)
                     near = near[(near < q) | inside[near]]
                     found.append((np.full(len(near), a + q), a + near))
             x, y = (np.concatenate(side) for side in zip(*found))
@@ -404,7 +428,7 @@ def _candidates(percent: int):
                 for j in range(3):
                     verified |= (firsts[x, i] == firsts[y, j]) & (firsts[x, i] != 0)
             x, y = x[~verified], y[~verified]
-            fits = _bound_holds(points, n, x, y, percent)
+            fits = points.similar(x, y, percent)
             x, y = v[x[fits]], v[y[fits]]
             pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["x", "y"])
@@ -424,11 +448,7 @@ class JaccardJoin:
         self.spark: SparkSession = docs.sparkSession
         self.docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
         self.width, self.percent = width, percent
-        self.folder = new_folder(self.spark, "jaccard")
-
-    def saved(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.folder}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+        self.saved = Steps(self.spark, "jaccard").saved
 
     def links(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Documents with the key of their set, vertices (``v, a, b``), and links (``x, y``)
@@ -469,32 +489,43 @@ class JaccardJoin:
             late = np.sort(np.array([r["shingle"] for r in often.collect()], np.int64).view(np.uint64))
         hot = self.spark.sparkContext.broadcast(late)
         prefixes = self.docs.select("text").mapInArrow(
-            _prefixes(self.width, self.percent, hot), "shingle long, a long"
+            _prefixes(self.width, self.percent, hot), "shingle long, a long, n int"
+        )
+        # A set stays in a block if another set is there, and one next to it in size is near enough.
+        by_size = Window.partitionBy("shingle").orderBy("n")
+        whole = by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        near = (100 * F.lag("n").over(by_size) >= self.percent * F.col("n")) | (
+            self.percent * F.lead("n").over(by_size) <= 100 * F.col("n")
         )
-        by_shingle = Window.partitionBy("shingle")
-        seen = prefixes.withColumns({"low": F.min("a").over(by_shingle), "high": F.max("a").over(by_shingle)})
-        seen = self.saved(seen.filter("low <> high").select("shingle", "a").distinct(), "shared")
-        known = seen.join(vertices.select("a", "v", "n", "vector"), "a").select("shingle", "v", "n", "vector")
-        sizes = seen.groupBy("shingle").agg(F.count("*").alias("size"))
-        placed = self.in_blocks(known, sizes, ["v", "n", "vector"])
+        seen = prefixes.select(
+            "shingle", "a", (F.min("a").over(whole) != F.max("a").over(whole)).alias("others"), near.alias("near")
+        )
+        seen = self.saved(seen.filter("others AND near").select("shingle", "a").distinct(), "shared")
+        known = seen.join(vertices.select("a", "v", "n"), "a").select("shingle", "v", "n")
+        sizes = known.groupBy("shingle").agg(F.count("*").alias("size")).filter("size > 1")
+        placed = self.in_blocks(known, sizes, vertices.select("v", "vector"), ["v", "n", "vector"])
         able = placed.mapInArrow(_partnered(self.percent), "shingle long, v long, n long").distinct()
         able = self.saved(able, "partnered")
         ranked = able.withColumn("rank", F.row_number().over(Window.partitionBy("v").orderBy("shingle")))
         sizes = able.groupBy("shingle").agg(F.count("*").alias("size"))
         return self.saved(ranked.join(sizes, "shingle"), "ranked")
 
-    def in_blocks(self, rows: DataFrame, sizes: DataFrame, columns: list[str]) -> DataFrame:
-        """Rows dealt and sorted by block. A block of more than ``PART`` rows is split into
-        parts; every two parts (``one``, ``two``) meet in a block of their own, and ``mine``
-        is a row's part."""
+    def in_blocks(self, rows: DataFrame, sizes: DataFrame, points: DataFrame, columns: list[str]) -> DataFrame:
+        """Rows, with what ``points`` has of their vertices, dealt and sorted by block.
+
+        A block of more than ``PART`` rows is split into parts; every two parts (``one``,
+        ``two``) meet in a block of their own, and ``mine`` is a row's part. The vectors come
+        last, so they are moved once."""
+        own = [c for c in rows.columns if c != "shingle"]
         parts = F.ceil(F.col("size") / F.lit(PART)).cast("long")
         rows = rows.join(sizes.select("shingle", parts.alias("parts")), "shingle")
         rows = rows.withColumn("mine", F.pmod(F.xxhash64("v", "shingle"), F.col("parts")))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
         rows = rows.select(
             "shingle", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"),
-            "mine", *columns,
+            "mine", *own,
         )
+        rows = rows.join(points, "v").select("shingle", "one", "two", "mine", *columns)
         count = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         return rows.repartition(count, "shingle", "one", "two").sortWithinPartitions("shingle", "one", "two")
 
@@ -503,11 +534,16 @@ class JaccardJoin:
         wanted = shared.select("v").distinct().join(vertices.select("v", "a", "b"), "v")
         keys = None
         if wanted.count() <= BROADCAST:
-            found = np.array([r["a"] for r in wanted.select("a").collect()], np.int64)
+            found = wanted.select("a").toArrow().column("a").to_numpy()
             keys = self.spark.sparkContext.broadcast(np.unique(found))
         made = self.docs.select("text").mapInArrow(_sets(self.width, keys), "a long, b long, shingles binary")
-        joined = made.join(wanted, ["a", "b"]).dropDuplicates(["v"])
-        return self.saved(joined.select("v", "shingles"), "sets")
+        joined = made.join(wanted if keys is None else F.broadcast(wanted), ["a", "b"])
+        return self.saved(joined.select("v", "shingles").dropDuplicates(["v"]), "sets")
+
+    @staticmethod
+    def beside(rows: DataFrame, sets: DataFrame) -> DataFrame:
+        """Rows with the sets of their vertices; few rows go to the sets, else both are dealt."""
+        return rows.join(sets, "v") if rows.count() > BROADCAST // 4 else sets.join(F.broadcast(rows), "v")
 
     def grow(
         self, shared: DataFrame, sets: DataFrame, comps: DataFrame | None, ranks: int
@@ -520,7 +556,7 @@ class JaccardJoin:
         ).filter("low <> high").select("shingle", "size")
         parts = F.ceil(F.col("size") / F.lit(PART))
         rows = rows.join(blocks, "shingle").withColumn("part", F.pmod(F.xxhash64("v", "shingle"), parts))
-        rows = rows.join(sets, "v").select("shingle", "part", "v", "comp", "shingles")
+        rows = self.beside(rows, sets).select("shingle", "part", "v", "comp", "shingles")
         count = self.spark.conf.get("spark.sql.shuffle.partitions")
         placed = rows.repartition(int(count), "shingle", "part").sortWithinPartitions("shingle", "part")
         name = f"links-{ranks}"
@@ -550,8 +586,11 @@ class JaccardJoin:
             F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")
         ).filter("low <> high").select("shingle", "size")
         names = ["v", "comp", "n", "vector", "first1", "first2", "first3"]
-        placed = self.in_blocks(rows.join(points, "v"), blocks, names)
+        placed = self.in_blocks(rows, blocks, points, names)
         pairs = placed.mapInArrow(_candidates(self.percent), "x long, y long").distinct()
+        pairs = self.saved(pairs, "candidates")
+        ends = pairs.select(F.col("x").alias("v")).unionByName(pairs.select(F.col("y").alias("v"))).distinct()
+        sets = self.beside(ends, sets)
         both = pairs.join(sets.select(F.col("v").alias("x"), F.col("shingles").alias("left")), "x").join(
             sets.select(F.col("v").alias("y"), F.col("shingles").alias("right")), "y"
         )

@@ -25,11 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from answerlog.llm.steps import Steps
-from answerlog.llm.textkit import BLOCK, WHITE, document_blocks, mix, powers, text_bytes, word_bounds, span_hashes
+from answerlog.llm.textkit import BLOCK, document_blocks, mix, powers, text_bytes, word_bounds, span_hashes
 
 BROADCAST = 4_000_000
 ENDS = np.zeros(256, bool)
@@ -105,7 +105,10 @@ def _places(rule: tuple[int, int, int], wanted):
                 keep = np.arange(len(a))
                 if wanted is not None:
                     known = wanted.value
-                    keep = np.flatnonzero(known[np.minimum(np.searchsorted(known, a), len(known) - 1)] == a) if len(known) else keep[:0]
+                    keep = keep[:0]
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, a), len(known) - 1)
+                        keep = np.flatnonzero(known[at] == a)
                 owner = own.owner[own.span_first[keep]]
                 head = own.heads[owner]
                 rows = pa.array(owner + low)

@@ -13,8 +13,9 @@ is shuffled are k rows per query and task.
 
 Defined results: vectors that are null, empty, hold a null or non-finite component, or a
 scaled component that no 64-bit integer holds, take no part, and neither do rows without
-an id. Scores are exact; one that no 64-bit integer holds is the nearest one that does. Only vectors of equal length are compared. Rows that repeat an id count once, with
-the smallest vector. Ties go to the smaller id. An empty table gives no rows.
+an id. Scores are exact; one that no 64-bit integer holds is the nearest one that does.
+Only vectors of equal length are compared. Rows that repeat an id count once, with the
+smallest vector. Ties go to the smaller id. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -18,7 +18,7 @@ from answerlog.llm.queries import byte_bpe  # noqa: E402
 from answerlog.llm.registry import table  # noqa: E402
 from answerlog.llm.secret_scans import masked, secret_scans  # noqa: E402
 from answerlog.llm.substring_dedup import substring_dedup  # noqa: E402
-from answerlog.session import new_folder  # noqa: E402
+from answerlog.session import new_folder, ship_package  # noqa: E402
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -69,7 +69,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what a stage keeps is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table(ship_package(spark), sf_dir, "documents")
     for _, stage in STAGES:
         folder = new_folder(spark, "stage")
         stage(spark, docs, sf_dir).write.parquet(folder)
