@@ -16,9 +16,9 @@ that consist of it.
 The trees first take out of every block the sets that the bound leaves no partner; that is
 nearly all of them, and only points move for it. Links among the others are found in three
 steps, each exact in what it decides. ``grow`` runs through the blocks of every set's first
-shared shingle (then its first three), each block split into parts of bounded size, and
-verifies all pairs that are not connected yet; so a group of near copies is connected along
-the way and its pairs are not listed. ``rest`` lists what is left, pairs in any block that
+shared shingle (then its first three, then the large blocks of its first ``EARLY``), each
+block split into parts of bounded size, and verifies all pairs that are not connected yet;
+so a group of near copies is connected along the way and its pairs are not listed. ``rest`` lists what is left, pairs in any block that
 are still in different components and were not verified before, and verifies them.
 Components follow from the links.
 
@@ -46,7 +46,9 @@ from answerlog.llm.steps import Steps
 from answerlog.llm.textkit import mix, shingle_sets
 
 LEAF = 16
-PART = 3000  # most sets in one task's block
+PART = 6000  # most rows in one task's block
+WEIGHT = 6_000_000  # most shingles of sets in one task's block, 8 bytes each
+EARLY = 10  # first shingles of a set whose large blocks are verified as a whole
 SMALL = 24  # blocks up to this size are taken pair by pair
 BROADCAST = 2_000_000  # most keys that are broadcast, 8 bytes each
 
@@ -397,14 +399,18 @@ def _partnered(percent: int):
 
 def _candidates(percent: int):
     """Pairs of blocks that may be similar, are in different components and were not verified.
-    Rows are (shingle, one, two, mine, v, comp, n, vector, first1, first2, first3), sorted."""
+    Rows are (shingle, one, two, mine, v, comp, n, vector, firsts), sorted by block;
+    ``firsts`` are the shingles in whose blocks all pairs were verified."""
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches, 3):
             heads = _heads(table, 3)
             one, two, mine, v, comp, n = (table.column(i).to_numpy() for i in (1, 2, 3, 4, 5, 6))
             raw = table.column(7).to_pylist()
-            firsts = np.stack([table.column(i).to_numpy() for i in (8, 9, 10)], axis=1)
+            lists = table.column(8).to_pylist()
+            firsts = np.zeros((len(n), EARLY), np.int64)
+            for i, own in enumerate(lists):
+                firsts[i, : len(own or ())] = own or ()
             points = _Points(raw, n)
             sizes = np.diff(heads)
             found = [_small_pairs(heads)]
@@ -423,13 +429,13 @@ def _candidates(percent: int):
             meets = (one[x] == two[x]) | (mine[x] != mine[y])
             keep = meets & (comp[x] != comp[y])
             x, y = x[keep], y[keep]
+            fits = points.similar(x, y, percent)
+            x, y = x[fits], y[fits]
             verified = np.zeros(len(x), bool)
-            for i in range(3):
-                for j in range(3):
+            for i in range(EARLY):
+                for j in range(EARLY):
                     verified |= (firsts[x, i] == firsts[y, j]) & (firsts[x, i] != 0)
-            x, y = x[~verified], y[~verified]
-            fits = points.similar(x, y, percent)
-            x, y = v[x[fits]], v[y[fits]]
+            x, y = v[x[~verified]], v[y[~verified]]
             pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["x", "y"])
 
@@ -467,15 +473,17 @@ class JaccardJoin:
         )
         shared = self.shared_shingles(rows, vertices)
         sets = self.sets(shared, vertices)
-        first, rest = self.grow(shared, sets, None, 1)
-        second, comps = self.grow(shared, sets, rest, 3)
-        edges = first.unionByName(second)
+        edges, comps = self.grow(shared, sets, None, 1)
+        for ranks, least in ((3, 2), (EARLY, SMALL + 1)):
+            more, comps = self.grow(shared, sets, comps, ranks, least)
+            edges = edges.unionByName(more)
         edges = edges.unionByName(self.rest(shared, sets, vertices, comps))
         return described, vertices, edges
 
     def shared_shingles(self, rows: DataFrame, vertices: DataFrame) -> DataFrame:
-        """(shingle, v, n, rank, size) of all prefix shingles that two sets or more have;
-        rank by hash among those of the set, size is the number of sets."""
+        """(shingle, v, n, rank, size, parts, early) of all prefix shingles that two similar
+        sets may have: rank by hash among those of the set, number of rows of the shingle,
+        parts its block is split into, and its rows of a rank up to ``EARLY``."""
         # A shingle in more than 1/500 of the documents; there are at most 500 times the
         # average number of shingles per document of them.
         least = max(200, rows.count() // 500)
@@ -507,7 +515,11 @@ class JaccardJoin:
         able = placed.mapInArrow(_partnered(self.percent), "shingle long, v long, n long").distinct()
         able = self.saved(able, "partnered")
         ranked = able.withColumn("rank", F.row_number().over(Window.partitionBy("v").orderBy("shingle")))
-        sizes = able.groupBy("shingle").agg(F.count("*").alias("size"))
+        parts = F.greatest(F.ceil(F.count("*") / F.lit(PART)), F.ceil(F.sum("n") / F.lit(WEIGHT)))
+        sizes = ranked.groupBy("shingle").agg(
+            F.count("*").alias("size"), parts.cast("long").alias("parts"),
+            F.count_if(F.col("rank") <= EARLY).alias("early"),
+        )
         return self.saved(ranked.join(sizes, "shingle"), "ranked")
 
     def in_blocks(self, rows: DataFrame, sizes: DataFrame, points: DataFrame, columns: list[str]) -> DataFrame:
@@ -546,16 +558,17 @@ class JaccardJoin:
         return rows.join(sets, "v") if rows.count() > BROADCAST // 4 else sets.join(F.broadcast(rows), "v")
 
     def grow(
-        self, shared: DataFrame, sets: DataFrame, comps: DataFrame | None, ranks: int
+        self, shared: DataFrame, sets: DataFrame, comps: DataFrame | None, ranks: int, least: int = 2
     ) -> tuple[DataFrame, DataFrame]:
-        """Links in the blocks of the first ``ranks`` shingles of every set, and components."""
-        rows = shared.filter(F.col("rank") <= ranks).select("shingle", "v", "n")
+        """Links in the blocks, of ``least`` rows or more, of the first ``ranks`` shingles of
+        every set, and components."""
+        rows = shared.filter(F.col("rank") <= ranks).select("shingle", "v", "parts")
         rows = self.with_comps(rows, comps)
         blocks = rows.groupBy("shingle").agg(
-            F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")
-        ).filter("low <> high").select("shingle", "size")
-        parts = F.ceil(F.col("size") / F.lit(PART))
-        rows = rows.join(blocks, "shingle").withColumn("part", F.pmod(F.xxhash64("v", "shingle"), parts))
+            F.count("*").alias("rows"), F.min("comp").alias("low"), F.max("comp").alias("high")
+        ).filter((F.col("low") != F.col("high")) & (F.col("rows") >= least)).select("shingle")
+        part = F.pmod(F.xxhash64("v", "shingle"), F.col("parts"))
+        rows = rows.join(blocks, "shingle").withColumn("part", part).drop("parts")
         rows = self.beside(rows, sets).select("shingle", "part", "v", "comp", "shingles")
         count = self.spark.conf.get("spark.sql.shuffle.partitions")
         placed = rows.repartition(int(count), "shingle", "part").sortWithinPartitions("shingle", "part")
@@ -574,18 +587,16 @@ class JaccardJoin:
 
     def rest(self, shared: DataFrame, sets: DataFrame, vertices: DataFrame, comps: DataFrame) -> DataFrame:
         """Links between different components that growing has not decided."""
-        # Pairs in a block of the first three shingles are decided, if it was in one part.
-        first = [
-            F.coalesce(F.max(F.when((F.col("rank") == i) & (F.col("size") <= PART), F.col("shingle"))), F.lit(0))
-            for i in (1, 2, 3)
-        ]
-        firsts = shared.groupBy("v").agg(*[c.alias(f"first{i}") for i, c in enumerate(first, 1)])
-        points = vertices.select("v", "vector").join(firsts, "v")
+        # Pairs in a block that was grown in one part are decided.
+        grown = (F.col("rank") <= 3) | ((F.col("rank") <= EARLY) & (F.col("early") > SMALL))
+        grown = shared.filter(grown & (F.col("parts") == 1))
+        firsts = grown.groupBy("v").agg(F.collect_list("shingle").alias("firsts"))
+        points = vertices.select("v", "vector").join(firsts, "v", "left")
         rows = self.with_comps(shared.select("shingle", "v", "n"), comps)
         blocks = rows.groupBy("shingle").agg(
             F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")
         ).filter("low <> high").select("shingle", "size")
-        names = ["v", "comp", "n", "vector", "first1", "first2", "first3"]
+        names = ["v", "comp", "n", "vector", "firsts"]
         placed = self.in_blocks(rows, blocks, points, names)
         pairs = placed.mapInArrow(_candidates(self.percent), "x long, y long").distinct()
         pairs = self.saved(pairs, "candidates")
