@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answerlog.functions.scalars import (
-    COMPARISON_CHARS,
     PREVIEW_CHARS,
     answer_preview,
     domain_for_display,

@@ -2,8 +2,6 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import functions as F
-
 from answerlog.operators import stability
 from answerlog.session import new_folder
 from answerlog.sources import results
