@@ -8,6 +8,12 @@ first. Spans are equal if their words are, whatever white space is between them.
 first place of a span is the one with the smallest (id, text hash, sentence); all others
 are repeats, and every sentence that a repeat covers goes.
 
+With ``by_content`` a sentence of more than ``longest`` words is cut after the word of least
+hash in each of its windows of ``longest`` words instead of by count. Where two texts share
+P words in a row, their cuts then agree from at most ``longest`` words behind the start of
+these to less than ``longest`` words before their end, wherever the sentences around them
+begin; at least P - 2 * ``longest`` + 1 words are cut alike.
+
 Spans are counted by their hash alone (96 bits), combined before the shuffle. Only spans
 that occur again are then emitted with their places: the texts are hashed once more, and
 as long as the repeated hashes are few (``BROADCAST``, checked) their list goes to the
@@ -31,15 +37,38 @@ from pyspark.sql import functions as F
 from answerlog.llm.steps import Steps
 from answerlog.llm.textkit import BLOCK, document_blocks, mix, powers, text_bytes, word_bounds, span_hashes
 
+Rule = tuple[int, int, int, bool]  # least, words, longest, by_content
 BROADCAST = 4_000_000
 ENDS = np.zeros(256, bool)
 ENDS[list(b".!?")] = True
 
 
+def content_cuts(hashes: np.ndarray, starts: np.ndarray, longest: int) -> np.ndarray:
+    """First words of the pieces that sentences of more than ``longest`` words are cut into:
+    those after the least hash (the last one of equals) of every window inside a sentence."""
+    count = len(hashes)
+    if count <= longest:
+        return np.empty(0, np.int64)
+    low = np.uint64(0xFFFFFFFF)
+    least = (hashes & ~low) | (low - np.arange(count, dtype=np.uint64))
+    size = 1
+    while size < longest:
+        step = min(size, longest - size)
+        least = np.minimum(least[:-step], least[step:])
+        size += step
+    sizes = np.diff(np.append(starts, count))
+    room = np.repeat(starts + sizes, sizes)[: len(least)] - np.arange(len(least))
+    inside = (room >= longest) & (np.repeat(sizes, sizes)[: len(least)] > longest)
+    after = np.unique((low - (least[inside] & low)).astype(np.int64)) + 1
+    return after[after < count]
+
+
 class Sentences:
     """Sentences and spans of some whole texts."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, least: int, words: int, longest: int):
+    def __init__(
+        self, data: np.ndarray, offsets: np.ndarray, least: int, words: int, longest: int, by_content: bool
+    ):
         begin, end, heads = word_bounds(data, offsets)
         self.begin, self.end = begin, end
         self.hashes = span_hashes(data, begin, end, False)
@@ -51,8 +80,12 @@ class Sentences:
             breaks = ENDS[data[end[:-1] - 1]] | (lines[begin[1:]] > lines[end[:-1]]) | (owner[1:] != owner[:-1])
             first[1:] = breaks
         starts = np.flatnonzero(first)
-        within = np.arange(count) - np.repeat(starts, np.diff(np.append(starts, count)))
-        self.starts = np.flatnonzero(within % longest == 0)  # first word of every sentence
+        if by_content:
+            first[content_cuts(self.hashes, starts, longest)] = True
+        else:
+            within = np.arange(count) - np.repeat(starts, np.diff(np.append(starts, count)))
+            first = within % longest == 0
+        self.starts = np.flatnonzero(first)  # first word of every sentence
         self.stops = np.append(self.starts[1:], count)
         self.owner = owner[self.starts]
         self.heads = np.searchsorted(self.owner, np.arange(len(heads)))  # first sentence of every text
@@ -81,7 +114,7 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         yield first, last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
 
 
-def _keys(rule: tuple[int, int, int]):
+def _keys(rule: Rule):
     """(a, b) of every span."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +126,7 @@ def _keys(rule: tuple[int, int, int]):
     return keys
 
 
-def _places(rule: tuple[int, int, int], wanted):
+def _places(rule: Rule, wanted):
     """(a, b, doc, t, first, last) of every span whose hash is wanted."""
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +157,7 @@ def _places(rule: tuple[int, int, int], wanted):
     return places
 
 
-def _cut(rule: tuple[int, int, int]):
+def _cut(rule: Rule):
     """Text without the covered sentences, their number, and the number of all sentences."""
 
     def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
@@ -157,13 +190,13 @@ def _cut(rule: tuple[int, int, int]):
 
 def substring_dedup(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 2, words: int = 20,
-    longest: int = 16, into: str = "dedup",
+    longest: int = 16, into: str = "dedup", by_content: bool = False,
 ) -> DataFrame:
     """``docs`` with a struct ``into``: the remaining ``text``, ``n_removed`` and
     ``n_sentences``. An input column of that name is replaced."""
     spark = docs.sparkSession
     saved = Steps(spark, "spans").saved
-    rule = (least, words, longest)
+    rule = (least, words, longest, by_content)
     doc = F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1))
     body = F.coalesce(F.col(text), F.lit(""))
     # Equal documents give equal rows here, so counting one document's copies needs distinct places.

@@ -41,7 +41,7 @@ def with_text(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated sentence spans; one of which nothing is left goes."""
-    cut = substring_dedup(docs, into="__llm_cut").withColumn("text", F.col("__llm_cut.text"))
+    cut = substring_dedup(docs, into="__llm_cut", by_content=True).withColumn("text", F.col("__llm_cut.text"))
     kept = cut.filter((F.col("__llm_cut.n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return with_text(kept, docs.columns)
 

@@ -273,6 +273,34 @@ def test_passages_are_cut_once(spark, monkeypatch):
         assert all(found[i] == f"Own start number {i} a{i} b{i}. Own end c{i} d{i}." for i in range(1, 6))
 
 
+def test_passages_go_wherever_they_begin(spark):
+    """A passage without full stops at all offsets of texts without full stops."""
+    rng = np.random.default_rng(6)
+    passage = [f"p{i}" for i in rng.integers(0, 400, 60)]
+    rows = [(i, " ".join([*(f"a{i}x{j}" for j in range(i)), *passage, *(f"b{i}x{j}" for j in range(40))])) for i in range(24)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.dedup.text.split() for r in substring_dedup.substring_dedup(df, by_content=True).collect()}
+    assert found[0] == rows[0][1].split()
+    for i in range(1, 24):
+        own = rows[i][1].split()
+        assert [w for w in found[i] if w[0] != "p"] == [w for w in own if w[0] != "p"]
+        assert len(own) - len(found[i]) >= 60 - 2 * 16 + 1
+
+
+def test_content_cuts_equal_a_plain_loop():
+    rng = np.random.default_rng(8)
+    for longest in (1, 2, 5, 16):
+        hashes = substring_dedup.mix(rng.integers(0, 30, 400).astype(np.uint64))
+        starts = np.unique(np.append(rng.integers(0, 400, 14), 0))
+        want = set()
+        for low, high in zip(starts, np.append(starts[1:], 400)):
+            for i in range(low, high - longest + 1 if high - low > longest else low):
+                want.add(min(range(i, i + longest), key=lambda j: (hashes[j] >> np.uint64(32), -j)) + 1)
+        found = substring_dedup.content_cuts(hashes, starts, longest)
+        assert set(found.tolist()) == want - {400}
+        assert np.diff(np.union1d(np.append(starts, 400), found)).max() <= longest
+
+
 def test_substring_dedup_of_empty_tables(empty):
     assert substring_dedup.substring_dedup(empty).count() == 0
 
