@@ -14,6 +14,11 @@ P words in a row, their cuts then agree from at most ``longest`` words behind th
 these to less than ``longest`` words before their end, wherever the sentences around them
 begin; at least P - 2 * ``longest`` + 1 words are cut alike.
 
+With ``both_ends`` the shortest spans that end at each sentence are spans as well. A run of
+sentences that is long enough holds, for each of its sentences, a span from that sentence
+on or one of those before the run's end; so whole repeated runs go, with their last
+sentences.
+
 Spans are counted by their hash alone (96 bits), combined before the shuffle. Only spans
 that occur again are then emitted with their places: the texts are hashed once more, and
 as long as the repeated hashes are few (``BROADCAST``, checked) their list goes to the
@@ -37,7 +42,7 @@ from pyspark.sql import functions as F
 from answerlog.llm.steps import Steps
 from answerlog.llm.textkit import BLOCK, document_blocks, mix, powers, text_bytes, word_bounds, span_hashes
 
-Rule = tuple[int, int, int, bool]  # least, words, longest, by_content
+Rule = tuple[int, int, int, bool, bool]  # least, words, longest, by_content, both_ends
 BROADCAST = 4_000_000
 ENDS = np.zeros(256, bool)
 ENDS[list(b".!?")] = True
@@ -67,7 +72,8 @@ class Sentences:
     """Sentences and spans of some whole texts."""
 
     def __init__(
-        self, data: np.ndarray, offsets: np.ndarray, least: int, words: int, longest: int, by_content: bool
+        self, data: np.ndarray, offsets: np.ndarray, least: int, words: int, longest: int, by_content: bool,
+        both_ends: bool,
     ):
         begin, end, heads = word_bounds(data, offsets)
         self.begin, self.end = begin, end
@@ -95,6 +101,15 @@ class Sentences:
         inside = last < self.heads[self.owner + 1] if len(self.owner) else np.zeros(0, bool)
         self.span_first = np.flatnonzero(inside)
         self.span_last = last[inside]
+        if both_ends and len(self.owner):
+            # First sentence of the shortest span up to each sentence; those known already are left out.
+            every = np.arange(len(self.starts))
+            by_words = np.searchsorted(self.starts, self.stops - words, side="right") - 1
+            head = np.minimum(by_words, every - least + 1)
+            inside = head >= self.heads[self.owner]
+            inside[inside] = last[head[inside]] != every[inside]
+            self.span_first = np.concatenate([self.span_first, head[inside]])
+            self.span_last = np.concatenate([self.span_last, every[inside]])
 
     def span_keys(self) -> tuple[np.ndarray, np.ndarray]:
         """64 and 32 bits that stand for the words of every span."""
@@ -191,12 +206,13 @@ def _cut(rule: Rule):
 def substring_dedup(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 2, words: int = 20,
     longest: int = 16, into: str = "dedup", by_content: bool = False,
+    both_ends: bool = False,
 ) -> DataFrame:
     """``docs`` with a struct ``into``: the remaining ``text``, ``n_removed`` and
     ``n_sentences``. An input column of that name is replaced."""
     spark = docs.sparkSession
     saved = Steps(spark, "spans").saved
-    rule = (least, words, longest, by_content)
+    rule = (least, words, longest, by_content, both_ends)
     doc = F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1))
     body = F.coalesce(F.col(text), F.lit(""))
     # Equal documents give equal rows here, so counting one document's copies needs distinct places.

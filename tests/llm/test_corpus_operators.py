@@ -301,6 +301,42 @@ def test_content_cuts_equal_a_plain_loop():
         assert np.diff(np.union1d(np.append(starts, 400), found)).max() <= longest
 
 
+def test_exact_copies_lose_all_sentences(spark):
+    """Also closing sentences of fewer words than a span has."""
+    text = "One two three four five six. " * 3 + "Seven eight nine ten eleven twelve thirteen fourteen. Now stop. The end."
+    rows = [(i, text) for i in range(3)] + [(3, f"{text} Own words."), (4, f"Own start. {text}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.dedup for r in substring_dedup.substring_dedup(df, both_ends=True).collect()}
+    assert found[0].text == text and found[0].n_removed == 0
+    assert all(found[i].text == "" and found[i].n_removed == found[i].n_sentences for i in (1, 2))
+    assert (found[3].text, found[4].text) == ("Own words.", "Own start. ")
+
+
+@pytest.mark.parametrize("rule", [(2, 20, 16), (3, 1, 5), (1, 4, 100)])
+def test_both_ends_cover_every_repeated_run(spark, messy_rows, rule):
+    least, words, longest = rule
+    rows = [r[:2] for r in messy_rows[:80] if r[1] is not None and len(r[1]) < 6000]
+    cut = {d: sentences(t, longest) for d, t in rows}
+    places = collections.defaultdict(list)
+    for d, own in cut.items():
+        for i in range(len(own)):
+            run = ()
+            for j in range(i, len(own)):
+                run += tuple(w for w, _ in own[j])
+                if j - i + 1 >= least and len(run) >= words:
+                    places[hash(run)].append((d, i, j))
+    gone = collections.defaultdict(set)
+    for own in places.values():
+        for d, i, j in sorted(own)[1:]:
+            gone[d].update(range(i, j + 1))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substring_dedup.substring_dedup(df, least=least, words=words, longest=longest, both_ends=True)
+    for r in found.collect():
+        own = cut[r.doc_id]
+        left = "".join(x for i, s in enumerate(own) if i not in gone[r.doc_id] for _, x in s) if gone[r.doc_id] else r.text
+        assert (r.dedup.text, r.dedup.n_removed, r.dedup.n_sentences) == (left, len(gone[r.doc_id]), len(own))
+
+
 def test_substring_dedup_of_empty_tables(empty):
     assert substring_dedup.substring_dedup(empty).count() == 0
 
