@@ -9,7 +9,8 @@ score. A low t leaves only the length test. What survives is verified by the pro
 
 Queries are taken in blocks of ``block`` vectors, each small enough to be broadcast (its
 size is the parameter), against all rows; every task keeps the k best per query, so what
-is shuffled are k rows per query and task.
+is shuffled are k rows per query and task. The k best rows of a block are written to the
+shared folder before the next block is collected, so the driver holds one block at a time.
 
 Defined results: vectors that are null, empty, hold a null or non-finite component, or a
 scaled component that no 64-bit integer holds, take no part, and neither do rows without
@@ -21,7 +22,6 @@ smallest vector. Ties go to the smaller id. An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from answerlog.llm.steps import Steps
 from answerlog.session import pin
 
 BEST = "query_id long, vec_id long, score long"
+FOUND = "query_id long, rank int, vec_id long, score long"
 
 
 def scaled(vector: Column, factor: int) -> Column:
@@ -163,7 +165,8 @@ def top_k(
     queries = candidates.filter(is_query)
     count = queries.count()
     blocks = -(-count // block)
-    found = []
+    steps = Steps(spark, "topk")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     for number in range(blocks):
         mine = queries.filter(F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks)) == number).collect()
         sizes: dict[int, list] = {}
@@ -173,12 +176,10 @@ def top_k(
             size: (np.array([r["vec_id"] for r in own], np.int64), np.array([r["vector"] for r in own], np.int64))
             for size, own in sizes.items()
         }
-        found.append(candidates.mapInArrow(_scan(held, k, focus, bucket), BEST))
-    if not found:
-        found = [spark.createDataFrame([], BEST)]
-    best = reduce(DataFrame.unionByName, found)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+        best = candidates.mapInArrow(_scan(held, k, focus, bucket), BEST)
+        best = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        steps.saved(best.select("query_id", "rank", "vec_id", "score"), f"best/block={number}")
+        del mine, sizes, held, best
+    if not blocks:
+        return spark.createDataFrame([], FOUND)
+    return spark.read.schema(FOUND).parquet(f"{steps.folder}/best").select("query_id", "rank", "vec_id", "score")

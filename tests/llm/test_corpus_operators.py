@@ -432,6 +432,16 @@ def test_top_k(spark, more):
     )
 
 
+def test_top_k_holds_one_block_of_queries(spark):
+    """What is left to run reads the written blocks and carries no queries."""
+    rows = [(i, [float(i % 7), 1.0, i / 100]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = topk_search.top_k(df, F.col("vec_id") % 50 == 0, block=2)
+    plan = found._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan and "Union" not in plan
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found.collect()) == sorted(plain_best(rows, 5))
+
+
 def test_top_k_of_nothing(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<double>")
     assert topk_search.top_k(none, F.col("vec_id") % 50 == 0).count() == 0
