@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from answerlog.llm import oracles
 from answerlog.llm.classifier import classify, train
+from answerlog.llm.fill_in_middle import fill_in_middle, restored
 from answerlog.llm.jaccard_join import jaccard_join
 from answerlog.llm.packing import packing
 from answerlog.llm.quality_rules import quality_rules
@@ -135,3 +136,14 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_topk_search", oracles.topk_search())
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op11_fill_in_middle", oracles.fill_in_middle())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    fields = ["n", "form", "prefix_chars", "middle_chars"]
+    back = restored(F.col("fim.output"), F.col("fim.form"))
+    return made.select(
+        "doc_id", *[f"fim.{name}" for name in fields],
+        F.sha2("fim.output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"),
+    )
