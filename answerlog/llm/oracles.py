@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from answerlog.llm import chat_format as chat
 from answerlog.llm import quality_rules as rules
 from answerlog.llm import secret_scans as secrets
 
@@ -203,3 +206,34 @@ def fill_in_middle() -> str:
             ELSE '<P>' || x || '<S>' || z || '<M>' || y END) AS output_sha256,
         sha256(t) AS restored_sha256
     FROM p"""
+
+
+def chat_format(template: chat.Template = chat.Template()) -> str:
+    controls = "|".join(re.sub(r"([\[\]/])", r"\\\1", mark) for mark in template.controls())
+    marks = {role: len(before) + len(after) + 2 for role, (before, after, _) in template.roles.items()}
+    around = " ".join(f"WHEN {text_sql(role)} THEN {size}" for role, size in marks.items())
+    others = sum(map(len, template.other)) + 4
+    learned = ", ".join(text_sql(role) for role, (_, _, loss) in template.roles.items() if loss)
+    steps = " ".join(
+        f"WHEN s.state = {text_sql(state)} AND list_extract(roles, s.i + 1) = {text_sql(role)} THEN {text_sql(after)}"
+        for state, row in template.states.items() for role, after in row.items()
+    )
+    found = rf"len(regexp_extract_all(%s, '({controls})'))"
+    return rf"""
+    WITH RECURSIVE t AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+        UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+    o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM t),
+    g AS (SELECT conv_id, count(*) AS n_turns, list(role ORDER BY i) AS roles,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+        CAST(sum(CASE WHEN role IN ({learned}) THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+        sha256(string_agg(CASE WHEN role IN ({learned}) THEN text ELSE '' END, '' ORDER BY i)) AS loss_sha256,
+        CAST(sum(length(text) + {found % 'text'} + CASE role {around}
+            ELSE {others} + length(role) + {found % 'role'} END) AS BIGINT) AS formatted_chars
+        FROM o GROUP BY conv_id),
+    s AS (SELECT conv_id, 0 AS i, {text_sql(template.start)} AS state FROM g
+        UNION ALL SELECT s.conv_id, s.i + 1, CASE {steps} ELSE 'broken' END
+        FROM s JOIN g ON s.conv_id IS NOT DISTINCT FROM g.conv_id WHERE s.i < n_turns)
+    SELECT g.conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, state
+    FROM g JOIN s ON s.conv_id IS NOT DISTINCT FROM g.conv_id AND s.i = n_turns"""
