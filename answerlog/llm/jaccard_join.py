@@ -43,7 +43,7 @@ from pyspark.sql import Window
 
 from answerlog.llm.components import components
 from answerlog.llm.steps import Steps
-from answerlog.llm.textkit import mix, shingle_sets
+from answerlog.llm.textkit import lean, mix, shingle_sets
 
 LEAF = 16
 PART = 6000  # most rows in one task's block
@@ -221,7 +221,7 @@ def _prefixes(width: int, percent: int, hot):
                 key = _key(shingles)
                 if key in seen:
                     continue
-                if len(seen) > 1_000_000:
+                if len(seen) > 100_000:
                     seen.clear()
                 seen.add(key)
                 length = n - (-(-percent * n // 100)) + 1
@@ -259,7 +259,7 @@ def _sets(width: int, wanted):
                     key = _key(shingles)
                     at = 0 if keys is None else np.searchsorted(keys, key[0])
                     if (keys is None or at < len(keys) and keys[at] == key[0]) and key not in seen:
-                        if len(seen) > 1_000_000:
+                        if len(seen) > 100_000:
                             seen.clear()
                         seen.add(key)
                         rows.append((*key, shingles.tobytes()))
@@ -460,7 +460,7 @@ class JaccardJoin:
         """Documents with the key of their set, vertices (``v, a, b``), and links (``x, y``)
         that connect every component."""
         rows = self.docs.withColumn("t", row_hash(F.col("doc_id"), F.col("text"))).mapInArrow(
-            _describe(self.width),
+            lean(_describe(self.width)),
             "doc_id long, t long, a long, b long, n long, hot array<struct<shingle:long,count:long>>, "
             "vector binary",
         )
@@ -497,7 +497,7 @@ class JaccardJoin:
             late = np.sort(np.array([r["shingle"] for r in often.collect()], np.int64).view(np.uint64))
         hot = self.spark.sparkContext.broadcast(late)
         prefixes = self.docs.select("text").mapInArrow(
-            _prefixes(self.width, self.percent, hot), "shingle long, a long, n int"
+            lean(_prefixes(self.width, self.percent, hot)), "shingle long, a long, n int"
         )
         # A set stays in a block if another set is there, and one next to it in size is near enough.
         by_size = Window.partitionBy("shingle").orderBy("n")
@@ -512,7 +512,7 @@ class JaccardJoin:
         known = seen.join(vertices.select("a", "v", "n"), "a").select("shingle", "v", "n")
         sizes = known.groupBy("shingle").agg(F.count("*").alias("size")).filter("size > 1")
         placed = self.in_blocks(known, sizes, vertices.select("v", "vector"), ["v", "n", "vector"])
-        able = placed.mapInArrow(_partnered(self.percent), "shingle long, v long, n long").distinct()
+        able = placed.mapInArrow(lean(_partnered(self.percent)), "shingle long, v long, n long").distinct()
         able = self.saved(able, "partnered")
         ranked = able.withColumn("rank", F.row_number().over(Window.partitionBy("v").orderBy("shingle")))
         parts = F.greatest(F.ceil(F.count("*") / F.lit(PART)), F.ceil(F.sum("n") / F.lit(WEIGHT)))
@@ -548,7 +548,7 @@ class JaccardJoin:
         if wanted.count() <= BROADCAST:
             found = wanted.select("a").toArrow().column("a").to_numpy()
             keys = self.spark.sparkContext.broadcast(np.unique(found))
-        made = self.docs.select("text").mapInArrow(_sets(self.width, keys), "a long, b long, shingles binary")
+        made = self.docs.select("text").mapInArrow(lean(_sets(self.width, keys)), "a long, b long, shingles binary")
         joined = made.join(wanted if keys is None else F.broadcast(wanted), ["a", "b"])
         return self.saved(joined.select("v", "shingles").dropDuplicates(["v"]), "sets")
 
@@ -573,7 +573,7 @@ class JaccardJoin:
         count = self.spark.conf.get("spark.sql.shuffle.partitions")
         placed = rows.repartition(int(count), "shingle", "part").sortWithinPartitions("shingle", "part")
         name = f"links-{ranks}"
-        edges = self.saved(placed.mapInArrow(_grow_blocks(self.percent), "x long, y long"), name)
+        edges = self.saved(placed.mapInArrow(lean(_grow_blocks(self.percent)), "x long, y long"), name)
         linked = edges
         if comps is not None:
             linked = edges.unionByName(comps.select(F.col("v").alias("x"), F.col("comp").alias("y")))
@@ -598,7 +598,7 @@ class JaccardJoin:
         ).filter("low <> high").select("shingle", "size")
         names = ["v", "comp", "n", "vector", "firsts"]
         placed = self.in_blocks(rows, blocks, points, names)
-        pairs = placed.mapInArrow(_candidates(self.percent), "x long, y long").distinct()
+        pairs = placed.mapInArrow(lean(_candidates(self.percent)), "x long, y long").distinct()
         pairs = self.saved(pairs, "candidates")
         ends = pairs.select(F.col("x").alias("v")).unionByName(pairs.select(F.col("y").alias("v"))).distinct()
         sets = self.beside(ends, sets)

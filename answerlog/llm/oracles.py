@@ -165,7 +165,7 @@ def secret_scans(reach: int = 200) -> str:
     scoped AS (SELECT *, e - size AS s, sum(CASE WHEN kind = 'scope' THEN 1 ELSE 0 END)
         OVER (PARTITION BY doc_id ORDER BY e - size, kind, i) AS scope FROM placed WHERE holds),
     weak AS (SELECT a.doc_id, a.k, a.kind, a.s, a.e FROM scoped a JOIN scoped b
-        ON a.doc_id = b.doc_id AND a.scope = b.scope AND abs(a.s - b.s) <= {reach}
+        ON a.doc_id = b.doc_id AND a.scope = b.scope AND greatest(a.s, b.s) - least(a.e, b.e) <= {reach}
         WHERE a.k BETWEEN 3 AND 5 GROUP BY a.doc_id, a.k, a.kind, a.s, a.e, a.role
         HAVING CASE a.role WHEN 'ident' THEN bool_or(b.role = 'secret')
             WHEN 'secret' THEN bool_or(b.role = 'ident')

@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from answerlog.llm.textkit import give_back
 from answerlog.session import new_folder
 
 STORE = 1_200_000
@@ -73,8 +74,6 @@ class _Tokenizer:
     def learn(self, words: list[str]) -> None:
         """Put the ids of new words, each after a space, into the store."""
         store = self.after[" "]
-        if len(store) > STORE:
-            store.clear()
         plain = [word for word in words if self.PLAIN.fullmatch(word)]
         if plain:
             ids = np.array(self.ranks.encode_ordinary(" " + " ".join(plain)), np.uint32)
@@ -100,6 +99,8 @@ class _Tokenizer:
     def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
         store = self.after[" "]
         for text in texts:
+            if len(store) > STORE:  # between texts, as a text needs all its words
+                store.clear()
             words = text.split()
             if not words or " ".join(words) != text.replace("\n", " ") or "<|" in text:
                 yield self.slow(text) if text else b""
@@ -193,6 +194,7 @@ def _pack(path: str, ranks_path: str, pattern: str, end_id: int, size: int, wind
             start = total
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         tokenizer = _tokenizer(path, ranks_path, pattern)
         state = _Windows(size, windows, slack, TaskContext.get().partitionId() << 33)
         found: list[tuple] = []
@@ -208,6 +210,7 @@ def _pack(path: str, ranks_path: str, pattern: str, end_id: int, size: int, wind
                         found, weight = [], 0
         found += rows(list(state.held.items()), True)
         yield _batch(found)
+        give_back()
 
     return pack
 

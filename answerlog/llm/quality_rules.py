@@ -110,7 +110,7 @@ def count_batch(column: pa.Array) -> pa.Array:
     n_words, chars, symbols, lines, repeat = (np.zeros(count, np.int64) for _ in range(5))
     classes = np.zeros((count, len(CLASSES)), np.int64)
     common = np.zeros((count, len(WORDS) + 1), np.int64)
-    for first, last in textkit.document_blocks(offsets):
+    for first, last in textkit.document_blocks(offsets, textkit.PART):
         part = data[offsets[first] : offsets[last]]
         at = offsets[first : last + 1] - offsets[first]
         size = last - first
@@ -208,6 +208,7 @@ def judged_counts(known: dict[str, list[list[int]]], text: Column) -> Column:
                 distances.append(pa.array(least, mask=counts.sum(1) == 0))
             else:
                 distances.append(pa.nulls(len(found), pa.float64()))
+        textkit.give_back()
         return pa.StructArray.from_arrays(columns + distances, [field.name for field in fields])
 
     return F.arrow_udf(judge, T.StructType(fields))(text)

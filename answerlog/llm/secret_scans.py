@@ -4,17 +4,20 @@ The base kinds (``assign``, ``access``, ``hex``) are reported wherever they matc
 parts (account names, long mixed tokens, endpoints) look like much ordinary text, so they
 are reported only where complementary parts co-occur: an identifier with a secret, a
 secret with an identifier, an endpoint with both, inside one scope (a paragraph, ended by
-an empty line) and with starts at most ``reach`` code points apart. Parts are joined as
-intervals: both sides are cut into bins of ``reach`` code points, so a part meets the few
-parts of three bins and never all parts of a text.
+an empty line) and with at most ``reach`` code points between them. Parts are joined as
+intervals: a part lies in all bins of ``reach`` code points that it covers, a weak one also
+in those within ``reach`` of it, so a part meets the parts near it and never all of a text.
 
 DataFrame functions only. Positions come from running sums of the lengths between and of
-the matches, so a text with very many matches costs no more than its length. Everything
-is done once per distinct text.
-
-Defined results: a null text is empty; null, empty and clean texts have no spans;
-repeated rows get the same spans; an empty table gives no rows; other columns pass
-through, an input column named like the result is replaced.
+the matches, so a text with very many matches costs no more than its length; masking joins
+overlapping spans by a running maximum and copies each piece of a text once. No pattern
+repeats a group without bound, as such a pattern would overflow the stack on long texts.
+The parts are found once per distinct text and written to the shared folder.
+
+Defined results: a null text is empty; null, empty and clean texts have no spans; texts of
+any length and with any number of matches are taken whole; repeated rows get the same
+spans; an empty table gives no rows; other columns pass through, an input column named
+like the result is replaced. Masking leaves clean and null texts as they are.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from answerlog.llm.steps import Steps
+
 # Kinds in the order in which spans of the same start are listed; the first three are the
 # base kinds. Per kind: pattern, role.
 ASSIGN = (
@@ -37,7 +42,7 @@ KINDS = {
     "weak_ident": (
         r"""(?i:access_?key|key_?id|client_?id|account|login|user_?name|user|e-?mail)["']?\x20*[:=]\x20*["']?"""
         r"[A-Za-z0-9+/_.@=-]{3,}|(?:ASIA|AIDA|AROA|AGPA)[A-Z0-9]{12,}"
-        r"|[A-Za-z0-9._+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        r"|[A-Za-z0-9._+-]{1,64}@[A-Za-z0-9-]+\.[A-Za-z0-9.-]*[A-Za-z0-9-]",
         "ident",
     ),
     "weak_secret": (r"[A-Za-z0-9+/_-]{28,}={0,2}", "secret"),
@@ -103,15 +108,17 @@ def linked(parts: DataFrame, reach: int) -> DataFrame:
         KINDS, F.lit(None).cast("string"),
     )
     parts = parts.withColumn("role", role)
-    bin_ = F.floor(F.col("start") / F.lit(reach)).cast("long")
+
+    def bins(margin: int) -> Column:
+        first, last = F.col("start") - margin, F.col("end") - 1 + margin
+        return F.explode(F.sequence(F.floor(first / reach), F.floor(last / reach))).alias("bin")
+
     near = parts.filter("role <> 'endpoint'").select(
-        "key", "scope", bin_.alias("bin"), F.col("start").alias("near_start"), F.col("role").alias("near_role")
-    )
-    weak = parts.filter(~F.col("kind").isin(*BASE)).withColumn(
-        "bin", F.explode(F.array(bin_ - 1, bin_, bin_ + 1))
+        "key", "scope", bins(0), F.col("start").alias("a"), F.col("end").alias("b"), F.col("role").alias("near_role")
     )
+    weak = parts.filter(~F.col("kind").isin(*BASE)).select("*", bins(reach))
     pairs = weak.join(near, ["key", "scope", "bin"]).filter(
-        F.abs(F.col("start") - F.col("near_start")) <= reach
+        F.greatest("start", "a") - F.least("end", "b") <= reach
     )
     ident, secret = F.max(F.col("near_role") == "ident"), F.max(F.col("near_role") == "secret")
     found = pairs.groupBy("key", "kind", "start", "end", "role").agg(ident.alias("ident"), secret.alias("secret"))
@@ -123,22 +130,41 @@ def linked(parts: DataFrame, reach: int) -> DataFrame:
     return found.filter(need).select("key", "kind", "start", "end")
 
 
-def secret_scans(docs: DataFrame, text: str = "text", reach: int = 200, into: str = "spans") -> DataFrame:
-    """``docs`` with ``into``: the spans of each text as (kind, start, end) in code points,
-    end exclusive, by start and then in the order of ``KINDS``."""
-    parts = _parts(docs, text)
+def _found(docs: DataFrame, text: str, reach: int) -> DataFrame:
+    """``__llm_key, __llm_spans, __llm_cover`` of every distinct text with spans: the spans in
+    order, and the stretches that they cover together."""
+    parts = Steps(docs.sparkSession, "secrets").saved(_parts(docs, text), "parts")
     spans = parts.filter(F.col("kind").isin(*BASE)).select("key", "kind", "start", "end")
     spans = spans.unionByName(linked(parts, reach))
+    along = Window.partitionBy("key").orderBy("start", "end")
+    reached = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("opens", (F.coalesce(reached, F.lit(-1)) <= F.col("start")).cast("int"))
+    spans = spans.withColumn("stretch", F.sum("opens").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     rank = F.array_position(F.array(*[F.lit(kind) for kind in KINDS]), F.col("kind"))
-    sorted_ = F.array_sort(F.collect_list(F.struct("start", rank.alias("rank"), "kind", "end")))
+    one = F.struct("start", rank.alias("rank"), "kind", "end")
+    whole = spans.groupBy("key", "stretch").agg(
+        F.collect_list(one).alias("some"), F.min("start").alias("start"), F.max("end").alias("end")
+    )
+    found = whole.groupBy(F.col("key").alias("__llm_key")).agg(
+        F.array_sort(F.flatten(F.collect_list("some"))).alias("__llm_spans"),
+        F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__llm_cover"),
+    )
     tidy = F.transform(
-        sorted_, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
+        "__llm_spans", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
     )
-    found = spans.groupBy(F.col("key").alias("__llm_key")).agg(tidy.alias("__llm_found"))
+    return found.withColumn("__llm_spans", tidy)
+
+
+def _with_found(docs: DataFrame, text: str, reach: int) -> DataFrame:
     keyed = docs.withColumn("__llm_key", F.md5(F.coalesce(F.col(text), F.lit(""))))
-    joined = keyed.join(found, "__llm_key", "left")
-    result = F.coalesce(F.col("__llm_found"), F.array().cast(SPANS))
-    return joined.withColumn(into, result).drop("__llm_key", "__llm_found")
+    return keyed.join(_found(docs, text, reach), "__llm_key", "left").drop("__llm_key")
+
+
+def secret_scans(docs: DataFrame, text: str = "text", reach: int = 200, into: str = "spans") -> DataFrame:
+    """``docs`` with ``into``: the spans of each text as (kind, start, end) in code points,
+    end exclusive, by start and then in the order of ``KINDS``."""
+    result = F.coalesce(F.col("__llm_spans"), F.array().cast(SPANS))
+    return _with_found(docs, text, reach).withColumn(into, result).drop("__llm_spans", "__llm_cover")
 
 
 def listing(spans: Column) -> Column:
@@ -149,25 +175,34 @@ def listing(spans: Column) -> Column:
     )
 
 
-def masked(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
-    """The text with every span, overlapping ones taken together, replaced by ``mask``."""
-    empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
+def mask_secrets(
+    docs: DataFrame, text: str = "text", reach: int = 200, mask: str = "[SECRET]", chunk: int = 1024
+) -> DataFrame:
+    """``docs`` with every stretch of spans in ``text`` replaced by ``mask``.
+
+    A text with spans is cut into chunks once; each piece between two stretches is taken
+    from the chunks it lies in, so the work grows with the text and not with its square.
+    """
+    found = _with_found(docs, text, reach).drop("__llm_spans")
+    pattern = F.lit(f"(?s).{{1,{chunk}}}")
+    cut = F.when(F.col("__llm_cover").isNotNull(), F.regexp_extract_all(text, pattern, F.lit(0)))
+    # A generator's columns are computed once; an expression would be computed in every step.
+    held = F.inline(F.array(F.struct(cut.alias("__llm_chunks"), F.length(text).cast("long").alias("__llm_size"))))
+    rows = found.select("*", held)
+    cover = F.col("__llm_cover")
 
-    def add(done: Column, s: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        piece = F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))
-        grown = F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end")))
-        rest = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
-        return F.when(last["end"] > s["start"], F.concat(rest, grown)).otherwise(F.concat(done, piece))
+    def piece(start: Column, end: Column) -> Column:
+        first = F.floor(start / chunk).cast("int")
+        part = F.slice("__llm_chunks", first + 1, F.floor(end / chunk).cast("int") - first + 1)
+        return F.substring(F.array_join(part, ""), (start % chunk + 1).cast("int"), (end - start).cast("int"))
+
+    def end_of(place: Column) -> Column:
+        return F.coalesce(F.try_element_at(cover, place)["end"], F.lit(0).cast("long"))
 
-    merged = F.aggregate(spans, empty, add)
-    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform(merged, lambda s: s["end"]))
     heads = F.transform(
-        merged,
-        lambda s, i: F.concat(
-            F.substring(text, F.try_element_at(ends, i + 1).cast("int") + 1, (s["start"] - F.try_element_at(ends, i + 1)).cast("int")),
-            F.lit(mask),
-        ),
+        cover,
+        lambda s, i: F.concat(piece(F.when(i > 0, end_of(F.greatest(i, F.lit(1)))).otherwise(F.lit(0).cast("long")), s["start"]), F.lit(mask)),
     )
-    tail = F.substring(text, F.try_element_at(ends, F.lit(-1)).cast("int") + 1, F.length(text))
-    return F.when(F.size(spans) > 0, F.concat(F.array_join(heads, ""), tail)).otherwise(text)
+    whole = F.concat(F.array_join(heads, ""), piece(end_of(F.lit(-1)), F.col("__llm_size")))
+    result = F.when(cover.isNotNull(), whole).otherwise(F.col(text))
+    return rows.withColumn(text, result).drop("__llm_cover", "__llm_chunks", "__llm_size")

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from answerlog.llm.steps import Steps
-from answerlog.llm.textkit import BLOCK, document_blocks, mix, powers, text_bytes, word_bounds, span_hashes
+from answerlog.llm.textkit import PART, document_blocks, give_back, lean, mix, powers, text_bytes, word_bounds, span_hashes
 
 Rule = tuple[int, int, int, bool, bool]  # least, words, longest, by_content, both_ends
 BROADCAST = 4_000_000
@@ -125,7 +125,7 @@ class Sentences:
 
 def _texts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     data, offsets = text_bytes(column)
-    for first, last in document_blocks(offsets, BLOCK // 2):
+    for first, last in document_blocks(offsets, PART):
         yield first, last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
 
 
@@ -195,6 +195,7 @@ def _cut(rule: Rule):
             edges[0] = 0
             raw = data.tobytes()
             kept.append(b"".join(raw[edges[i] : edges[i + 1]] for i in np.flatnonzero(~gone)).decode())
+        give_back()
         return pa.StructArray.from_arrays(
             [pa.array(kept, pa.string()), pa.array(removed, pa.int64()), pa.array(every, pa.int64())],
             ["text", "n_removed", "n_sentences"],
@@ -218,7 +219,7 @@ def substring_dedup(
     # Equal documents give equal rows here, so counting one document's copies needs distinct places.
     t = F.xxhash64(F.col(doc_id).isNull(), doc, body)
     texts = docs.select(doc.alias("doc"), t.alias("t"), body.alias("text"))
-    counted = texts.select("text").mapInArrow(_keys(rule), "a long, b int").groupBy("a", "b").agg(
+    counted = texts.select("text").mapInArrow(lean(_keys(rule)), "a long, b int").groupBy("a", "b").agg(
         F.count("*").alias("n")
     )
     repeated = saved(counted.filter("n > 1").select("a", "b"), "repeated")
@@ -227,7 +228,7 @@ def substring_dedup(
         found = repeated.select("a").toArrow().column("a").to_numpy()
         known = spark.sparkContext.broadcast(np.unique(found))
     places = texts.mapInArrow(
-        _places(rule, known), "a long, b int, doc long, t long, first long, last long"
+        lean(_places(rule, known)), "a long, b int, doc long, t long, first long, last long"
     )
     places = saved(places.join(repeated, ["a", "b"]).distinct(), "places")
     place = F.struct("doc", "t", "first")

@@ -7,14 +7,16 @@ batch inside a task; a text is never cut.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
-BLOCK = 4 << 20
+BLOCK = 4 << 20  # more than this is not worked on at once
+PART = 1 << 20  # where many arrays of a block live side by side
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _SHINGLE = np.array(
@@ -23,6 +25,28 @@ _SHINGLE = np.array(
 )
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def give_back() -> None:
+    """Return memory that nothing holds any more to the system. Workers outlive their tasks,
+    and what one stage leaves would be missing in the next."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(work: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """The same work on batches, which gives its memory back at the end."""
+
+    def run(batches: Batches) -> Batches:
+        yield from work(batches)
+        give_back()
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes (the splitmix64 steps), so every bit depends on all bits."""
     x = x ^ (x >> np.uint64(30))
@@ -48,7 +72,7 @@ def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..size of the base modulo 2**64 and of its inverse, kept for blocks."""
     kept = _POWERS.get(0)
     if kept is None or len(kept[0]) <= size:
-        size = max(size, BLOCK)
+        size = max(size, PART)
         up, down = np.empty(size + 1, np.uint64), np.empty(size + 1, np.uint64)
         up[0] = down[0] = 1
         up[1:], down[1:] = np.uint64(_BASE), np.uint64(_BASE_INVERSE)
@@ -157,7 +181,7 @@ def shingle_sets(column: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
     """Sorted distinct shingles of every text, A-Z lower-cased; with fewer words than
     ``width`` the whole sequence is one shingle, without words there is none."""
     data, offsets = text_bytes(column)
-    for first, last in document_blocks(offsets):
+    for first, last in document_blocks(offsets, PART):
         low = offsets[first]
         words, heads = word_hashes(data[low : offsets[last]], offsets[first : last + 1] - low, True)
         runs = window_hashes(words, width)
