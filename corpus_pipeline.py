@@ -16,7 +16,7 @@ from answerlog.llm.packing import packing  # noqa: E402
 from answerlog.llm.quality_rules import quality_rules  # noqa: E402
 from answerlog.llm.queries import byte_bpe  # noqa: E402
 from answerlog.llm.registry import table  # noqa: E402
-from answerlog.llm.secret_scans import masked, secret_scans  # noqa: E402
+from answerlog.llm.secret_scans import mask_secrets as without_secrets  # noqa: E402
 from answerlog.llm.substring_dedup import substring_dedup  # noqa: E402
 from answerlog.session import new_folder, ship_package  # noqa: E402
 
@@ -24,13 +24,15 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. A null text counts as empty, which they reject;
+    equal texts share their fate, so ties and repeated rows stay or go together."""
     judged = quality_rules(docs, into="__llm_quality")
     return judged.filter("__llm_quality.kept").drop("__llm_quality")
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group linked by the Jaccard join."""
+    """One document, that with the smallest id, of each group linked by the Jaccard join. Of
+    repeated rows one stays; a document without words is linked with nothing and stays."""
     return jaccard_join.keep_one(docs)
 
 
@@ -40,7 +42,8 @@ def with_text(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated sentence spans; one of which nothing is left goes."""
+    """Documents without repeated sentence spans; one of which nothing is left goes. Null and
+    empty texts hold no span and stay; of repeated rows only the first keeps its sentences."""
     cut = substring_dedup(docs, into="__llm_cut", by_content=True, both_ends=True)
     cut = cut.withColumn("text", F.col("__llm_cut.text"))
     kept = cut.filter((F.col("__llm_cut.n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
@@ -48,13 +51,13 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets masked."""
-    scanned = secret_scans(docs, into="__llm_spans")
-    return with_text(scanned.withColumn("text", masked(F.col("text"), F.col("__llm_spans"))), docs.columns)
+    """All documents, with secrets masked; null, empty and clean texts as they are."""
+    return with_text(without_secrets(docs), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences, with their token ids."""
+    """Pieces of all documents in sequences, with their token ids; a null or empty text has
+    the end id alone, repeated rows are packed each on its own."""
     return packing(docs, **byte_bpe())
 
 
