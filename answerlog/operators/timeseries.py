@@ -96,3 +96,43 @@ def trend_report(
         )
     ordered = grouped.orderBy(F.desc("period"))
     return ordered if limit is None else ordered.limit(limit)
+
+
+# Partial sums: per hour and model the runs, and number and sum of the known values of each
+# metric. Sums of the same hour are added, so they may come in any order and number.
+PARTS = "hour timestamp_ntz, model string, runs long, " + ", ".join(
+    f"{metric}_n long, {metric}_sum double" for metric in METRICS
+)
+
+
+def hourly_parts(results: DataFrame) -> DataFrame:
+    """The partial sums of some runs."""
+    hour = period_key(F.col("timestamp"), "hour").cast("timestamp_ntz")
+    sums = [
+        column
+        for metric in METRICS
+        for column in (
+            F.count(metric_value(metric)).alias(f"{metric}_n"),
+            F.sum(metric_value(metric)).alias(f"{metric}_sum"),
+        )
+    ]
+    return results.groupBy(hour.alias("hour"), "model").agg(F.count(F.lit(1)).alias("runs"), *sums)
+
+
+def volume_of_parts(parts: DataFrame, period: str = "day", model: str | None = None) -> DataFrame:
+    """:func:`query_volume` of the runs that partial sums were made of."""
+    check_period(period)
+    grouped = parts.filter(P.equals_model(model)).groupBy(period_key(F.col("hour"), period).alias("period"))
+    return grouped.agg(F.sum("runs").alias("count")).orderBy(F.desc("period"))
+
+
+def trend_of_parts(
+    parts: DataFrame, metric: str = "execution_time", period: str = "day", model: str | None = None
+) -> DataFrame:
+    """:func:`trend` of the runs that partial sums were made of."""
+    check_period(period)
+    check_metric(metric)
+    grouped = parts.filter(P.equals_model(model)).groupBy(period_key(F.col("hour"), period).alias("period"))
+    sums = grouped.agg(F.sum(f"{metric}_n").alias("n"), F.sum(f"{metric}_sum").alias("sum"))
+    value = F.col("sum") / F.col("n")
+    return sums.filter("n > 0").select("period", value.alias("value")).orderBy(F.desc("period"))

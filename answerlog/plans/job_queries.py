@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from answerlog import schema
 from answerlog.functions import scalars as S
-from answerlog.operators import extract, retention, rollups, similarity, stability
+from answerlog.operators import extract, retention, rollups, similarity, stability, timeseries
 from answerlog.operators.aliases import MODEL_ALIASES, resolve_model
 from answerlog.plans.base import ROW_COLUMNS, query, shown
 from answerlog.plans.lookup_queries import KEY_SQL, PROMPT, runs, whole
@@ -15,6 +15,7 @@ from answerlog.session import new_folder, with_dense_index
 from answerlog.sinks import exports, reports
 from answerlog.sources import prompts, results, testdata
 from answerlog.streaming import jobs
+from answerlog.streaming.stability import stability_stream
 
 SPLIT = "2024-01-16"
 NL = "chr(10)"
@@ -43,7 +44,7 @@ def results_schema(spark, sf_dir):
 def results_scan(spark, sf_dir):
     """Whole runs, written and read back."""
     path = new_folder(spark, "scan")
-    results.write_batch(schema.conform(whole(spark, sf_dir)), path, "all")
+    results.write_runs(schema.conform(whole(spark, sf_dir)), path)
     return shown(results.scan_results(spark, path))
 
 
@@ -907,31 +908,44 @@ def stream_append_results(spark, sf_dir):
 @query(
     "stream_content_stability",
     "snapshots",
-    f"{STABILITY_SQL} SELECT entity_id, stable, stable_seq, stable_length FROM summed WHERE stable",
+    f"{STABILITY_SQL} SELECT entity_id, checks, stable, stable_seq, stable_length FROM summed",
 )
 def stream_content_stability(spark, sf_dir):
+    """All texts, from the reports of a stream."""
     path = new_folder(spark, "stream-stable")
     documents = testdata.stream_table(spark, sf_dir, "documents")
-    found = jobs.stability_stream(testdata.snapshots_of(documents))
+    found = stability_stream(testdata.snapshots_of(documents))
     writer = found.writeStream.format("parquet").option("path", path).outputMode("append")
     _drained(writer, spark, "stability-stream")
-    return spark.read.schema(jobs.STABLE_ROW).parquet(path)
+    return stability.stability_of_parts(spark.read.schema(stability.PARTS).parquet(path))
+
+
+PERIOD_SQL = {
+    "hour": "strftime(\"timestamp\", '%Y-%m-%d %H:00:00')",
+    "day": "strftime(\"timestamp\", '%Y-%m-%d 00:00:00')",
+    "week": "strftime(\"timestamp\", '%Y-W%W')",
+    "month": "strftime(\"timestamp\", '%Y-%m-01')",
+}
 
 
 @query(
     "stream_trends",
     "results",
-    """SELECT strftime(date_trunc('hour', "timestamp"), '%Y-%m-%d %H:%M:%S') AS period_start,
-         count(*) AS count, round(avg(execution_time_seconds), 6) AS value FROM results
-       WHERE date_trunc('hour', "timestamp") + INTERVAL 1 HOUR <=
-         (SELECT max("timestamp") - INTERVAL 1 HOUR FROM results) GROUP BY 1""",
+    " UNION ALL ".join(
+        f"""SELECT '{unit}' AS unit, {key} AS period, count(*) AS count,
+          round(avg(execution_time_seconds), 6) AS value FROM results GROUP BY 2"""
+        for unit, key in PERIOD_SQL.items()
+    ),
 )
 def stream_trends(spark, sf_dir):
-    """Hours that are complete once the stream has run dry."""
+    """All periods of all lengths, from the partial sums of a stream."""
     path = new_folder(spark, "stream-trend")
     arriving = testdata.results_of(testdata.stream_table(spark, sf_dir, "events"))
-    trend = jobs.trend_stream(arriving)
-    writer = trend.writeStream.format("parquet").option("path", path).outputMode("append")
-    _drained(writer, spark, "trend-stream")
-    back = spark.read.schema(trend.schema).parquet(path)
-    return back.withColumn("period_start", S.show_time(F.col("period_start")))
+    _drained(jobs.trend_stream(arriving, path), spark, "trend-stream")
+    parts = jobs.trend_parts(spark, path)
+    every = []
+    for unit in S.PERIODS:
+        volume = timeseries.volume_of_parts(parts, unit)
+        means = timeseries.trend_of_parts(parts, "execution_time", unit)
+        every.append(volume.join(means, "period", "left").select(F.lit(unit).alias("unit"), "period", "count", "value"))
+    return every[0].unionByName(every[1]).unionByName(every[2]).unionByName(every[3])

@@ -1,6 +1,9 @@
 """Reading and appending the results table.
 
-The table is stored by day and batch (``dt=…/batch=…``), by batch jobs and streams alike.
+The table is stored by day and batch (``dt=…/batch=…``), by batch jobs and streams alike;
+``batch`` is the number of its commit (see :mod:`answerlog.sources.commits`). Beside the
+runs, each batch keeps fences: which blocks of ids it holds on which day. So a run that
+arrives is looked for in the few days whose batches can hold its id, not in the whole log.
 """
 
 from __future__ import annotations
@@ -13,7 +16,12 @@ from pyspark.sql import types as T
 
 from answerlog import schema
 from answerlog.functions.scalars import parse_sources
-from answerlog.session import with_dense_index
+from answerlog.session import pin, with_dense_index
+from answerlog.sources.commits import CommitLog, Intent
+
+FENCE = 12  # a fence is a block of 2**12 ids
+FENCES = "block long, dt date, batch long"
+ORDER = ("timestamp", "query", "model", "execution_time_seconds")
 
 
 def scan_results(
@@ -23,12 +31,12 @@ def scan_results(
     end: str | None = None,
     keep_day: bool = False,
 ) -> DataFrame:
-    """Read a results table written by :func:`append_results` or by the append stream.
+    """Read the committed runs of a results table.
 
     ``start`` and ``end`` are dates; they prune the daily partitions. With ``keep_day`` the
     column ``dt`` of these partitions stays, and lookups with date bounds prune by it.
     """
-    table = _stored(spark, path)
+    table = _stored(spark, path).filter(CommitLog(spark, path).visible())
     if start:
         table = table.filter(F.col("dt") >= F.lit(start).cast("date"))
     if end:
@@ -42,57 +50,111 @@ def with_parsed_sources(results: DataFrame) -> DataFrame:
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame:
-    parts = [T.StructField("dt", T.DateType()), T.StructField("batch", T.StringType())]
+    parts = [T.StructField("dt", T.DateType()), T.StructField("batch", T.LongType())]
     return spark.read.schema(T.StructType([*schema.RESULTS.fields, *parts])).parquet(path)
 
 
-def write_batch(rows: DataFrame, path: str, batch: str) -> None:
-    """Write runs as one batch of the log; the same batch written again takes its place."""
-    daily = rows.select(*schema.RESULTS.names, F.to_date("timestamp").alias("dt"), F.lit(batch).alias("batch"))
+def _write(rows: DataFrame, path: str, intent: Intent) -> int:
+    """Write the runs of a batch and then its fences; the number of runs."""
+    spark = rows.sparkSession
+    daily = rows.select(*schema.RESULTS.names, F.to_date("timestamp").alias("dt"), F.lit(intent.number).alias("batch"))
     writer = daily.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("dt", "batch").parquet(path)
+    mine = _stored(spark, path).filter(F.col("batch") == intent.number)
+    fences = mine.groupBy(F.shiftright("id", FENCE).alias("block"), "dt").agg(F.count(F.lit(1)).alias("runs"))
+    folder = f"{path}/_log/fences/batch={intent.number}"
+    fences.repartitionByRange("block").sortWithinPartitions("block").write.mode("overwrite").parquet(folder)
+    return spark.read.parquet(folder).agg(F.coalesce(F.sum("runs"), F.lit(0))).first()[0]
+
+
+def write_runs(rows: DataFrame, path: str) -> None:
+    """Add runs that have ids, none of which the log holds yet, as one batch."""
+    log = CommitLog(rows.sparkSession, path)
+    low, high = rows.agg(F.min("id"), F.max("id")).first()
+    intent = log.reserve(f"runs-{uuid.uuid4().hex}", 0, 0, low, high)
+    log.commit(intent, _write(rows, path, intent))
 
 
 def append_results(spark: SparkSession, batch: DataFrame, path: str) -> DataFrame:
     """Add a batch of runs and return it with its new ids, which go on after the largest id.
 
     Runs are numbered in the order of their time. That order also keeps the runs of a day
-    together, so the daily partitions are written without another shuffle. A batch is named
-    by its last id, so the next one learns it from the names and does not read the log.
+    together, so the daily partitions are written without another shuffle. The ids are a
+    block reserved beforehand, so writers append side by side.
     """
-    order = [F.col(name) for name in ("timestamp", "query", "model", "execution_time_seconds")]
-    start = _last_id(spark, path) + 1
-    numbered = with_dense_index(schema.conform(batch).drop("id"), order, "id", start)
-    rows = numbered.select(*schema.RESULTS.names)
-    last = rows.agg(F.max("id")).first()[0]
-    if last is not None:
-        write_batch(rows, path, f"{last:019d}-{uuid.uuid4().hex}")
+    order = [F.col(name) for name in ORDER]
+    placed = with_dense_index(schema.conform(batch).drop("id"), order, "_number")
+    count = placed.count()
+    if not count:
+        return placed.withColumn("id", F.col("_number")).select(*schema.RESULTS.names)
+    log = CommitLog(spark, path)
+    intent = log.reserve(f"append-{uuid.uuid4().hex}", 0, count)
+    rows = placed.withColumn("id", F.col("_number") + F.lit(intent.first)).select(*schema.RESULTS.names)
+    log.commit(intent, _write(rows, path, intent))
     return rows
 
 
-def without_known(rows: DataFrame, path: str, batch: str) -> DataFrame:
-    """Runs whose id no other batch of the log holds. Only the days of the runs are read."""
+def append_arrived(
+    batch: DataFrame, path: str, writer: str, number: int, patience: float = 3600.0
+) -> None:
+    """Add a batch of a stream; a run with an id that the log holds already is a copy.
+
+    A batch is known by its writer and number: once committed it is not added again, and
+    tried again it takes the number and the ids of the first try. Runs without an id get
+    one. Writers that bring the same ids take turns: each looks for its ids when the
+    batches before it are committed, or given up after ``patience`` seconds.
+    """
+    spark = batch.sparkSession
+    log = CommitLog(spark, path)
+    intent = log.earlier(writer, number)
+    if intent and log.outcome(intent.number):
+        return
+    arrived = pin(schema.conform(batch))
+    named = arrived.filter("id IS NOT NULL").dropDuplicates(["id"])
+    nameless = arrived.filter("id IS NULL")
+    low, high, missing = arrived.agg(
+        F.min("id"), F.max("id"), F.count_if(F.col("id").isNull())
+    ).first()
+    if low is None and not missing:
+        return
+    if intent is None:
+        intent = log.reserve(writer, number, missing, low, high)
+        log.note(intent)
+    log.wait_for_earlier(intent, patience)
+    fresh = named if low is None else without_known(named, path)
+    if missing:
+        order = [F.col(name) for name in ORDER]
+        fresh = fresh.unionByName(with_dense_index(nameless.drop("id"), order, "id", intent.first).select(*fresh.columns))
+    log.commit(intent, _write(fresh, path, intent))
+
+
+def holding_days(rows: DataFrame, path: str) -> list:
+    """The days whose committed batches can hold an id of ``rows``; read from the fences.
+    There are no more of them than days in the calendar."""
+    spark = rows.sparkSession
+    log = CommitLog(spark, path)
+    if not any(size for name, size in log.names().items() if name.endswith(".done")):
+        return []
+    blocks = rows.select(F.shiftright("id", FENCE).alias("block")).distinct()
+    low, high = blocks.agg(F.min("block"), F.max("block")).first()
+    if low is None:
+        return []
+    fences = spark.read.schema(FENCES).parquet(f"{log.root}/fences")
+    near = fences.filter(log.visible() & F.col("block").between(low, high))
+    return [r["dt"] for r in near.join(blocks, "block", "left_semi").select("dt").distinct().collect()]
+
+
+def known_ids(rows: DataFrame, path: str) -> DataFrame:
+    """Ids of the days that can hold an id of ``rows``."""
     spark = rows.sparkSession
-    if not _batches(spark, path):
-        return rows
-    first, last = rows.agg(F.min(F.to_date("timestamp")), F.max(F.to_date("timestamp"))).first()
-    days = F.col("dt").isNull() | F.col("dt").between(F.lit(first), F.lit(last))
-    known = _stored(spark, path).filter(days & (F.col("batch") != batch)).select("id")
-    return rows.join(known, "id", "left_anti")
-
-
-def _batches(spark: SparkSession, path: str) -> set[str]:
-    """Names of the batches of a log; none if there is no log yet."""
-    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/dt=*/batch=*")
-    system = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
-    return {found.getPath().getName().removeprefix("batch=") for found in system.globStatus(pattern) or []}
-
-
-def _last_id(spark: SparkSession, path: str) -> int:
-    names = _batches(spark, path)
-    numbered = [int(name.split("-")[0]) for name in names if name[:19].isdigit()]
-    last = max(numbered, default=0)
-    if len(numbered) < len(names):  # streams keep the ids that arrive
-        arrived = _stored(spark, path).filter(~F.col("batch").rlike("^[0-9]{19}-"))
-        last = max(last, arrived.agg(F.max("id")).first()[0] or 0)
-    return last
+    days = holding_days(rows, path)
+    inside = F.col("dt").isin([day for day in days if day is not None])
+    inside = inside | F.col("dt").isNull() if None in days else inside
+    if not days:
+        return spark.createDataFrame([], "id long")
+    return _stored(spark, path).filter(CommitLog(spark, path).visible() & inside).select("id")
+
+
+def without_known(rows: DataFrame, path: str) -> DataFrame:
+    """Runs whose id no committed batch of the log holds."""
+    return rows.join(known_ids(rows, path), "id", "left_anti")

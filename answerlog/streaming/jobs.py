@@ -2,120 +2,65 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from answerlog import schema
-from answerlog.functions.scalars import PERIODS, check_period
-from answerlog.operators.stability import MIN_CHARS, STABLE_CHECKS
-from answerlog.operators.timeseries import check_metric, metric_value
-from answerlog.session import pin
+from answerlog.operators import timeseries
 from answerlog.sources import results
+from answerlog.sources.commits import CommitLog
 
-STABLE_ROW = "entity_id long, stable boolean, stable_seq long, stable_length long"
-STABLE_STATE = "digest string, size long, run int, checks long, done boolean"
-
-
-def _event_time(timestamp: Column) -> Column:
-    """The wall-clock time as an instant in UTC, as watermarks need instants."""
-    return F.from_utc_timestamp(timestamp.cast("timestamp"), F.current_timezone())
 
+def _writer(batch: DataFrame, name: str | None) -> str:
+    """Who writes: the given name, or the id that a query keeps with its checkpoint."""
+    own = name or batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    if not own:
+        raise ValueError("the query has no id here; name the writer")
+    return own
 
-def _wall_clock(moment: Column) -> Column:
-    return F.to_utc_timestamp(moment, F.current_timezone()).cast("timestamp_ntz")
 
-
-def append_stream(runs: DataFrame, path: str) -> DataStreamWriter:
+def append_stream(
+    runs: DataFrame, path: str, writer: str | None = None, patience: float = 3600.0
+) -> DataStreamWriter:
     """Append arriving runs to the log of :func:`answerlog.sources.results.append_results`.
 
-    A run is added once by its id, however late it or its copy arrives; the ids of the same
-    days in the log tell. A micro-batch that is run again after a failure replaces what it
-    wrote. Missing columns get the defaults of a batch. Set the checkpoint location before
-    starting.
+    A run is added once by its id, however late it or its copy arrives and whoever wrote the
+    first; runs without an id get one. A micro-batch that is run again after a failure is
+    known by the query's id (or ``writer``) and its number. Missing columns get the defaults
+    of a batch. Set the checkpoint location before starting.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        name = f"stream-{number}"
-        fresh = pin(schema.conform(batch).dropDuplicates(["id"]))
-        results.write_batch(results.without_known(fresh, path, name), path, name)
+        results.append_arrived(batch, path, _writer(batch, writer), number, patience)
 
     return runs.writeStream.foreachBatch(write)
 
 
-def trend_stream(
-    runs: DataFrame, metric: str = "execution_time", period: str = "hour", delay: str = "1 hour"
-) -> DataFrame:
-    """Runs and mean metric per hour, day or week; late rows are taken up to ``delay``.
+def trend_stream(runs: DataFrame, path: str, writer: str | None = None) -> DataStreamWriter:
+    """Add the hourly sums of every micro-batch to a table of partial sums.
 
-    Weeks are counted from Monday. Months have no fixed length and are left to batch jobs.
-    """
-    check_period(period)
-    check_metric(metric)
-    if period == PERIODS[-1]:
-        raise ValueError("a stream window needs a fixed length: hour, day or week")
-    offset = "4 days" if period == "week" else None
-    slot = F.window("event_time", f"1 {period}", startTime=offset)
-    return (
-        runs.select(
-            _event_time(F.col("timestamp")).alias("event_time"), metric_value(metric).alias("value")
-        )
-        .withWatermark("event_time", delay)
-        .groupBy(slot.alias("slot"))
-        .agg(F.count(F.lit(1)).alias("count"), F.avg("value").alias("value"))
-        .select(_wall_clock(F.col("slot.start")).alias("period_start"), "count", "value")
-    )
-
-
-def stability_stream(
-    snapshots: DataFrame,
-    threshold: int = STABLE_CHECKS,
-    min_chars: int = MIN_CHARS,
-    max_wait_ms: int | None = None,
-) -> DataFrame:
-    """One row per text as soon as it was unchanged ``threshold`` times in a row.
-
-    The state of a text is its last hash and length, the run so far and whether it was
-    reported. With ``max_wait_ms`` a text without new checks for that long is reported as
-    not stable. Hash and length are computed before the rows reach Python.
+    :func:`trend_parts` reads the table. Sums of one hour from many batches are added when
+    they are read, so a run counts however late it comes, and the last hour is there at once.
     """
-    size = F.coalesce(F.length("text"), F.lit(0)).cast("long")
-    digest = F.when(size > 0, F.md5("text")).otherwise(F.lit(""))
-    checks = snapshots.select("entity_id", "seq", size.alias("size"), digest.alias("digest"))
-
-    def advance(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        last, length, run, count, done = state.get if state.exists else ("", 0, 0, 0, False)
-        if state.hasTimedOut:
-            state.remove()
-            if not done:
-                yield pd.DataFrame([(key[0], False, None, None)], columns=_names())
+
+    def write(batch: DataFrame, number: int) -> None:
+        log = CommitLog(batch.sparkSession, path)
+        name = _writer(batch, writer)
+        intent = log.earlier(name, number)
+        if intent is None:
+            intent = log.reserve(name, number, 0)
+            log.note(intent)
+        elif log.outcome(intent.number):
             return
-        arrived = pd.concat(list(batches), ignore_index=True).sort_values("seq")
-        for seq, chars, text in zip(arrived["seq"], arrived["size"], arrived["digest"]):
-            count += 1
-            same = text == last and chars == length
-            run = run + 1 if same and chars >= min_chars else 0
-            last, length = text, int(chars)
-            if run >= threshold and not done:
-                done = True
-                yield pd.DataFrame([(key[0], True, int(seq), int(chars))], columns=_names())
-        state.update((last, length, run, count, done))
-        if max_wait_ms is not None:
-            state.setTimeoutDuration(max_wait_ms)
-
-    timeout = GroupStateTimeout.NoTimeout
-    if max_wait_ms is not None:
-        timeout = GroupStateTimeout.ProcessingTimeTimeout
-    return checks.groupBy("entity_id").applyInPandasWithState(
-        advance, STABLE_ROW, STABLE_STATE, "append", timeout
-    )
-
-
-def _names() -> list[str]:
-    return ["entity_id", "stable", "stable_seq", "stable_length"]
+        parts = timeseries.hourly_parts(batch)
+        folder = f"{path}/batch={intent.number}"
+        parts.write.mode("overwrite").parquet(folder)
+        log.commit(intent, 0)
+
+    return runs.writeStream.foreachBatch(write)
+
+
+def trend_parts(spark, path: str) -> DataFrame:
+    """The committed partial sums, for :func:`answerlog.operators.timeseries.trend_of_parts`
+    and :func:`answerlog.operators.timeseries.volume_of_parts`."""
+    table = spark.read.schema(f"{timeseries.PARTS}, batch long").parquet(path)
+    return table.filter(CommitLog(spark, path).visible()).drop("batch")

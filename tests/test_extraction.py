@@ -200,20 +200,20 @@ def growing_texts(seed):
     return entities
 
 
-@pytest.mark.parametrize("threshold, min_chars, chunk", [(3, 50, 4096), (3, 20, 5), (2, 0, 4), (1, 10, 3)])
-def test_stability_equals_the_loop(spark, threshold, min_chars, chunk):
+@pytest.mark.parametrize("threshold, min_chars", [(3, 50), (3, 20), (2, 0), (1, 10)])
+def test_stability_equals_the_loop(spark, threshold, min_chars):
     entities = growing_texts(7)
     rows = [(e, s, t) for e, texts in entities.items() for s, t in enumerate(texts, 1)]
     df = spark.createDataFrame(rows, "entity_id int, seq long, text string")
-    got = {r["entity_id"]: r for r in rows_of(stability.content_stability(df, threshold, min_chars, chunk))}
+    got = {r["entity_id"]: r for r in rows_of(stability.content_stability(df, threshold, min_chars))}
     for entity, texts in entities.items():
         want = stable_by_loop(texts, threshold, min_chars)
         assert got[entity]["stable_seq"] == want and got[entity]["checks"] == len(texts)
         assert got[entity]["stable"] == (want is not None)
 
 
-@pytest.mark.parametrize("threshold, min_chars, chunk", [(3, 20, 5), (2, 0, 4), (1, 10, 3), (4, 5, 6)])
-def test_stability_with_gaps_in_the_numbers(spark, threshold, min_chars, chunk):
+@pytest.mark.parametrize("threshold, min_chars", [(3, 20), (2, 0), (1, 10), (4, 5)])
+def test_stability_with_gaps_in_the_numbers(spark, threshold, min_chars):
     """Checks before a chunk may come from any number of chunks."""
     entities, rnd = growing_texts(11), random.Random(3)
     rows, numbers = [], {}
@@ -222,7 +222,7 @@ def test_stability_with_gaps_in_the_numbers(spark, threshold, min_chars, chunk):
         numbers[entity] = places
         rows += [(entity, s, t) for s, t in zip(places, texts)]
     df = spark.createDataFrame(rows, "entity_id int, seq long, text string")
-    got = {r["entity_id"]: r for r in rows_of(stability.content_stability(df, threshold, min_chars, chunk))}
+    got = {r["entity_id"]: r for r in rows_of(stability.content_stability(df, threshold, min_chars))}
     for entity, texts in entities.items():
         want = stable_by_loop(texts, threshold, min_chars)
         assert got[entity]["stable_seq"] == (want and numbers[entity][want - 1])

@@ -21,7 +21,7 @@ def stored(spark, diverse):
 
 def partition_filters(df) -> str:
     plan = df._jdf.queryExecution().executedPlan().toString()
-    return " ".join(re.findall(r"PartitionFilters: \[(.*?)\], PushedFilters", plan))
+    return " ".join(re.findall(r"PartitionFilters: \[(.*?)(?:\], PushedFilters|\.\.\.)", plan))
 
 
 def same(left, right):

@@ -1,11 +1,22 @@
 from __future__ import annotations
 
+import contextlib
 import datetime
+import random
+import re
+import threading
+import time
 
-from answerlog.operators import stability
+import pytest
+from pyspark.sql import functions as F
+
+from answerlog import schema
+from answerlog.operators import stability, timeseries
 from answerlog.session import new_folder
-from answerlog.sources import results
+from answerlog.sources import commits, results
+from answerlog.sources.commits import CommitLog, GivenUp
 from answerlog.streaming import jobs
+from answerlog.streaming.stability import stability_stream
 from tests.conftest import rows_of
 from tests.test_extraction import growing_texts
 
@@ -25,6 +36,10 @@ def drain(spark, writer, name, checkpoint=None):
     assert stream.awaitTermination(300)
 
 
+def ids_of(spark, path) -> list[int]:
+    return sorted(r["id"] for r in results.scan_results(spark, path).select("id").collect())
+
+
 def test_append_stream_keeps_each_id_once_and_late_runs(spark, diverse):
     # The oldest runs come last, with copies of others; none is lost or doubled.
     parts = [diverse.filter("id BETWEEN 13 AND 30"), diverse.filter("id BETWEEN 9 AND 14"), diverse.filter("id <= 10")]
@@ -32,7 +47,7 @@ def test_append_stream_keeps_each_id_once_and_late_runs(spark, diverse):
     path, place = new_folder(spark, "log"), new_folder(spark, "check")
     drain(spark, jobs.append_stream(stream, path), "append", place)
     stored = results.scan_results(spark, path)
-    assert sorted(r["id"] for r in stored.collect()) == list(range(1, 31))
+    assert ids_of(spark, path) == list(range(1, 31))
     assert rows_of(stored.orderBy("id")) == rows_of(diverse.orderBy("id"))
 
 
@@ -48,39 +63,258 @@ def test_batch_and_stream_share_one_log(spark, diverse):
     assert {r["timestamp"].day >= 20 for r in some.collect()} == {True}
 
 
-def test_a_batch_written_again_takes_its_place(spark, diverse):
+def test_a_second_stream_and_a_lost_checkpoint_lose_nothing(spark, make_log):
+    day = [{"timestamp": "2024-01-01T08:00:00"}] * 5
+    old, new = make_log(day), make_log(day).withColumn("id", F.col("id") + 10)
+    path = new_folder(spark, "log")
+    drain(spark, jobs.append_stream(batches_of(spark, [old], "a"), path), "append")
+    drain(spark, jobs.append_stream(batches_of(spark, [new, old], "b"), path), "append")
+    assert ids_of(spark, path) == [1, 2, 3, 4, 5, 11, 12, 13, 14, 15]
+    drain(spark, jobs.append_stream(batches_of(spark, [new, old], "c"), path), "append")
+    assert ids_of(spark, path) == [1, 2, 3, 4, 5, 11, 12, 13, 14, 15]
+
+
+def test_runs_without_ids_get_ids(spark, diverse):
+    path = new_folder(spark, "log")
+    nameless = diverse.drop("id", "success")
+    mixed = diverse.withColumn("id", F.when(F.col("id") < 4, F.col("id") + 40))
+    drain(spark, jobs.append_stream(batches_of(spark, [nameless], "a"), path), "append")
+    assert ids_of(spark, path) == list(range(1, 31))
+    drain(spark, jobs.append_stream(batches_of(spark, [mixed], "b"), path), "append")
+    assert ids_of(spark, path) == sorted([*range(1, 31), 41, 42, 43, *range(44, 71)])
+    assert results.scan_results(spark, path).filter("success IS NULL OR timestamp IS NULL").isEmpty()
+
+
+def test_a_batch_is_known_by_writer_and_number(spark, diverse, monkeypatch):
+    path = new_folder(spark, "log")
+    results.append_arrived(diverse.filter("id <= 5"), path, "w", 0)
+    results.append_arrived(diverse.filter("id <= 9"), path, "w", 0)  # the same batch again
+    assert ids_of(spark, path) == [1, 2, 3, 4, 5]
+
+    def dies(self, intent, rows):
+        raise RuntimeError("lost")
+
+    # A batch whose commit fails stays out of sight; tried again it has the same ids.
+    nameless = diverse.filter("id > 20").withColumn("id", F.lit(None).cast("long"))
+    with monkeypatch.context() as patch:
+        patch.setattr(CommitLog, "commit", dies)
+        with pytest.raises(RuntimeError):
+            results.append_arrived(nameless, path, "w", 1)
+    assert ids_of(spark, path) == [1, 2, 3, 4, 5]
+    other = results.append_results(spark, diverse.filter("id = 6"), path)
+    results.append_arrived(nameless, path, "w", 1)
+    assert [r["id"] for r in other.collect()] == [16]
+    assert ids_of(spark, path) == [*range(1, 17)]
+
+
+def test_writers_side_by_side_never_share_an_id(spark, diverse):
+    path, failures = new_folder(spark, "log"), []
+
+    def appends():
+        try:
+            for k in range(3):
+                results.append_results(spark, diverse.filter(F.col("id") % 3 == k), path)
+        except Exception as error:  # noqa: BLE001
+            failures.append(error)
+
+    def arrives(name):
+        try:
+            for number in range(3):
+                part = diverse.filter(F.col("id") % 3 >= number).withColumn("id", F.col("id") + 1000)
+                results.append_arrived(part, path, name, number)
+        except Exception as error:  # noqa: BLE001
+            failures.append(error)
+
+    work = [threading.Thread(target=f, args=a) for f, a in [(appends, ()), (appends, ()), (arrives, ("x",)), (arrives, ("y",))]]
+    for thread in work:
+        thread.start()
+    for thread in work:
+        thread.join()
+    ids = ids_of(spark, path)
+    arrived = [i for i in ids if 1001 <= i <= 1030]
+    assert not failures and len(ids) == len(set(ids)) and len(ids) >= 60
+    # Ids that were given before the first arrival may lie where the arriving ids would be;
+    # those are copies by the rule. Here none does: 60 ids stay far below 1000.
+    assert arrived == list(range(1001, 1031)) and len(ids) == 90
+
+
+@pytest.mark.parametrize("local", [True, False])
+def test_of_two_writers_one_gets_the_number(spark, local):
+    logs = [CommitLog(spark, new_folder(spark, "log")) for _ in range(1)] * 2
+    if not local:
+        for log in logs:
+            log._local = None  # rename by the file system's own rules
+    assert logs[0].create("x", "one") and not logs[1].create("x", "two")
+    assert logs[0].read("x") == "one" and list(logs[0].names()) == ["x"]
+    first, second = logs[0].reserve("a", 0, 10), logs[1].reserve("b", 0, 5, 100, 120)
+    third = logs[0].reserve("a", 1, 3)
+    assert [(x.number, x.first, x.last) for x in (first, second, third)] == [(1, 1, 10), (2, 121, 125), (3, 126, 128)]
+
+
+def test_an_open_batch_is_waited_for_and_then_given_up(spark, diverse):
+    path = new_folder(spark, "log")
+    log = CommitLog(spark, path)
+    dead = log.reserve("dead", 0, 0, 1, 30)
+    far = log.reserve("far", 0, 0, 500, 600)
+    results.append_arrived(diverse.filter("id <= 3"), path, "alive", 0, patience=0.5)
+    assert ids_of(spark, path) == [1, 2, 3]
+    assert log.outcome(dead.number) is False and log.outcome(far.number) is None
+    with pytest.raises(GivenUp):
+        log.commit(dead, 30)
+    assert log.visible()._jc.toString().count("batch") >= 2  # the holes are named
+
+
+def test_a_late_run_reads_only_days_that_can_hold_it(spark, diverse):
     path = new_folder(spark, "log")
-    for _ in range(2):
-        results.write_batch(diverse, path, "stream-0")
-    assert results.scan_results(spark, path).count() == 30
+    many = spark.range(0, 40_000).select(
+        "id", F.lit("q").alias("query"),
+        (F.lit("2023-01-01").cast("timestamp_ntz") + F.make_interval(days=(F.col("id") / 1000).cast("int"))).alias("timestamp"),
+    )
+    results.write_runs(schema.conform(many), path)
+    results.append_arrived(diverse.withColumn("id", F.col("id") + 100_000), path, "w", 0)
+    # It has an old id and comes with a time of today: found on the few days near its id.
+    late = diverse.filter("id = 1").withColumn("id", F.lit(20_500).cast("long"))
+    days = results.holding_days(late, path)
+    assert datetime.date(2023, 1, 21) in days and len(days) <= 6
+    known = results.known_ids(late, path)
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert "dt" in re.findall(r"PartitionFilters: \[(.*?)(?:\], PushedFilters|\.\.\.)", plan)[0]
+    assert known.count() < 7000
+    fresh = results.without_known(late.unionByName(diverse.filter("id = 2").withColumn("id", F.lit(70_000).cast("long"))), path)
+    assert [r["id"] for r in fresh.collect()] == [70_000]
+    assert results.holding_days(diverse.filter("id < 0"), path) == []
+    assert results.without_known(diverse, new_folder(spark, "none")).count() == 30
+
+
+# Stability
 
 
-def test_stability_stream_equals_the_batch_result(spark):
-    rows = [(e, s, t) for e, texts in growing_texts(9).items() for s, t in enumerate(texts, 1)]
-    checks = spark.createDataFrame(rows, "entity_id long, seq long, text string")
-    parts = [checks.filter("seq <= 9"), checks.filter("seq > 9 AND seq <= 20"), checks.filter("seq > 20")]
-    found = jobs.stability_stream(batches_of(spark, parts, "checks"), 3, 20)
+def plain_stability(rows, threshold, min_chars):
+    found = {}
+    for entity in {r[0] for r in rows}:
+        last, run, hit = "", 0, (False, None, None)
+        checks = sorted(r[1:] for r in rows if r[0] == entity)
+        for seq, text in checks:
+            same = text == last and len(text) >= min_chars
+            run, last = run + 1 if same else 0, text
+            if run >= threshold and not hit[0]:
+                hit = (True, seq, len(text))
+        found[entity] = (len(checks), *hit)
+    return found
+
+
+def stability_rows(seed, step):
+    rng = random.Random(seed)
+    rows = [(e, s * step, t) for e, texts in growing_texts(9).items() for s, t in enumerate(texts, 1)]
+    text, seq = "", 0
+    for _ in range(300):  # one entity with most of the checks
+        seq += rng.randint(1, step)
+        if rng.random() < 0.4:
+            text = "z" * rng.randint(15, 30)
+        rows.append((-1, seq, text))
+    return rows
+
+
+def as_found(df):
+    return {r["entity_id"]: (r["checks"], r["stable"], r["stable_seq"], r["stable_length"]) for r in df.collect()}
+
+
+CHECKS = "entity_id long, seq long, text string"
+
+
+@pytest.fixture
+def many_partitions(spark):
+    """Small tables keep their shuffle partitions, so that entities lie in several."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.unset(name)
+
+
+@pytest.mark.parametrize("step", [1, 10_000])
+@pytest.mark.parametrize("threshold", [1, 3])
+def test_stability_of_any_numbers_equals_the_loop(spark, many_partitions, step, threshold):
+    rows = stability_rows(5, step)
+    checks = spark.createDataFrame(rows, CHECKS).repartition(3)
+    assert as_found(stability.content_stability(checks, threshold, 20)) == plain_stability(rows, threshold, 20)
+
+
+def test_one_entity_is_spread_over_partitions(spark, many_partitions):
+    checks = spark.range(1, 2001).select(F.lit(1).alias("entity_id"), (F.col("id") * 10_000).alias("seq"), F.lit("x").alias("text"))
+    marked = stability._marked(stability.digests(checks).withColumn("own", F.lit(True)), 3, 1)
+    assert max(r["count"] for r in marked.groupBy("chunk").count().collect()) < 1200
+    assert marked.filter("stable").count() == 1997
+
+
+@pytest.mark.parametrize("seed,step,part", [(1, 1, 4), (2, 7, 16), (3, 3, 4096)])
+def test_stability_stream_equals_the_batch_result_in_any_order(spark, many_partitions, seed, step, part):
+    rows = stability_rows(seed, step)
+    rng = random.Random(seed)
+    mixed = rng.sample(rows, len(rows))
+    cuts = sorted(rng.sample(range(1, len(rows)), 2))
+    parts = [mixed[: cuts[0]], mixed[cuts[0] : cuts[1]], mixed[cuts[1] :] + mixed[:20]]  # and some again
+    frames = [spark.createDataFrame(x, CHECKS) for x in parts]
+    found = stability_stream(batches_of(spark, frames, "checks"), 3, 20, part=part)
     path = new_folder(spark, "stable")
     drain(spark, found.writeStream.format("parquet").option("path", path), "stability")
-    got = {(r["entity_id"], r["stable_seq"], r["stable_length"]) for r in spark.read.schema(jobs.STABLE_ROW).parquet(path).collect()}
-    batch = stability.content_stability(checks, 3, 20).filter("stable")
-    assert got == {(r["entity_id"], r["stable_seq"], r["stable_length"]) for r in batch.collect()}
-    assert got
-
-
-def test_trend_stream_drops_late_rows(spark, make_log):
-    def at(*hours):
-        start = datetime.datetime(2024, 1, 1)
-        rows = [
-            {"timestamp": start + datetime.timedelta(hours=h), "execution_time_seconds": float(h)}
-            for h in hours
-        ]
-        return make_log(rows)
-
-    stream = batches_of(spark, [at(0.1, 0.2, 1.5), at(9.0), at(9.5), at(0.3, 10.0)], "times")
+    got = stability.stability_of_parts(spark.read.schema(stability.PARTS).parquet(path), 3, 20)
+    assert as_found(got) == plain_stability(rows, 3, 20)
+
+
+def test_the_state_of_a_part_ends(spark):
+    source, path = new_folder(spark, "checks"), new_folder(spark, "stable")
+
+    def add(rows):
+        spark.createDataFrame(rows, CHECKS).coalesce(1).write.mode("append").parquet(source)
+
+    def reports(number):
+        for _ in range(240):
+            with contextlib.suppress(Exception):  # the folder may not be there yet
+                found = spark.read.schema(stability.PARTS).parquet(path).collect()
+                if len(found) >= number:
+                    return found
+            time.sleep(0.5)
+        raise TimeoutError("no report")
+
+    add([(1, s, "a" * 30) for s in (1, 2)])
+    checks = spark.readStream.schema(CHECKS).parquet(source)
+    writer = stability_stream(checks, 3, 20, max_wait_ms=1).writeStream.format("parquet").option("path", path)
+    stream = writer.option("checkpointLocation", new_folder(spark, "state")).start()
+    try:
+        assert [r["checks"] for r in reports(1)] == [2]
+        time.sleep(5)
+        add([(1, 3, "a" * 30)])
+        assert sorted(r["checks"] for r in reports(2)) == [1, 2]  # the third check found no state
+    finally:
+        stream.stop()
+    assert as_found(stability.stability_of_parts(spark.read.schema(stability.PARTS).parquet(path), 3, 20))[1][0] == 2
+
+
+# Trends
+
+
+@pytest.mark.parametrize("period", ["hour", "day", "week", "month"])
+def test_trends_of_a_stream_equal_those_of_the_log(spark, diverse, period):
+    # Out of order, the oldest last; the sums of a batch that is run again count once.
+    parts = [diverse.filter("id > 20"), diverse.filter("id BETWEEN 8 AND 20"), diverse.filter("id < 8")]
+    path = new_folder(spark, "trend")
+    drain(spark, jobs.trend_stream(batches_of(spark, parts, "runs"), path), "trend")
+    drain(spark, jobs.trend_stream(batches_of(spark, [diverse], "runs"), f"{path}-2", "w"), "trend")
+    drain(spark, jobs.trend_stream(batches_of(spark, [diverse], "runs"), f"{path}-2", "w"), "trend")
+    for folder in (path, f"{path}-2"):
+        table = jobs.trend_parts(spark, folder)
+        assert rows_of(timeseries.volume_of_parts(table, period)) == rows_of(timeseries.query_volume(diverse, period))
+        for metric in timeseries.METRICS:
+            for model in (None, "beta"):
+                got = rows_of(timeseries.trend_of_parts(table, metric, period, model))
+                want = rows_of(timeseries.trend(diverse, metric, period, model))
+                assert [r["period"] for r in got] == [r["period"] for r in want]
+                assert all(abs(a["value"] - b["value"]) < 1e-9 for a, b in zip(got, want))
+
+
+def test_uncommitted_sums_do_not_count(spark, diverse, monkeypatch):
     path = new_folder(spark, "trend")
-    trend = jobs.trend_stream(stream, "execution_time", "hour", "2 hours")
-    drain(spark, trend.writeStream.format("parquet").option("path", path), "trend")
-    rows = rows_of(spark.read.schema(trend.schema).parquet(path).orderBy("period_start"))
-    assert [(r["period_start"].hour, r["count"]) for r in rows] == [(0, 2), (1, 1)]
-    assert abs(rows[0]["value"] - 0.15) < 1e-9
+    stream = batches_of(spark, [diverse], "runs")
+    monkeypatch.setattr(commits.CommitLog, "commit", lambda self, intent, rows: None)
+    drain(spark, jobs.trend_stream(stream, path, "w"), "trend")
+    assert jobs.trend_parts(spark, path).isEmpty()
