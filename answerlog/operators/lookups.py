@@ -21,12 +21,28 @@ def without_day(results: DataFrame) -> DataFrame:
 
 
 def newest_first(results: DataFrame, limit: int | None = None) -> DataFrame:
-    """Newest runs first; with a limit Spark keeps a top-k per task instead of sorting all."""
+    """Newest runs first; with a limit Spark keeps a top-k per task instead of sorting all.
+
+    Of a log with its daily partitions a limit reads only the newest days that hold so many.
+    """
+    if limit is not None and P.DAY in results.columns:
+        results = results.filter(_newest_days(results, limit))
     results = without_day(results)
     ordered = results.orderBy(F.desc("timestamp"), F.desc("id"))
     return ordered if limit is None else ordered.limit(limit)
 
 
+def _newest_days(results: DataFrame, limit: int) -> Column:
+    """The newest days with at least ``limit`` runs, by a count per day that reads no texts."""
+    counts = results.groupBy(P.DAY).agg(F.count(F.lit(1)).alias("count"))
+    missing, first = limit, None
+    for day, count in sorted((r for r in counts.collect() if r[0] is not None), reverse=True):
+        missing, first = missing - count, day
+        if missing <= 0:
+            return F.col(P.DAY) >= F.lit(first)
+    return F.lit(True)
+
+
 def by_query(results: DataFrame, query: str, model: str | None = None) -> DataFrame:
     """Runs of one prompt, of one model if given."""
     return newest_first(results.filter((F.col("query") == F.lit(query)) & P.equals_model(model)))

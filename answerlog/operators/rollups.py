@@ -25,8 +25,8 @@ def _selected(
     end: str | None = None,
     end_mode: str = "instant",
 ) -> DataFrame:
-    window = P.time_window(F.col("timestamp"), start, end, end_mode)
-    return results.filter(P.equals_model(model) & window)
+    """Runs of a model and a time range; of a log with its daily partitions only these days."""
+    return results.filter(P.equals_model(model) & P.within(results, start, end, end_mode))
 
 
 def _share(part: Column, whole: Column, factor: float = 1.0) -> Column:

@@ -25,7 +25,7 @@ from answerlog.operators.dedup import duplicate_queries
 from answerlog.session import join_groups, pin, with_dense_index
 
 EPS = 1e-9
-HOT = 1000
+HOT = 200
 MAX_DEPTH = 3
 SPREAD = 64
 IN_ONE_TASK = 1_000_000
@@ -102,6 +102,10 @@ class Positional:
     more pieces of width l/(k+1) one is equal in both. A prompt of length L gives the
     pieces for every length l from tL to L it may be compared with; these have few widths.
     A refined signature adds a piece of the text that is left without the first piece.
+
+    Prompts made from one template share most pieces without being similar. So before a
+    signature is refined, the places at which all its prompts agree are left out of them:
+    what differs lies elsewhere, and the pieces are cut from places that tell prompts apart.
     """
 
     def __init__(self, threshold: float):
@@ -128,7 +132,7 @@ class Positional:
             differing = _floor(length * (1 - self.threshold))
             return F.greatest(F.floor((length - gone) / (differing + 1)).cast("int"), F.lit(0))
 
-        wide = rows.withColumn("width", F.explode(F.array_distinct(F.transform(lengths, width))))
+        wide = rows.drop("place").withColumn("width", F.explode(F.array_distinct(F.transform(lengths, width))))
         # Width 0: too little text is left, the signature cannot be refined.
         last = F.floor(F.length("rest") / F.greatest("width", F.lit(1))).cast("int") - 1
         places = F.when(F.col("width") == 0, F.array(F.lit(0))).when(
@@ -142,7 +146,39 @@ class Positional:
         )
         return pieces.withColumns(
             {"sig": F.xxhash64("sig", "width", "place", piece), "rest": left}
-        ).drop("width", "place")
+        )  # ``width`` and ``place`` stay, for telling()
+
+    def telling(self, rows: DataFrame) -> DataFrame:
+        """Rows of each ``parent`` without the places at which all of them agree.
+
+        Only places that every row of the parent has are left out, so places of two rows
+        still correspond. Each row names the places at which it differs from one of them.
+        A parent whose rows also agree in an earlier piece goes: all its pairs are found
+        under that piece, so a pair is decided under its first common piece only.
+        """
+        of_parent = rows.groupBy("parent").agg(
+            F.count(F.lit(1)).alias("rows"), F.min(F.length("rest")).alias("least"), F.min("rest").alias("model")
+        )
+        spread = join_groups(rows, pin(of_parent), ["parent"], "rows").withColumns(
+            {"chars": F.split("rest", ""), "model": F.split("model", "")}
+        )
+        places = F.when(F.col("least") > 0, F.sequence(F.lit(0), F.col("least") - 1))
+        differing = F.filter(places, lambda i: F.get("chars", i) != F.get("model", i))
+        piece = ["parent", "rows", F.col("width").alias("piece_width"), F.col("place").alias("piece_place")]
+        # The place -1 stands for a parent whose rows agree everywhere.
+        each = F.explode(F.concat(F.array(F.lit(-1)), F.coalesce(differing, F.array())))
+        telling = spread.select(*piece, each.alias("differs")).distinct()
+        of_places = telling.groupBy("parent", "rows", "piece_width", "piece_place").agg(
+            F.array_sort(F.collect_list(F.when(F.col("differs") >= 0, F.col("differs")))).alias("places")
+        )
+        before = F.filter("places", lambda i: i < F.col("piece_width") * F.col("piece_place"))
+        earlier = F.array_distinct(F.transform(before, lambda i: F.floor(i / F.greatest("piece_width", F.lit(1)))))
+        known = of_places.filter(F.size(earlier) == F.col("piece_place")).select("parent", "rows", "places")
+        kept = F.array_join(F.transform("places", lambda i: F.get("chars", i)), "")
+        rest = F.concat(kept, F.substr("rest", F.col("least") + 1))
+        thinned = join_groups(spread.drop("rows"), pin(known), ["parent"], "rows")
+        gone = ["rows", "least", "model", "chars", "places", "width", "place"]
+        return thinned.withColumn("rest", rest).drop(*gone)
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         score = positional_similarity(F.col("x_text"), F.col("y_text"))
@@ -198,6 +234,10 @@ class Sequence:
         others = F.array_distinct(F.transform(lengths, self._width))
         return own.unionByName(rows(others, F.lit(1), SECOND_ROLE))
 
+    def telling(self, rows: DataFrame) -> DataFrame:
+        """Places of two texts need not correspond here, so all of them stay."""
+        return rows
+
     def refine(self, rows: DataFrame) -> DataFrame:
         size = F.length("text")
         first = F.col("role") == FIRST_ROLE
@@ -254,7 +294,7 @@ def _signatures(nodes: DataFrame, measure, hot: int) -> DataFrame:
             break
         kept.append(sized.filter(F.col("size") <= hot))
         parents = crowded.withColumnsRenamed({"size": "whole"}).withColumn("parent", F.col("sig"))
-        children = measure.refine(parents)
+        children = measure.refine(measure.telling(parents))
         sizes = pin(_sizes(children, "parent", "sig", "whole"))
         square = F.when(F.col("shared"), F.col("size").cast("double") * F.col("size"))
         costs = sizes.groupBy("parent", "whole").agg(

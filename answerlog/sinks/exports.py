@@ -257,13 +257,25 @@ def export_groups(grouped: DataFrame, path: str, format: str = "json") -> DataFr
         writer = with_parsed_sources(spread).write.mode("errorifexists")
         writer.partitionBy("group_key").json(path)
     else:
-        block = reports.markdown_block(full=True).alias("value")
+        block = _guarded(reports.markdown_block(full=True)).alias("value")
         blocks = with_parsed_sources(spread).select("group_key", block)
-        blocks.write.mode("errorifexists").partitionBy("group_key").text(path)
+        writer = blocks.write.mode("errorifexists").option("lineSep", BLOCK_END)
+        writer.partitionBy("group_key").text(path)
     return manifest(grouped.sparkSession, path, format)
 
 
-BLOCK_END = "---\n\n"  # ends every Markdown block of a file
+# Ends every Markdown block of a file. It is not shown, and no text can hold it: where one
+# does, it gets a backslash more before its last word.
+BLOCK_END = "<!-- end of block -->\n\n"
+_END_IN_TEXT = r"(<!-- end of )(\\*block -->)"
+
+
+def _guarded(block: Column) -> Column:
+    return F.regexp_replace(block, _END_IN_TEXT, r"$1\\$2")
+
+
+def _unguarded(block: Column) -> Column:
+    return F.regexp_replace(block, r"(<!-- end of )\\(\\*block -->)", "$1$2")
 
 
 def read_groups(spark: SparkSession, path: str, format: str) -> DataFrame:
@@ -278,8 +290,7 @@ def read_groups(spark: SparkSession, path: str, format: str) -> DataFrame:
     reader = spark.read.schema("value string, group_key string")
     if format == "json":
         return reader.text(path)
-    blocks = reader.option("lineSep", BLOCK_END).text(path)
-    return blocks.withColumn("value", F.concat("value", F.lit("---\n")))
+    return reader.option("lineSep", BLOCK_END).text(path).withColumn("value", _unguarded(F.col("value")))
 
 
 def manifest(spark: SparkSession, path: str, format: str) -> DataFrame:

@@ -164,6 +164,22 @@ def test_template_cluster_gives_one_row_per_member(make_log):
     assert len(cluster) == 149 and {r["count"] for r in cluster} == {150}
 
 
+@pytest.mark.parametrize("threshold", [0.6, 0.8, 0.9])
+def test_prompts_of_one_template_equal_brute_force(make_log, threshold):
+    rnd = random.Random(8)
+
+    def word(size):
+        return "".join(rnd.choice("abcdefgh") for _ in range(size))
+
+    queries = [f"tell me all about {word(10)} in the {word(rnd.randint(6, 9))} of {i % 7}" for i in range(150)]
+    queries += [q[:25] + "xy" + q[27:] for q in queries[:30]] + [f"list what {word(14)} has" for _ in range(40)]
+    queries = sorted(set(queries))
+    log = make_log([{"query": q} for q in queries])
+    want = greedy(queries, positional, threshold)
+    assert found_pairs(similarity.similar_queries(log, threshold, hot=10)) == want
+    assert len(want) >= 20
+
+
 def test_similarity_arguments(diverse, empty_log):
     for call in (
         lambda: similarity.similar_queries(diverse, -0.1),

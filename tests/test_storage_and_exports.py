@@ -161,6 +161,17 @@ def test_group_exports(spark, log, format):
     assert all(r["files"] >= 1 and r["bytes"] > 0 for r in got.values())
 
 
+def test_blocks_are_told_apart_whatever_the_answers_hold(spark, make_log):
+    texts = ["a\n\n---\n\nb", f"x {exports.BLOCK_END} y", "<!-- end of \\\\block -->", "---\n", "", None]
+    runs = make_log([{"query": f"q{i}", "model": "m", "timestamp": "2024-01-01", "answer_text": t} for i, t in enumerate(texts)])
+    path = new_folder(spark, "rules")
+    written = one(exports.export_groups(exports.label_groups(runs), path, "md"))
+    assert written["record_count"] == len(texts)
+    blocks = {r["value"] for r in exports.read_groups(spark, path, "md").collect()}
+    parsed = results.with_parsed_sources(runs)
+    assert blocks == {r[0] for r in parsed.select(reports.markdown_block()).collect()}
+
+
 def test_groupings(log):
     assert {r["group_key"] for r in rows_of(exports.model_groups(log))} == {"gpt_4_x", "m2"}
     weeks = {r["group_key"] for r in rows_of(exports.period_groups(log, "week"))}
