@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from answerlog.functions.scalars import show_time
-from answerlog.operators import distribution, rollups, timeseries
+from answerlog.operators import distribution, mentions, rollups, timeseries
 from answerlog.plans.base import ROW_COLUMNS, query, shown
 from answerlog.plans.lookup_queries import END, PROMPT, START, runs
 from answerlog.sources import testdata
@@ -363,3 +363,59 @@ def per_group_lookup(spark, sf_dir):
 )
 def first_appearance(spark, sf_dir):
     return rollups.first_appearance(testdata.observations(spark, sf_dir))
+
+
+# -- mentions, citations and changes ---------------------------------------------------
+
+LABEL = "coalesce(nullif(model, ''), 'unknown')"
+MONTH = "strftime(\"timestamp\", '%Y-%m-01')"
+WEEK = "strftime(\"timestamp\", '%Y-W%W')"
+TERMS = ["the", "There", "thing", "ing", "in the", "and", "que", "für"]
+TERM_ROWS = ", ".join(f"('{term.lower()}')" for term in TERMS)
+
+
+@query(
+    "mention_share",
+    "results",
+    f""", terms(term) AS (VALUES {TERM_ROWS}),
+      answers AS (SELECT {LABEL} AS model, {WEEK} AS period, lower(answer_text) AS text FROM results
+        WHERE answer_text <> ''),
+      groups AS (SELECT model, period, count(*) AS answers FROM answers GROUP BY ALL),
+      found AS (SELECT model, period, term, count(*) AS mentioning, CAST(sum((length(text)
+        - length(replace(text, term, ''))) // length(term)) AS BIGINT) AS mentions
+        FROM answers JOIN terms ON contains(text, term) GROUP BY ALL)
+      SELECT model, period, term, answers, mentioning, mentions, round(mentioning / answers, 6) AS share
+      FROM found JOIN groups USING (model, period)""",
+)
+def mention_share(spark, sf_dir):
+    terms = spark.createDataFrame([(term,) for term in TERMS], "term string")
+    return mentions.mention_share(full(spark, sf_dir), terms, "week")
+
+
+@query(
+    "domain_citation_share",
+    "results citations",
+    f""", cited AS (SELECT {LABEL} AS model, regexp_replace(regexp_extract(c.url,
+        '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1), '^www\\.', '') AS domain
+        FROM citations c JOIN results r ON r.id = c.result_id),
+      counted AS (SELECT model, domain, count(*) AS citations FROM cited GROUP BY ALL)
+      SELECT *, round(citations / sum(citations) OVER (PARTITION BY model), 6) AS share FROM counted""",
+)
+def domain_citation_share(spark, sf_dir):
+    models = testdata.results(spark, sf_dir, answers=False).select("id", "model")
+    cited = testdata.citations(spark, sf_dir)
+    return mentions.domain_citation_share(cited.join(models, cited["result_id"] == models["id"]))
+
+
+@query(
+    "answer_change",
+    "results",
+    f""", answers AS (SELECT query, {LABEL} AS model, {MONTH} AS period, md5(answer_text) AS digest,
+        lag(md5(answer_text)) OVER (PARTITION BY query, {LABEL} ORDER BY "timestamp", id) AS before
+        FROM results WHERE answer_text <> '')
+      SELECT query, model, period, count(*) AS compared, count(*) FILTER (WHERE digest <> before) AS changed,
+        round(count(*) FILTER (WHERE digest <> before) / count(*), 6) AS rate
+      FROM answers WHERE before IS NOT NULL GROUP BY ALL""",
+)
+def answer_change(spark, sf_dir):
+    return mentions.answer_change(full(spark, sf_dir))
