@@ -7,6 +7,7 @@ import re
 from answerlog.llm import chat_format as chat
 from answerlog.llm import quality_rules as rules
 from answerlog.llm import secret_scans as secrets
+from answerlog.llm import textkit
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -82,27 +83,64 @@ def quality_rules(limits: rules.Limits = rules.Limits()) -> str:
     FROM judged LEFT JOIN near USING (doc_id)"""
 
 
+def _times(a: str, b: str) -> str:
+    """A product modulo 2**64."""
+    return f"CAST(CAST({a} AS UHUGEINT) * CAST({b} AS UHUGEINT) % 18446744073709551616 AS UBIGINT)"
+
+
+def _mixed(values: str) -> str:
+    """A list of 64-bit numbers, each mixed as ``textkit.mix`` does."""
+    for shift, factor in ((30, "13787848793156543929"), (27, "10723151780598845931"), (31, "")):
+        last = f"xor(x, x >> {shift})"
+        values = f"list_transform({values}, lambda x: {_times(last, factor) if factor else last})"
+    return values
+
+
 def substring_dedup(least: int = 2, words: int = 20, longest: int = 16) -> str:
     gap = r"[\x20\x09-\x0D]"
+    far = words + least
+    low = 2**32 - 1
+
+    def shortest(sizes: str) -> str:
+        return f"""list_min(list_filter(range({least}, len({sizes}) + 1),
+            lambda k: list_sum({sizes}[:k]) >= {words}))"""
+
     return rf"""
-    WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    WITH bytes AS (SELECT {_mixed(f"list_transform(range(1, 257), lambda i: {_times('i', '15074714826142052245')})")} AS known),
+    d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
     w AS (SELECT doc_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS raw
         FROM (SELECT doc_id, regexp_extract_all(t, '{WORD}{gap}*') AS ws FROM d)),
     tidy AS (SELECT *, regexp_replace(raw, '{gap}+$', '') AS word FROM w),
-    ends AS (SELECT *, regexp_matches(word, '[.!?]$') OR contains(raw, chr(10)) AS stop FROM tidy),
+    hexed AS (SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM tidy)),
+    summed AS (SELECT word, CAST((list_reduce(list_reverse(list_transform(range(len(h) // 2), lambda j:
+            CAST(list_extract(known, CAST('0x' || substr(h, CAST(2 * j + 1 AS INT), 2) AS INT) + 1) AS UHUGEINT))),
+            lambda a, b: (a * CAST({textkit._BASE} AS UHUGEINT) + b) % 18446744073709551616) + CAST(len(h) // 2 AS UHUGEINT))
+            % 18446744073709551616 AS UBIGINT) AS x FROM hexed, bytes),
+    hashed AS (SELECT word, list_extract({_mixed('[x]')}, 1) >> 32 AS hash FROM summed),
+    ends AS (SELECT *, regexp_matches(word, '[.!?]$') OR contains(raw, chr(10)) AS stop
+        FROM tidy JOIN hashed USING (word)),
     said_to AS (SELECT *, coalesce(sum(CAST(stop AS INT)) OVER (PARTITION BY doc_id ORDER BY i
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM ends),
-    cut AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, s ORDER BY i) - 1) // {longest} AS part FROM said_to),
+    windowed AS (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS size, count(*) OVER ahead AS room,
+        min(CAST(hash AS HUGEINT) * {2**32} + {low} - i) OVER ahead AS best FROM said_to
+        WINDOW ahead AS (PARTITION BY doc_id, s ORDER BY i ROWS BETWEEN CURRENT ROW AND {longest - 1} FOLLOWING)),
+    cuts AS (SELECT DISTINCT doc_id, {low} - best % {2**32} + 1 AS i FROM windowed
+        WHERE size > {longest} AND room = {longest}),
+    opened AS (SELECT w.*, sum(CAST(cuts.i IS NOT NULL OR w.i = 1 AS INT)) OVER (PARTITION BY w.doc_id ORDER BY w.i) AS part
+        FROM windowed w LEFT JOIN cuts ON cuts.doc_id = w.doc_id AND cuts.i = w.i),
     sentence AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) AS n, count(*) AS size,
         string_agg(word, ' ' ORDER BY i) AS said, string_agg(raw, '' ORDER BY i) AS raw
-        FROM cut GROUP BY doc_id, s, part),
-    ahead AS (SELECT *, list(size) OVER next AS sizes, list(said) OVER next AS saids FROM sentence
-        WINDOW next AS (PARTITION BY doc_id ORDER BY n ROWS BETWEEN CURRENT ROW AND {words + least} FOLLOWING)),
-    sized AS (SELECT *, list_min(list_filter(range({least}, len(sizes) + 1),
-        lambda k: list_sum(sizes[:k]) >= {words})) AS k FROM ahead),
-    span AS (SELECT doc_id, n, k, array_to_string(saids[:k], ' ') AS said FROM sized WHERE k IS NOT NULL),
+        FROM opened GROUP BY doc_id, s, part),
+    around AS (SELECT *, list(size) OVER next AS sizes, list(said) OVER next AS saids,
+        list_reverse(list(size) OVER last) AS back_sizes, list_reverse(list(said) OVER last) AS back_saids FROM sentence
+        WINDOW next AS (PARTITION BY doc_id ORDER BY n ROWS BETWEEN CURRENT ROW AND {far} FOLLOWING),
+        last AS (PARTITION BY doc_id ORDER BY n ROWS BETWEEN {far} PRECEDING AND CURRENT ROW)),
+    sized AS (SELECT *, {shortest('sizes')} AS k, {shortest('back_sizes')} AS back FROM around),
+    span AS (SELECT doc_id, n, k, array_to_string(saids[:k], ' ') AS said FROM sized WHERE k IS NOT NULL
+        UNION SELECT doc_id, n - back + 1, back, array_to_string(list_reverse(back_saids[:back]), ' ')
+        FROM sized WHERE back IS NOT NULL),
     placed AS (SELECT *, row_number() OVER (PARTITION BY said ORDER BY doc_id, n) AS place FROM span),
-    gone AS (SELECT DISTINCT doc_id, n + j AS n FROM placed, range({words + least + 1}) r(j)
+    gone AS (SELECT DISTINCT doc_id, n + j AS n FROM placed, range({far + 1}) r(j)
         WHERE place > 1 AND j < k),
     flagged AS (SELECT s.*, g.doc_id IS NOT NULL AS is_gone
         FROM sentence s LEFT JOIN gone g ON s.doc_id = g.doc_id AND s.n = g.n),

@@ -1,23 +1,21 @@
 """Substring dedup by sliding sentence spans.
 
-A sentence ends after a word that ends in '.', '!' or '?', at a line end, and after
-``longest`` words (so one long sentence cannot hide a passage). A span is the run of
-sentences from any sentence on that has at least ``least`` sentences and ``words`` words,
-and no more sentences than that takes; every sentence starts a span unless the text ends
-first. Spans are equal if their words are, whatever white space is between them. The
-first place of a span is the one with the smallest (id, text hash, sentence); all others
-are repeats, and every sentence that a repeat covers goes.
-
-With ``by_content`` a sentence of more than ``longest`` words is cut after the word of least
-hash in each of its windows of ``longest`` words instead of by count. Where two texts share
-P words in a row, their cuts then agree from at most ``longest`` words behind the start of
-these to less than ``longest`` words before their end, wherever the sentences around them
-begin; at least P - 2 * ``longest`` + 1 words are cut alike.
-
-With ``both_ends`` the shortest spans that end at each sentence are spans as well. A run of
-sentences that is long enough holds, for each of its sentences, a span from that sentence
-on or one of those before the run's end; so whole repeated runs go, with their last
-sentences.
+A sentence ends after a word that ends in '.', '!' or '?' and at a line end. One of more
+than ``longest`` words (so that it cannot hide a passage) is cut by its content: after the
+word of least hash in each of its windows of ``longest`` words. Where two texts share P
+words in a row, their cuts agree from at most ``longest`` words behind the start of these
+to less than ``longest`` words before their end, wherever the sentences around them begin;
+at least P - 2 * ``longest`` + 1 words are cut alike.
+
+A span is a run of sentences that has at least ``least`` sentences and ``words`` words, and
+no more sentences than that takes: the shortest one from each sentence on, and the shortest
+one up to each sentence. A longer run holds, for each of its sentences, a span from that
+sentence on or one up to a sentence behind it that covers it; so these stand for every run
+of several sentences, and repeated runs go whole. Spans are equal if their words are,
+whatever white space is between them; where equal words are divided differently, as in a
+text of one word again and again, only the shortest spans are compared. The first place of a span is the one with the
+smallest (id, text hash, sentence); all others are repeats, and every sentence that a
+repeat covers goes.
 
 Spans are counted by their hash alone (96 bits), combined before the shuffle. Only spans
 that occur again are then emitted with their places: the texts are hashed once more, and
@@ -42,7 +40,7 @@ from pyspark.sql import functions as F
 from answerlog.llm.steps import Steps
 from answerlog.llm.textkit import PART, document_blocks, give_back, lean, mix, powers, text_bytes, word_bounds, span_hashes
 
-Rule = tuple[int, int, int, bool, bool]  # least, words, longest, by_content, both_ends
+Rule = tuple[int, int, int]  # least, words, longest
 BROADCAST = 4_000_000
 ENDS = np.zeros(256, bool)
 ENDS[list(b".!?")] = True
@@ -71,10 +69,7 @@ def content_cuts(hashes: np.ndarray, starts: np.ndarray, longest: int) -> np.nda
 class Sentences:
     """Sentences and spans of some whole texts."""
 
-    def __init__(
-        self, data: np.ndarray, offsets: np.ndarray, least: int, words: int, longest: int, by_content: bool,
-        both_ends: bool,
-    ):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, least: int, words: int, longest: int):
         begin, end, heads = word_bounds(data, offsets)
         self.begin, self.end = begin, end
         self.hashes = span_hashes(data, begin, end, False)
@@ -86,11 +81,7 @@ class Sentences:
             breaks = ENDS[data[end[:-1] - 1]] | (lines[begin[1:]] > lines[end[:-1]]) | (owner[1:] != owner[:-1])
             first[1:] = breaks
         starts = np.flatnonzero(first)
-        if by_content:
-            first[content_cuts(self.hashes, starts, longest)] = True
-        else:
-            within = np.arange(count) - np.repeat(starts, np.diff(np.append(starts, count)))
-            first = within % longest == 0
+        first[content_cuts(self.hashes, starts, longest)] = True
         self.starts = np.flatnonzero(first)  # first word of every sentence
         self.stops = np.append(self.starts[1:], count)
         self.owner = owner[self.starts]
@@ -101,7 +92,7 @@ class Sentences:
         inside = last < self.heads[self.owner + 1] if len(self.owner) else np.zeros(0, bool)
         self.span_first = np.flatnonzero(inside)
         self.span_last = last[inside]
-        if both_ends and len(self.owner):
+        if len(self.owner):
             # First sentence of the shortest span up to each sentence; those known already are left out.
             every = np.arange(len(self.starts))
             by_words = np.searchsorted(self.starts, self.stops - words, side="right") - 1
@@ -206,14 +197,13 @@ def _cut(rule: Rule):
 
 def substring_dedup(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 2, words: int = 20,
-    longest: int = 16, into: str = "dedup", by_content: bool = False,
-    both_ends: bool = False,
+    longest: int = 16, into: str = "dedup",
 ) -> DataFrame:
     """``docs`` with a struct ``into``: the remaining ``text``, ``n_removed`` and
     ``n_sentences``. An input column of that name is replaced."""
     spark = docs.sparkSession
     saved = Steps(spark, "spans").saved
-    rule = (least, words, longest, by_content, both_ends)
+    rule = (least, words, longest)
     doc = F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1))
     body = F.coalesce(F.col(text), F.lit(""))
     # Equal documents give equal rows here, so counting one document's copies needs distinct places.
