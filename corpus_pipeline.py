@@ -44,7 +44,7 @@ def with_text(rows: DataFrame, columns: list[str]) -> DataFrame:
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated sentence spans; one of which nothing is left goes. Null and
     empty texts hold no span and stay; of repeated rows only the first keeps its sentences."""
-    cut = substring_dedup(docs, into="__llm_cut", by_content=True, both_ends=True)
+    cut = substring_dedup(docs, into="__llm_cut")
     cut = cut.withColumn("text", F.col("__llm_cut.text"))
     kept = cut.filter((F.col("__llm_cut.n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return with_text(kept, docs.columns)
