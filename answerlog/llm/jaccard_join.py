@@ -18,9 +18,12 @@ nearly all of them, and only points move for it. Links among the others are foun
 steps, each exact in what it decides. ``grow`` runs through the blocks of every set's first
 shared shingle (then its first three, then the large blocks of its first ``EARLY``), each
 block split into parts of bounded size, and verifies all pairs that are not connected yet;
-so a group of near copies is connected along the way and its pairs are not listed. ``rest`` lists what is left, pairs in any block that
-are still in different components and were not verified before, and verifies them.
-Components follow from the links.
+so a group of near copies is connected along the way and its pairs are not listed. ``rest``
+takes what is left, pairs in any block that may be similar, are still in different
+components and were not verified before. It lists no pairs either: each block says in as
+many rows as it has which of its sets such pairs connect, the sets that are connected over
+all blocks make a group, and the pairs of a group are verified as those of a block, each
+set being moved once. Components follow from the links.
 
 Documents with equal sets are one vertex. Sets are made anew from the texts where they
 are needed, and only for documents that share a prefix shingle with others.
@@ -397,10 +400,29 @@ def _partnered(percent: int):
     return partnered
 
 
+def _stars(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Pairs that connect what the pairs (x, y) connect: each end with the smallest one it
+    is connected with. There are fewer of them than ends, however many pairs there are."""
+    ends, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    a, b = at[: len(x)], at[len(x) :]
+    label = np.arange(len(ends))
+    while (label[a] != label[b]).any():
+        least = np.minimum(label[a], label[b])
+        after = label.copy()
+        np.minimum.at(after, label[a], least)
+        np.minimum.at(after, label[b], least)
+        while (after != after[after]).any():
+            after = after[after]
+        label = after[label]
+    own = label != np.arange(len(ends))
+    return np.stack([ends[label[own]], ends[own]], axis=1)
+
+
 def _candidates(percent: int):
-    """Pairs of blocks that may be similar, are in different components and were not verified.
-    Rows are (shingle, one, two, mine, v, comp, n, vector, firsts), sorted by block;
-    ``firsts`` are the shingles in whose blocks all pairs were verified."""
+    """What connects the rows of blocks that may be similar, are in different components and
+    were not verified (see ``_stars``). Rows are (shingle, one, two, mine, v, comp, n, vector,
+    firsts), sorted by block; ``firsts`` are the shingles in whose blocks all pairs were
+    verified."""
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches, 3):
@@ -435,8 +457,7 @@ def _candidates(percent: int):
             for i in range(EARLY):
                 for j in range(EARLY):
                     verified |= (firsts[x, i] == firsts[y, j]) & (firsts[x, i] != 0)
-            x, y = v[x[~verified]], v[y[~verified]]
-            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+            pairs = _stars(v[x[~verified]], v[y[~verified]])
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["x", "y"])
 
     return candidates
@@ -599,27 +620,18 @@ class JaccardJoin:
         names = ["v", "comp", "n", "vector", "firsts"]
         placed = self.in_blocks(rows, blocks, points, names)
         pairs = placed.mapInArrow(lean(_candidates(self.percent)), "x long, y long").distinct()
-        pairs = self.saved(pairs, "candidates")
-        ends = pairs.select(F.col("x").alias("v")).unionByName(pairs.select(F.col("y").alias("v"))).distinct()
-        sets = self.beside(ends, sets)
-        both = pairs.join(sets.select(F.col("v").alias("x"), F.col("shingles").alias("left")), "x").join(
-            sets.select(F.col("v").alias("y"), F.col("shingles").alias("right")), "y"
-        )
-        similar = F.arrow_udf(_similar(self.percent), "boolean")(F.col("left"), F.col("right"))
-        return self.saved(both.filter(similar).select("x", "y"), "links-rest")
-
-
-def _similar(percent: int):
-    def similar(left: pa.Array, right: pa.Array) -> pa.Array:
-        result = []
-        for x, y in zip(left.to_pylist(), right.to_pylist()):
-            a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = np.sort(np.concatenate([a, b]))
-            shared = int((both[1:] == both[:-1]).sum())
-            result.append(shared >= int(needed(np.int64(len(a)), np.int64(len(b)), percent)))
-        return pa.array(result, pa.bool_())
-
-    return similar
+        groups = components(self.saved(pairs, "candidates")).select("v", F.col("comp").alias("group"))
+        rows = self.with_comps(groups.join(vertices.select("v", "n"), "v"), comps)
+        parts = F.greatest(F.ceil(F.count("*") / F.lit(PART)), F.ceil(F.sum("n") / F.lit(WEIGHT)))
+        rows = rows.join(rows.groupBy("group").agg(parts.cast("long").alias("parts")), "group")
+        rows = rows.withColumn("mine", F.pmod(F.xxhash64("v"), F.col("parts")))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        part = F.least("mine", "other") * F.lit(1 << 31) + F.greatest("mine", "other")
+        rows = self.beside(rows.select("group", part.alias("part"), "v", "comp"), sets)
+        rows = rows.select("group", "part", "v", "comp", "shingles")
+        count = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = rows.repartition(count, "group", "part").sortWithinPartitions("group", "part")
+        return self.saved(dealt.mapInArrow(lean(_grow_blocks(self.percent)), "x long, y long"), "links-rest")
 
 
 def jaccard_join(
