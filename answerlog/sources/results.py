@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,13 +30,17 @@ def scan_results(
     start: str | None = None,
     end: str | None = None,
     keep_day: bool = False,
+    batches: Column | None = None,
 ) -> DataFrame:
     """Read the committed runs of a results table.
 
     ``start`` and ``end`` are dates; they prune the daily partitions. With ``keep_day`` the
     column ``dt`` of these partitions stays, and lookups with date bounds prune by it.
+    ``batches`` is a further condition on the number of the ``batch``.
     """
-    table = _stored(spark, path).filter(CommitLog(spark, path).visible())
+    table = stored(spark, path).filter(CommitLog(spark, path).visible())
+    if batches is not None:
+        table = table.filter(batches)
     if start:
         table = table.filter(F.col("dt") >= F.lit(start).cast("date"))
     if end:
@@ -49,7 +53,8 @@ def with_parsed_sources(results: DataFrame) -> DataFrame:
     return results.withColumn("sources", parse_sources(F.col("sources")))
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame:
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """All that lies in the folders of a log, with ``dt`` and ``batch``, committed or not."""
     parts = [T.StructField("dt", T.DateType()), T.StructField("batch", T.LongType())]
     return spark.read.schema(T.StructType([*schema.RESULTS.fields, *parts])).parquet(path)
 
@@ -60,7 +65,7 @@ def _write(rows: DataFrame, path: str, intent: Intent) -> int:
     daily = rows.select(*schema.RESULTS.names, F.to_date("timestamp").alias("dt"), F.lit(intent.number).alias("batch"))
     writer = daily.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("dt", "batch").parquet(path)
-    mine = _stored(spark, path).filter(F.col("batch") == intent.number)
+    mine = stored(spark, path).filter(F.col("batch") == intent.number)
     fences = mine.groupBy(F.shiftright("id", FENCE).alias("block"), "dt").agg(F.count(F.lit(1)).alias("runs"))
     folder = f"{path}/_log/fences/batch={intent.number}"
     fences.repartitionByRange("block").sortWithinPartitions("block").write.mode("overwrite").parquet(folder)
@@ -152,7 +157,7 @@ def known_ids(rows: DataFrame, path: str) -> DataFrame:
     inside = inside | F.col("dt").isNull() if None in days else inside
     if not days:
         return spark.createDataFrame([], "id long")
-    return _stored(spark, path).filter(CommitLog(spark, path).visible() & inside).select("id")
+    return stored(spark, path).filter(CommitLog(spark, path).visible() & inside).select("id")
 
 
 def without_known(rows: DataFrame, path: str) -> DataFrame:
