@@ -121,8 +121,8 @@ def prompt_batches(spark, sf_dir):
     bad = spark.createDataFrame([("not json",), ('{"query": "q"}',), ("[]",)], "value string")
     files = arrays.select("value").unionByName(bad)
     files.write.option("maxRecordsPerFile", 1).text(path)
-    read = prompts.read_prompt_files(spark, path)
-    checked = prompts.validate_prompts(prompts.prompts_of_files(read).select("idx", "raw"))
+    entries, read = prompts.split_prompt_arrays(spark, path)
+    checked = prompts.validate_prompts(entries.select("idx", "raw"))
     none = F.lit(None).cast("string")
     counted = checked.groupBy(F.lit("entry").alias("level"), "error_code", "query", "model")
     of_files = read.groupBy(F.lit("file").alias("level"), "error_code", none.alias("query"), none.alias("model"))
