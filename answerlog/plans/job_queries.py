@@ -11,7 +11,7 @@ from answerlog.operators.aliases import MODEL_ALIASES, resolve_model
 from answerlog.plans.base import ROW_COLUMNS, query, shown
 from answerlog.plans.lookup_queries import KEY_SQL, PROMPT, runs, whole
 from answerlog.plans.summary_queries import full
-from answerlog.session import new_folder, with_dense_index
+from answerlog.session import new_folder, with_number
 from answerlog.sinks import exports, reports
 from answerlog.sources import prompts, results, testdata
 from answerlog.streaming import jobs
@@ -636,8 +636,7 @@ def render_markdown(spark, sf_dir):
             FROM counted)""",
 )
 def export_md_cli(spark, sf_dir):
-    order = [F.desc("timestamp"), F.desc("id")]
-    numbered = with_dense_index(full(spark, sf_dir), order, "number", 1)
+    numbered = with_number(full(spark, sf_dir), ["timestamp", "id"], "number", 1, descending=True)
     parsed = results.with_parsed_sources(numbered)
     return parsed.select("number", reports.report_block().alias("section"))
 

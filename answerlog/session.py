@@ -71,21 +71,59 @@ def with_dense_index(df: DataFrame, order: list[Column], name: str, start: int =
         .withColumn("_place", F.monotonically_increasing_id())
     )
     part = F.shiftrightunsigned("_place", 33)
-    sizes = placed.groupBy(part.alias("part")).count().orderBy("part").collect()
+    rows = placed.withColumn("_part", part)
+    return _counted_on(rows, rows.groupBy("_part").count(), name, start)
+
+
+def _counted_on(
+    rows: DataFrame, sizes: DataFrame, name: str, start: int, descending: bool = False
+) -> DataFrame:
+    """Turn the place of a row in its partition into one among all: the counts of the ``_part``
+    before its own are added."""
     offsets, total = [], start
-    for row in sizes:
-        offsets.append((row["part"], total))
+    for row in sizes.orderBy(F.desc("_part") if descending else F.asc("_part")).collect():
+        offsets.append((row["_part"], total))
         total += row["count"]
-    table = df.sparkSession.createDataFrame(offsets, "_part long, _offset long")
+    table = rows.sparkSession.createDataFrame(offsets, "_part long, _offset long")
     local = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
     return (
-        placed.withColumn("_part", part)
-        .join(F.broadcast(table), "_part")
+        rows.join(F.broadcast(table), "_part")
         .withColumn(name, F.col("_offset") + local)
         .drop("_part", "_offset", "_place")
     )
 
 
+def with_number(
+    df: DataFrame, by: list[str], name: str, start: int = 0, descending: bool = False
+) -> DataFrame:
+    """Number wide rows in the order of some columns, without a copy of them on disk.
+
+    Only the columns ``by`` are pinned. Their ranges are fixed and counted first, so the rows
+    themselves are shuffled once, by range. ``df`` has to give the same rows each time it is
+    read; else use :func:`with_dense_index`, which pins the rows. Equal keys get their numbers
+    in any order, which may differ between two readings. NULL is smaller than any value.
+    """
+    key = F.struct(*by)
+    keys = pin(df.select(key.alias("_key")).repartitionByRange("_key"))
+    lows = keys.groupBy(F.spark_partition_id().alias("at")).agg(F.min("_key").alias("low"))
+    bounds = lows.agg(F.sort_array(F.collect_list("low")).alias("_bounds"))
+    count = max(lows.count(), 1)
+
+    def parted(rows: DataFrame, of: Column) -> DataFrame:
+        below = F.size(F.filter("_bounds", lambda low: low <= of)) - 1
+        return rows.crossJoin(F.broadcast(bounds)).withColumn("_part", below).drop("_bounds")
+
+    sizes = parted(keys, F.col("_key")).groupBy("_part").count()
+    order = [F.desc(column) if descending else F.asc(column) for column in by]
+    rows = (
+        parted(df, key)
+        .repartitionById(count, F.col("_part"))
+        .sortWithinPartitions(*order)
+        .withColumn("_place", F.monotonically_increasing_id())
+    )
+    return _counted_on(rows, sizes, name, start, descending)
+
+
 def join_groups(
     rows: DataFrame, groups: DataFrame, keys: list[str], size: str = "count", parts: int = 1000
 ) -> DataFrame:

@@ -20,7 +20,7 @@ from answerlog.functions.scalars import (
 from answerlog.operators import lookups
 from answerlog.sinks import reports
 from answerlog.sources.results import with_parsed_sources
-from answerlog.session import with_dense_index
+from answerlog.session import with_number
 
 FORMATS = ("json", "csv", "md")
 
@@ -198,8 +198,8 @@ def export_markdown_report(
     _require_rows(rows)
     if limit is not None:
         rows = lookups.newest_first(rows, limit)
-    order = [F.desc("timestamp"), F.desc("id")]
-    numbered = with_parsed_sources(with_dense_index(rows, order, "number", 1))
+    numbered = with_number(rows, ["timestamp", "id"], "number", 1, descending=True)
+    numbered = with_parsed_sources(numbered)
     sections = numbered.orderBy("number").select(reports.report_block(full).alias("value"))
     return _written(sections, path, lambda r: r.write.mode("errorifexists").text(path))
 

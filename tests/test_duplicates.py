@@ -6,7 +6,7 @@ from difflib import SequenceMatcher
 import pytest
 
 from answerlog.operators import dedup, similarity
-from answerlog.session import join_groups, with_dense_index
+from answerlog.session import join_groups, with_dense_index, with_number
 from pyspark.sql import functions as F
 from tests.conftest import one, rows_of
 
@@ -73,6 +73,22 @@ def test_dense_index(spark):
     assert {(r["v"], r["n"]) for r in numbered.collect()} == {(v, 5 + 999 - v) for v in range(1000)}
 
 
+def test_numbers_of_wide_rows(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"), F.lit("x").alias("text"))
+    for descending in (False, True):
+        got = with_number(rows, ["v"], "n", 5, descending).collect()
+        assert {(r["v"], r["n"]) for r in got} == {(v, 5 + (999 - v if descending else v)) for v in range(1000)}
+    # Equal and missing keys keep a number each, missing ones at the small end.
+    keys = [(None, None), (None, 1), (1, None), (1, 2), (1, 2), (None, None), (3, 0)]
+    odd = spark.createDataFrame(keys, "a long, b long").repartition(3)
+    got = sorted((r["n"], r["a"], r["b"]) for r in with_number(odd, ["a", "b"], "n").collect())
+    assert [n for n, _, _ in got] == list(range(7))
+    assert [k[1:] for k in got] == sorted(keys, key=lambda k: tuple((x is not None, x or 0) for x in k))
+    got = sorted((r["n"], r["a"], r["b"]) for r in with_number(odd, ["a", "b"], "n", descending=True).collect())
+    assert [k[1:] for k in got][::-1] == sorted(keys, key=lambda k: tuple((x is not None, x or 0) for x in k))
+    assert with_number(odd.limit(0), ["a"], "n").collect() == []
+
+
 # -- near duplicates -------------------------------------------------------------------
 
 

@@ -10,7 +10,7 @@ from pyspark.sql.utils import AnalysisException
 
 from answerlog import schema
 from answerlog.operators import retention
-from answerlog.session import new_folder
+from answerlog.session import new_folder, shared_dir
 from answerlog.sinks import exports, reports
 from answerlog.sources import prompts, results
 from tests.conftest import one, rows_of
@@ -127,6 +127,22 @@ def test_markdown(spark, log):
     assert "- [no url](#)" in text
 
 
+def kept_bytes(spark, *without):
+    """Size of what lies in the shared folder, but for some folders of it."""
+    files = glob.glob(f"{shared_dir(spark)}/**/*", recursive=True)
+    return sum(os.path.getsize(f) for f in files if os.path.isfile(f) and not f.startswith(without))
+
+
+def test_a_report_keeps_no_copy_of_the_answers(spark, make_log):
+    base = {"timestamp": "2024-06-01 10:00:00", "model": "m"}
+    runs = make_log([{**base, "query": f"q{i}", "answer_text": f"{i} " * 5000} for i in range(40)])
+    path, before = new_folder(spark, "report"), kept_bytes(spark)
+    assert one(exports.export_markdown_report(runs, path))["record_count"] == 40
+    assert kept_bytes(spark, path) - before < 100_000
+    text = read_text(path)
+    assert [text.index(f"## Result {40 - i}\n\n**Query:** q{i}\n") for i in range(40)]
+
+
 def test_display(log):
     shown = {r["id"]: r["t"] for r in rows_of(results.with_parsed_sources(log).select("id", reports.display_text().alias("t")))}
     assert "Error: Timeout" in shown[2] and "Model: default" in shown[2]
