@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -59,8 +61,10 @@ def _written(rows: DataFrame, path: str, write, filters_applied: int = 0) -> Dat
     )
 
 
-def _write_csv(rows: DataFrame, path: str, partition: str | None = None) -> None:
-    writer = rows.write.mode("errorifexists").option("header", True)
+def _write_csv(
+    rows: DataFrame, path: str, partition: str | None = None, compression: str = "none"
+) -> None:
+    writer = rows.write.mode("errorifexists").option("header", True).option("compression", compression)
     writer = writer.option("escape", '"').option("emptyValue", "").option("nullValue", "")
     (writer.partitionBy(partition) if partition else writer).csv(path)
 
@@ -239,28 +243,67 @@ def group_counts(grouped: DataFrame) -> DataFrame:
     return grouped.groupBy("group_key").agg(F.count(F.lit(1)).alias("record_count"))
 
 
-def export_groups(grouped: DataFrame, path: str, format: str = "json") -> DataFrame:
+FILE_RUNS = 5_000  # a group is gathered where its files would hold fewer runs on average
+MOST_GROUPS = 200  # files that a task holds open
+
+
+def _tasks_in_place(grouped: DataFrame) -> int:
+    """How many tasks may each write a file per group, or 0 if the groups are to be gathered."""
+    runs, groups = group_counts(grouped).agg(F.sum("record_count"), F.count(F.lit(1))).first()
+    if not runs:
+        raise ValueError("no results match the filters")
+    tasks = runs // (groups * FILE_RUNS)
+    least = grouped.sparkSession.sparkContext.defaultParallelism
+    return tasks if groups <= MOST_GROUPS and tasks >= least else 0
+
+
+@contextmanager
+def _open_files(spark: SparkSession, count: int) -> Iterator[None]:
+    """Let a task write ``count`` groups side by side, so it need not sort its rows by group."""
+    setting = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, count)
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
+def export_groups(
+    grouped: DataFrame, path: str, format: str = "json", compression: str = "gzip"
+) -> DataFrame:
     """One folder per group, and the manifest: ``group_key, record_count, files, bytes``.
 
-    Rows are range-partitioned by group and id, so small groups share a task and a group
-    with most of the rows is written by many tasks.
+    Where every task has thousands of runs of each group on average, tasks write what they
+    hold, and no text is shuffled. Else rows are range-partitioned by group and id, so small
+    groups share a task and a group with most of the rows is written by many tasks.
     """
     if format not in FORMATS:
         raise ValueError(f"format must be one of {FORMATS}, got {format!r}")
     check_output(path)
-    _require_rows(grouped)
-    spread = grouped.repartitionByRange("group_key", "id").sortWithinPartitions("group_key", "id")
+    tasks = _tasks_in_place(grouped)
+    if tasks:
+        spread, files = grouped.coalesce(tasks), MOST_GROUPS
+    else:
+        spread = grouped.repartitionByRange("group_key", "id").sortWithinPartitions("group_key", "id")
+        files = 0
     if format == "csv":
         columns = [column.alias(name) for name, column in csv_columns().items()]
-        _write_csv(spread.select("group_key", *columns), path, "group_key")
+        rows = spread.select("group_key", *columns)
     elif format == "json":
-        writer = with_parsed_sources(spread).write.mode("errorifexists")
-        writer.partitionBy("group_key").json(path)
+        rows = with_parsed_sources(spread)
     else:
         block = _guarded(reports.markdown_block(full=True)).alias("value")
-        blocks = with_parsed_sources(spread).select("group_key", block)
-        writer = blocks.write.mode("errorifexists").option("lineSep", BLOCK_END)
-        writer.partitionBy("group_key").text(path)
+        rows = with_parsed_sources(spread).select("group_key", block)
+    with _open_files(grouped.sparkSession, files):
+        if format == "csv":
+            _write_csv(rows, path, "group_key", compression)
+        else:
+            writer = rows.write.mode("errorifexists").option("compression", compression)
+            if format == "json":
+                writer.partitionBy("group_key").json(path)
+            else:
+                writer.option("lineSep", BLOCK_END).partitionBy("group_key").text(path)
     return manifest(grouped.sparkSession, path, format)
 
 

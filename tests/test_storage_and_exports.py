@@ -4,6 +4,7 @@ import glob
 import json
 import os
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -60,6 +61,23 @@ def test_archive_and_delete(spark, log):
     assert health["records"] == 2 and health["archive_advised"] and health["bytes"] > 0
 
 
+def test_a_snapshot_is_written_where_its_rows_are(spark, make_log):
+    days = [f"2024-06-{1 + i * 7 % 30:02d}" for i in range(60)]
+    runs = make_log([{"query": f"q{i}", "timestamp": t, "answer_text": "x" * 100} for i, t in enumerate(days)]).repartition(3)
+    path = new_folder(spark, "snapshot")
+    assert one(retention.write_snapshot(runs, path))["records"] == 60
+    target = new_folder(spark, "target")
+    assert one(retention.restore_snapshot(spark, path, target))["records"] == 60
+    files = glob.glob(f"{path}/part-*")
+    assert len(files) == 3
+    for file in files:
+        got = [(r["timestamp"], r["id"]) for r in spark.read.parquet(file).collect()]
+        assert got == sorted(got)
+    for file in files + glob.glob(f"{target}/part-*"):
+        assert pq.ParquetFile(file).metadata.row_group(0).column(4).compression == "ZSTD"
+    assert spark.read.schema(schema.RESULTS).parquet(target).exceptAll(runs).isEmpty()
+
+
 def read_text(path):
     return "".join(open(p, encoding="utf-8").read() for p in sorted(glob.glob(f"{path}/part-*")))
 
@@ -177,6 +195,24 @@ def test_group_exports(spark, log, format):
     assert all(r["files"] >= 1 and r["bytes"] > 0 for r in got.values())
 
 
+@pytest.mark.parametrize("format", exports.FORMATS)
+def test_groups_of_a_large_log_are_written_where_their_rows_are(spark, make_log, monkeypatch, format):
+    runs = make_log([{"query": f"q{i}", "model": f"m{i % 3}", "timestamp": "2024-01-01", "answer_text": f"a\n{i}"} for i in range(90)])
+    grouped = exports.label_groups(runs.repartition(4))
+    gathered, placed = new_folder(spark, "gathered"), new_folder(spark, "placed")
+    counts = [tuple(r) for r in exports.export_groups(grouped, gathered, format).select("group_key", "record_count").collect()]
+    monkeypatch.setattr(exports, "FILE_RUNS", 1)
+    got = rows_of(exports.export_groups(grouped, placed, format))
+    assert [(r["group_key"], r["record_count"]) for r in got] == counts == [(f"m{i}", 30) for i in range(3)]
+    assert all(r["files"] > 1 for r in got), "more than one task has rows of a group"
+    there = exports.read_groups(spark, placed, format)
+    assert there.exceptAll(exports.read_groups(spark, gathered, format)).isEmpty()
+    assert all(f.endswith(".gz") for f in glob.glob(f"{placed}/*/part-*"))
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    with pytest.raises(ValueError):
+        exports.export_groups(grouped.limit(0), new_folder(spark, "none"), format)
+
+
 def test_blocks_are_told_apart_whatever_the_answers_hold(spark, make_log):
     texts = ["a\n\n---\n\nb", f"x {exports.BLOCK_END} y", "<!-- end of \\\\block -->", "---\n", "", None]
     runs = make_log([{"query": f"q{i}", "model": "m", "timestamp": "2024-01-01", "answer_text": t} for i, t in enumerate(texts)])
