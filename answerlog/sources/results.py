@@ -21,6 +21,8 @@ from answerlog.sources.commits import CommitLog, Intent
 
 FENCE = 12  # a fence is a block of 2**12 ids
 FENCES = "block long, dt date, batch long"
+FEW_IDS = 1_000_000  # so many ids are broadcast
+TASK_RUNS = 25_000  # a batch of more runs may be written by more tasks than there are cores
 ORDER = ("timestamp", "query", "model", "execution_time_seconds")
 
 
@@ -38,13 +40,14 @@ def scan_results(
     column ``dt`` of these partitions stays, and lookups with date bounds prune by it.
     ``batches`` is a further condition on the number of the ``batch``.
     """
-    table = stored(spark, path).filter(CommitLog(spark, path).visible())
-    if batches is not None:
-        table = table.filter(batches)
+    visible, table = CommitLog(spark, path).visible(), stored(spark, path)
     if start:
         table = table.filter(F.col("dt") >= F.lit(start).cast("date"))
     if end:
         table = table.filter(F.col("dt") <= F.lit(end).cast("date"))
+    table = table.filter(visible)
+    if batches is not None:
+        table = table.filter(batches)
     return table.select(*schema.RESULTS.names, *["dt"] * keep_day)
 
 
@@ -64,6 +67,7 @@ def _write(rows: DataFrame, path: str, intent: Intent) -> int:
     spark = rows.sparkSession
     daily = rows.select(*schema.RESULTS.names, F.to_date("timestamp").alias("dt"), F.lit(intent.number).alias("batch"))
     writer = daily.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer = writer.option("compression", "zstd")
     writer.partitionBy("dt", "batch").parquet(path)
     mine = stored(spark, path).filter(F.col("batch") == intent.number)
     fences = mine.groupBy(F.shiftright("id", FENCE).alias("block"), "dt").agg(F.count(F.lit(1)).alias("runs"))
@@ -106,7 +110,8 @@ def append_arrived(
 
     A batch is known by its writer and number: once committed it is not added again, and
     tried again it takes the number and the ids of the first try. Runs without an id get
-    one. Writers that bring the same ids take turns: each looks for its ids when the
+    one. The batch is read more than once and has to hold the same runs each time, as the
+    batches of a stream do; only its ids are pinned. Writers that bring the same ids take turns: each looks for its ids when the
     batches before it are committed, or given up after ``patience`` seconds.
     """
     spark = batch.sparkSession
@@ -114,23 +119,45 @@ def append_arrived(
     intent = log.earlier(writer, number)
     if intent and log.outcome(intent.number):
         return
-    arrived = pin(schema.conform(batch))
-    named = arrived.filter("id IS NOT NULL").dropDuplicates(["id"])
-    nameless = arrived.filter("id IS NULL")
-    low, high, missing = arrived.agg(
-        F.min("id"), F.max("id"), F.count_if(F.col("id").isNull())
+    arrived = schema.conform(batch)
+    named, nameless = arrived.filter("id IS NOT NULL"), arrived.filter("id IS NULL")
+    ids = pin(arrived.select("id"))
+    low, high, missing, count = ids.agg(
+        F.min("id"), F.max("id"), F.count_if(F.col("id").isNull()), F.count(F.lit(1))
     ).first()
-    if low is None and not missing:
+    if not count:
         return
     if intent is None:
         intent = log.reserve(writer, number, missing, low, high)
         log.note(intent)
     log.wait_for_earlier(intent, patience)
-    fresh = named if low is None else without_known(named, path)
+    fresh = named if low is None else _added_once(named, ids.filter("id IS NOT NULL"), path)
     if missing:
         order = [F.col(name) for name in ORDER]
         fresh = fresh.unionByName(with_dense_index(nameless.drop("id"), order, "id", intent.first).select(*fresh.columns))
-    log.commit(intent, _write(fresh, path, intent))
+    # A task writes a file per day, so a small batch is not written by many tasks.
+    tasks = max(spark.sparkContext.defaultParallelism, count // TASK_RUNS + 1)
+    log.commit(intent, _write(fresh.coalesce(tasks), path, intent))
+
+
+def _added_once(rows: DataFrame, ids: DataFrame, path: str) -> DataFrame:
+    """Runs whose id no committed batch holds, one of each id; ``ids`` are those of ``rows``.
+
+    What to leave out is found by the ids alone. Where that is little, as in most batches, it
+    is broadcast and the runs stay where they are; else they are shuffled by their ids.
+    """
+    known = pin(ids.join(known_ids(ids, path), "id", "left_semi").distinct())
+    size = known.count()
+    if size:
+        rows = rows.join(F.broadcast(known) if size <= FEW_IDS else known, "id", "left_anti")
+    repeated = pin(ids.groupBy("id").count().filter("count > 1").select("id"))
+    size = repeated.count()
+    if size > FEW_IDS:
+        return rows.dropDuplicates(["id"])
+    if not size:
+        return rows
+    again = rows.join(F.broadcast(repeated), "id", "left_semi").dropDuplicates(["id"])
+    return rows.join(F.broadcast(repeated), "id", "left_anti").unionByName(again)
 
 
 def holding_days(rows: DataFrame, path: str) -> list:

@@ -17,6 +17,7 @@ from answerlog.sources import commits, results
 from answerlog.sources.commits import CommitLog, GivenUp
 from answerlog.streaming import jobs
 from answerlog.streaming.stability import stability_stream
+from tests.test_storage_and_exports import kept_bytes
 from tests.conftest import rows_of
 from tests.test_extraction import growing_texts
 
@@ -318,3 +319,19 @@ def test_uncommitted_sums_do_not_count(spark, diverse, monkeypatch):
     monkeypatch.setattr(commits.CommitLog, "commit", lambda self, intent, rows: None)
     drain(spark, jobs.trend_stream(stream, path, "w"), "trend")
     assert jobs.trend_parts(spark, path).isEmpty()
+
+
+def test_a_batch_is_added_without_a_copy_of_its_texts(spark, make_log, monkeypatch):
+    """Whatever of the batch is known or repeated, a run is added once and no text is kept twice."""
+    runs = make_log([{"query": f"q{i}", "timestamp": f"2024-06-0{1 + i % 3}", "answer_text": f"{i} " * 5000} for i in range(40)])
+    twice = runs.unionByName(runs.filter("id <= 10"))
+    for few in (results.FEW_IDS, 0):
+        monkeypatch.setattr(results, "FEW_IDS", few)
+        path = new_folder(spark, "once")
+        results.append_arrived(runs.filter("id > 30"), path, "w", 0)
+        before = kept_bytes(spark, path)
+        results.append_arrived(twice, path, "w", 1)
+        assert kept_bytes(spark, path) - before < 100_000
+        found = results.scan_results(spark, path)
+        assert sorted(r["id"] for r in found.select("id").collect()) == list(range(1, 41))
+        assert found.exceptAll(runs).isEmpty()
