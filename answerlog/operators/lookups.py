@@ -92,15 +92,6 @@ def by_execution_time(
     return ordered if limit is None else ordered.limit(limit)
 
 
-def _gathered(found: DataFrame, limit: int | None) -> DataFrame:
-    """Shuffle the few matches of a text search before they are sorted.
-
-    A global sort samples its input first; without this every text would be searched twice.
-    A top-k needs no sample.
-    """
-    return found.repartition("id") if limit is None else found
-
-
 def search(
     results: DataFrame,
     term: str,
@@ -112,14 +103,14 @@ def search(
     """Runs whose answer, raw source text, prompt or any of these contains a term."""
     P.check_limit(limit)
     found = results.filter(P.search_term(term, search_in, case_sensitive, model))
-    return newest_first(_gathered(found, limit), limit)
+    return newest_first(found, limit)
 
 
 def query_like(results: DataFrame, pattern: str, limit: int | None = None) -> DataFrame:
     """Runs whose prompt matches a LIKE pattern."""
     P.check_limit(limit)
     found = results.filter(P.like_pattern(F.col("query"), pattern))
-    return newest_first(_gathered(found, limit), limit)
+    return newest_first(found, limit)
 
 
 def advanced_matches(

@@ -151,3 +151,10 @@ def test_parsed_sources(log):
 def test_latest_per_model_limits_groups_before_the_shuffle(log):
     plan = lookups.latest_per_model(log, "P")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_a_search_shuffles_its_matches_once(spark, diverse):
+    for found in (lookups.search(diverse, "x"), lookups.query_like(diverse, "prompt%")):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == 1 and "rangepartitioning" in plan
+        assert found.count() == 30
