@@ -155,7 +155,13 @@ def count_batch(column: pa.Array) -> pa.Array:
 
 def base_counts(text: Column) -> Column:
     """Base counts and both histograms of whole texts; a null text counts as empty."""
-    return F.arrow_udf(count_batch, FEATURES)(text)
+
+    def count(column: pa.Array) -> pa.Array:
+        found = count_batch(column)
+        textkit.give_back()
+        return found
+
+    return F.arrow_udf(count, FEATURES)(text)
 
 
 def base_failed(counts: Column, limits: Limits) -> Column:
