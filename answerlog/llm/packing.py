@@ -8,7 +8,7 @@ of the rest, so that little is padded. What is open at the end of a partition is
 over all partitions: windows, as they are, by best fit in the same bounded space.
 
 Tokenizing keeps the ids of words (see ``_Tokenizer``) in a store that is emptied when
-full; neither it nor anything else here grows with the input. A document's ids are held
+full and at the end of a task; neither it nor anything else here grows with the input. A document's ids are held
 while it is cut, as they are its text.
 
 Defined results: a null or empty text has no ids but the end id; ids depend on the text
@@ -96,6 +96,11 @@ class _Tokenizer:
             known = store[text] = self.slow(before + text)
         return known
 
+    def forget(self) -> None:
+        """Empty the stores. Workers outlive their tasks, and other stages need the memory."""
+        for store in self.after.values():
+            store.clear()
+
     def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
         store = self.after[" "]
         for text in texts:
@@ -210,6 +215,7 @@ def _pack(path: str, ranks_path: str, pattern: str, end_id: int, size: int, wind
                         found, weight = [], 0
         found += rows(list(state.held.items()), True)
         yield _batch(found)
+        tokenizer.forget()
         give_back()
 
     return pack

@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import types
 import zlib
 
 import numpy as np
@@ -86,6 +87,26 @@ def test_quality_keeps_columns_and_takes_empty_tables(messy, empty):
     assert quality_rules.quality_rules(empty).count() == 0
 
 
+def test_references_count_each_text_once(spark, monkeypatch, tmp_path):
+    """Failed texts and languages without a good one add nothing, and no text is counted twice."""
+    good = " ".join(f"the word{i}" for i in range(15))
+    rows = [(good, "en"), (good, "en"), ("too short", "en"), ("the same eight words again and again , " * 9, "en")]
+    rows += [(None, "en"), ("trop court", "fr"), (good, None), (good, "xx")]
+    seen, count = tmp_path / "seen", quality_rules.count_batch
+
+    def noted(column):
+        with open(seen, "a") as file:
+            file.write("." * len(column))
+        return count(column)
+
+    monkeypatch.setattr(quality_rules, "count_batch", noted)
+    known = quality_rules.references(spark.createDataFrame(rows, "text string, lang string"))
+    found = count(pa.array([good]))
+    want = [[2 * n for n in found.field(name)[0].as_py()] for name in ("classes", "common")]
+    assert known == {"en": want}
+    assert len(seen.read_text()) == 6
+
+
 def test_words_of_long_texts_in_pieces(monkeypatch):
     texts = pa.array(["ab cd  " * 40, None, "x" * 300 + " y", "", " q "])
     data, offsets = textkit.text_bytes(texts)
@@ -302,6 +323,17 @@ def test_packing_pads_little(spark, tokenizer):
     assert check_packed(rows, [r.text for r in docs.select("text").collect()], tokenizer, 2048) < 0.05
 
 
+def test_packing_leaves_no_words_in_its_worker(monkeypatch):
+    task = types.SimpleNamespace(partitionId=lambda: 0)
+    monkeypatch.setattr(packing, "TaskContext", types.SimpleNamespace(get=lambda: task))
+    files = byte_bpe().values()
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["some words\nof two lines", None])], ["doc_id", "text"])
+    for _ in range(2):
+        pieces = list(packing._pack(*files, 1, 2048, 64, 16)(iter([batch])))
+        assert sum(p.num_rows for p in pieces) == 2
+        assert not any(packing._tokenizer(*files).after.values())
+
+
 def test_packing_empty_and_payload(messy, empty):
     assert packing.packing(empty, **byte_bpe()).count() == 0
     digest = packing.packing(messy, **byte_bpe(), payload=F.crc32("ids").alias("ids_crc32")).collect()
