@@ -7,9 +7,9 @@ opened; a window with more than ``slack`` free places is first filled with the b
 of the rest, so that little is padded. What is open at the end of a partition is merged
 over all partitions: windows, as they are, by best fit in the same bounded space.
 
-Tokenizing keeps the ids of words (see ``_Tokenizer``) in a store that is emptied when
-full and at the end of a task; neither it nor anything else here grows with the input. A document's ids are held
-while it is cut, as they are its text.
+Tokenizing keeps the ids of words that are not plain (see ``_Tokenizer``) in a store that
+is emptied when full and at the end of a task; neither it nor anything else here grows
+with the input. A document's ids are held while it is cut, as they are its text.
 
 Defined results: a null or empty text has no ids but the end id; ids depend on the text
 alone; repeated rows are packed each on its own; a null id stays null; an empty table
@@ -37,7 +37,9 @@ from tokenizers import Tokenizer
 from answerlog.llm.textkit import give_back
 from answerlog.session import new_folder
 
-STORE = 1_200_000
+STORE = 1_200_000  # words whose ids are kept
+BLOCK = 1 << 20  # characters that are encoded at once
+ROWS = 256  # texts that are Python strings at once
 PIECES = (
     "doc_id long, start long, length long, ids binary, doc_tokens long, "
     "sequence_id long, offset long, is_open boolean"
@@ -49,12 +51,15 @@ class _Tokenizer:
 
     The byte-level pattern never joins a character that is no white space with white space
     after it. So ids of a text are those of its words, each with the one space or line end
-    before it, kept word by word. New plain words (basic and accented Latin, digits,
-    punctuation) go through the same vocabulary's ranks in one call; any text or word that
-    is not plain goes to the tokenizer itself.
+    before it. A stretch of plain words (basic and accented Latin, digits, punctuation) goes
+    through the same vocabulary's ranks in one call; each other word goes to the tokenizer
+    itself, and its ids are kept. A text with any other white space goes there as it is.
     """
 
-    PLAIN = re.compile(r"[!-;=?-~À-ÖØ-öø-ſ]+")
+    PLAIN = "!-;=?-~À-ÖØ-öø-ſ"
+    ODD = re.compile(rf"[^{PLAIN} \n]+")
+    OTHER_WHITE = re.compile(r"[^\S \n]")
+    GAP = re.compile("[ \n]")
 
     def __init__(self, path: str, ranks_path: str, pattern: str):
         self.whole = Tokenizer.from_file(path)
@@ -64,28 +69,19 @@ class _Tokenizer:
         if len(ranks) > len(vocabulary):
             raise ValueError("the ranks are not those of the tokenizer")
         self.ranks = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.spaced = np.zeros(max(ranks.values()) + 1, bool)
-        self.spaced[[i for token, i in ranks.items() if token[:1] == b" "]] = True
         self.after: dict[str, dict[str, bytes]] = {" ": {}, "\n": {}, "": {}}
 
     def slow(self, text: str) -> bytes:
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        """Put the ids of new words, each after a space, into the store."""
-        store = self.after[" "]
-        plain = [word for word in words if self.PLAIN.fullmatch(word)]
-        if plain:
-            ids = np.array(self.ranks.encode_ordinary(" " + " ".join(plain)), np.uint32)
-            heads = np.append(np.flatnonzero(self.spaced[ids]), len(ids)).tolist()
-            raw = ids.astype("<u4").tobytes()
-            if len(heads) != len(plain) + 1:
-                raise RuntimeError("a word has a space inside")
-            for word, a, b in zip(plain, heads, heads[1:]):
-                store[word] = raw[4 * a : 4 * b]
-        for word in words:
-            if word not in store:
-                store[word] = self.slow(" " + word)
+    def plain(self, text: str) -> Iterator[bytes]:
+        """Ids of plain words, of about ``BLOCK`` characters at once."""
+        at = 0
+        while at < len(text):
+            gap = self.GAP.search(text, at + BLOCK)
+            end = gap.start() if gap else len(text)
+            yield array("I", self.ranks.encode_ordinary(text[at:end])).tobytes()
+            at = end
 
     def word(self, text: str, before: str) -> bytes:
         store = self.after[before]
@@ -101,27 +97,27 @@ class _Tokenizer:
         for store in self.after.values():
             store.clear()
 
+    def parts(self, text: str) -> Iterator[bytes]:
+        """Ids of a text whose words have one space or line end between them."""
+        at = 0
+        for odd in self.ODD.finditer(text):
+            if odd.start() < at:
+                continue  # in the word just taken
+            begin = max(at, text.rfind(" ", at, odd.start()), text.rfind("\n", at, odd.start()))
+            yield from self.plain(text[at:begin])
+            gap = self.GAP.search(text, odd.end())
+            at = gap.start() if gap else len(text)
+            before = text[begin] if text[begin] in self.after else ""
+            yield self.word(text[begin + len(before) : at], before)
+        yield from self.plain(text[at:])
+
     def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
-        store = self.after[" "]
         for text in texts:
-            if len(store) > STORE:  # between texts, as a text needs all its words
-                store.clear()
-            words = text.split()
-            if not words or " ".join(words) != text.replace("\n", " ") or "<|" in text:
-                yield self.slow(text) if text else b""
-                continue
-            if len(words) < 4096 and "\n" not in text:
-                lines = [words]
+            spaced = text.replace("\n", " ")
+            if "<|" in text or "  " in spaced or spaced != spaced.strip(" ") or self.OTHER_WHITE.search(text):
+                yield self.slow(text)
             else:
-                lines = [line.split(" ") for line in text.split("\n")]
-            missing = {w for line in lines for w in line[1:] if w not in store}
-            if missing:
-                self.learn(list(missing))
-            parts = []
-            for number, line in enumerate(lines):
-                parts.append(self.word(line[0], "\n" if number else ""))
-                parts += map(store.__getitem__, line[1:])
-            yield b"".join(parts)
+                yield b"".join(self.parts(text))
 
 
 @cache
@@ -204,7 +200,7 @@ def _pack(path: str, ranks_path: str, pattern: str, end_id: int, size: int, wind
         state = _Windows(size, windows, slack, TaskContext.get().partitionId() << 33)
         found: list[tuple] = []
         weight = 0
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             texts = batch.column(1).fill_null("").to_pylist()
             for doc_id, ids in zip(batch.column(0).to_pylist(), tokenizer.encode_batch(texts)):
                 for row in place(state, doc_id, ids + end):

@@ -351,6 +351,21 @@ def test_tokenizer_store_equals_tokenizer(tokenizer):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_plain_words_need_no_store(tokenizer, monkeypatch):
+    files = byte_bpe()
+    own = packing._Tokenizer(files["path"], files["ranks_path"], files["pattern"])
+    plain = ["", "one", "Straße 12, isn't\nit? " + "a" * 50 + "\nlast", "w1 w2 w3 w4"]
+    odd = ["日本 語", "x „y“\n„z“ é w", "日", "a日b日c d", "two words\n日本\n日本 end"]
+    for block in (1 << 20, 0, 7):
+        monkeypatch.setattr(packing, "BLOCK", block, raising=False)
+        for texts, kept in ((plain, False), (odd, True)):
+            for text, ids in zip(texts, own.encode_batch(texts), strict=True):
+                assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+            assert any(own.after.values()) == kept
+        assert own.after[" "].keys() == {"語", "„y“"}
+        own.forget()
+
+
 # classifier
 
 
