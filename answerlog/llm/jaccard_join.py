@@ -47,6 +47,7 @@ from pyspark.sql import Window
 from answerlog.llm.components import components
 from answerlog.llm.steps import Steps
 from answerlog.llm.textkit import lean, mix, shingle_sets
+from answerlog.session import small_batches
 
 LEAF = 16
 PART = 6000  # most rows in one task's block
@@ -473,6 +474,7 @@ class JaccardJoin:
 
     def __init__(self, docs: DataFrame, doc_id: str, text: str, width: int, percent: int):
         self.spark: SparkSession = docs.sparkSession
+        small_batches(self.spark)
         self.docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
         self.width, self.percent = width, percent
         self.saved = Steps(self.spark, "jaccard").saved

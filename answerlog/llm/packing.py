@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from answerlog.llm.textkit import give_back
-from answerlog.session import new_folder
+from answerlog.session import new_folder, small_batches
 
 STORE = 1_200_000  # words whose ids are kept
 BLOCK = 1 << 20  # characters that are encoded at once
@@ -264,6 +264,7 @@ def packing(
     name. The pieces are written to the shared folder once, as merging needs them again.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     kept = F.col("ids") if payload is None else payload
     packed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
         _pack(path, ranks_path, pattern, end_id, size, windows, slack), PIECES

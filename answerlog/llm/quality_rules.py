@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from answerlog.llm import textkit
+from answerlog.session import small_batches
 
 # Frequent function words of the languages (ASCII spellings only).
 COMMON_WORDS = {
@@ -230,6 +231,7 @@ def quality_rules(
 ) -> DataFrame:
     """``docs`` with a struct column ``into``: the base counts, ``base_failed``, the two
     distances and ``kept``. An input column of that name is replaced."""
+    small_batches(docs.sparkSession)
     known = references(docs, text, lang, limits)
     c = F.col("__llm_counts")
     far = (c["n_chars"] >= limits.min_chars) & (c["class_distance"] > limits.class_distance)

@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from answerlog.llm.steps import Steps
 from answerlog.llm.textkit import PART, document_blocks, give_back, lean, mix, powers, text_bytes, word_bounds, span_hashes
+from answerlog.session import small_batches
 
 Rule = tuple[int, int, int]  # least, words, longest
 BROADCAST = 4_000_000
@@ -202,6 +203,7 @@ def substring_dedup(
     """``docs`` with a struct ``into``: the remaining ``text``, ``n_removed`` and
     ``n_sentences``. An input column of that name is replaced."""
     spark = docs.sparkSession
+    small_batches(spark)
     saved = Steps(spark, "spans").saved
     rule = (least, words, longest)
     doc = F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1))

@@ -16,7 +16,7 @@ import pyarrow as pa
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 BLOCK = 4 << 20  # more than this is not worked on at once
-PART = 1 << 20  # where many arrays of a block live side by side
+PART = 1 << 17  # where many arrays of a block live side by side
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _SHINGLE = np.array(
@@ -72,7 +72,7 @@ def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..size of the base modulo 2**64 and of its inverse, kept for blocks."""
     kept = _POWERS.get(0)
     if kept is None or len(kept[0]) <= size:
-        size = max(size, PART)
+        size = max(PART, size + size // 8 if size <= BLOCK else size)  # so growing is rare
         up, down = np.empty(size + 1, np.uint64), np.empty(size + 1, np.uint64)
         up[0] = down[0] = 1
         up[1:], down[1:] = np.uint64(_BASE), np.uint64(_BASE_INVERSE)

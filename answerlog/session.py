@@ -30,6 +30,14 @@ def ship_package(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand rows to Python workers in batches of about 4 MB, as texts may be long. Spark's 64 MB
+    are held several times over, in the executor and in each worker. A setting of the application stays."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.sparkContext.getConf().contains(setting):
+        spark.conf.set(setting, "4m")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, taken from ``spark.checkpoint.dir``.
 

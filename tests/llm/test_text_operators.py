@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import types
 import zlib
 
@@ -20,6 +21,7 @@ from tokenizers import Tokenizer
 
 from answerlog.llm import classifier, packing, quality_rules, secret_scans, sentencepiece_codec, textkit
 from answerlog.llm.queries import byte_bpe, hash_fifth
+from answerlog.session import small_batches
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -275,6 +277,34 @@ def test_codec_on_tables(messy, messy_rows, empty):
     assert sentencepiece_codec.sentencepiece_codec(empty, MODEL).count() == 0
 
 
+# memory of the workers
+
+
+def test_texts_reach_workers_in_small_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["size"])
+
+    small_batches(spark)
+    docs = spark.range(0, 24, 1, 1).select(F.repeat(F.lit("x"), 1_000_000).alias("text"))
+    found = [r["size"] for r in docs.mapInArrow(sizes, "size long").collect()]
+    assert sum(found) >= 24_000_000 and max(found) < 6_000_000
+
+
+def test_counting_holds_small_blocks(monkeypatch):
+    rng = random.Random(8)
+    text = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(1000))
+    texts = pa.array([text] * 800)
+    monkeypatch.setattr(textkit, "_POWERS", {})
+    tracemalloc.start()
+    try:
+        found = quality_rules.count_batch(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found.field("n_words").to_pylist() == [1000] * 800 and peak < 24_000_000
+
+
 # packing
 
 
