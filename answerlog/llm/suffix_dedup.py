@@ -33,10 +33,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answerlog.llm.steps import Steps
-from answerlog.llm.textkit import document_blocks, mix, powers, text_bytes, _BYTES
+from answerlog.llm.textkit import document_blocks, lean, mix, powers, text_bytes, _BYTES
+from answerlog.session import small_batches
 
-SHARD = 4 << 20
+SHARD = 1 << 20  # sorting it holds 50 to 95 times as much
 MOST_WINDOWS = 256
+MOST_ROWS = 4096  # windows that are searched side by side
 
 
 def least_hashes(data: np.ndarray, gram: int, windows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -233,28 +235,18 @@ class Shard:
         wanted = np.zeros(len(other.data), bool)
         wanted[theirs] = True
         order = other.order[wanted[other.order]]
-        low, high = np.zeros(len(mine), np.int64), np.full(len(mine), len(order))
-        rows = self.data[mine[:, None] + span]
-        for _ in range(int(np.ceil(np.log2(len(order) + 1))) + 1):
-            open_ = np.flatnonzero(low < high)
-            if not len(open_):
-                break
-            middle = (low[open_] + high[open_]) // 2
-            there = other.data[order[middle][:, None] + span]
-            differ = there != rows[open_]
-            place = differ.argmax(axis=1)
-            each = np.arange(len(open_))
-            less = differ[each, place] & (there[each, place] < rows[open_][each, place])
-            low[open_[less]] = middle[less] + 1
-            high[open_[~less]] = middle[~less]
-        at = np.minimum(low, len(order) - 1)
-        equal = (other.data[order[at][:, None] + span] == rows).all(axis=1)
-        self.repeated[mine[equal]] = True
         # All equal windows of the other shard follow each other in its order.
         found = np.zeros(len(order) + 1, np.int64)
-        upper = _upper(other, order, rows, low, span)
-        np.add.at(found, low[equal], 1)
-        np.add.at(found, upper[equal], -1)
+        for at in range(0, len(mine), MOST_ROWS):
+            part = mine[at : at + MOST_ROWS]
+            rows = self.data[part[:, None] + span]
+            low = _lower(other, order, rows, span)
+            place = order[np.minimum(low, len(order) - 1)]
+            equal = (other.data[place[:, None] + span] == rows).all(axis=1)
+            self.repeated[part[equal]] = True
+            upper = _upper(other, order, rows[equal], low[equal], span)
+            np.add.at(found, low[equal], 1)
+            np.add.at(found, upper, -1)
         other.repeated[order[np.cumsum(found[:-1]) > 0]] = True
 
     def intervals(self, number: int) -> Iterator[tuple[int, int]]:
@@ -265,6 +257,23 @@ class Shard:
         yield from zip(np.flatnonzero(steps == 1).tolist(), (np.flatnonzero(steps == -1) - 1).tolist())
 
 
+def _lower(other: Shard, order: np.ndarray, rows: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """First place whose window is not less than the row, by binary search."""
+    low, high = np.zeros(len(rows), np.int64), np.full(len(rows), len(order))
+    while True:
+        open_ = np.flatnonzero(low < high)
+        if not len(open_):
+            return low
+        middle = (low[open_] + high[open_]) // 2
+        there = other.data[order[middle][:, None] + span]
+        differ = there != rows[open_]
+        place = differ.argmax(axis=1)
+        each = np.arange(len(open_))
+        less = differ[each, place] & (there[each, place] < rows[open_][each, place])
+        low[open_[less]] = middle[less] + 1
+        high[open_[~less]] = middle[~less]
+
+
 def _upper(other: Shard, order: np.ndarray, rows: np.ndarray, low: np.ndarray, span: np.ndarray) -> np.ndarray:
     """First place after ``low`` whose window is greater than the row, by binary search."""
     low, high = low.copy(), np.full(len(low), len(order))
@@ -288,7 +297,7 @@ def _shards(length: int, size: int):
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         weight = 0
-        waiting: list[tuple[Shard, list[tuple]]] = []  # shards that end inside a hash
+        waiting: list[tuple[Shard, list[tuple]]] = []  # shards that end inside a hash, hashes and names
 
         def build() -> None:
             shard = Shard([row[2] for row in rows], length)
@@ -300,7 +309,7 @@ def _shards(length: int, size: int):
                     if names[-1] == hashes[0]:
                         theirs = range(len(names) - _count(names[::-1], hashes[0]), len(names))
                         shard.merge(other, mine, other.windows(theirs))
-            waiting.append((shard, list(rows)))
+            waiting.append((shard, [row[:2] for row in rows]))
 
         def emit(keep_last: bool) -> pa.RecordBatch:
             found = []
@@ -421,13 +430,16 @@ def suffix_dedup(
     ``payload`` is an expression over ``kept`` that takes its place, under its own name, so
     that texts need not be moved to the documents."""
     spark = docs.sparkSession
+    small_batches(spark)
     saved = Steps(spark, "suffixes").saved
     payload = F.col("kept") if payload is None else payload
     body = F.coalesce(F.col(text).cast("binary"), F.lit("").cast("binary"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("kept"))
     rows = rows.withColumns({"key": F.unhex(F.md5("kept")), "n_bytes": F.octet_length("kept").cast("long")})
     long = rows.filter(F.col("n_bytes") >= length).select("key", F.col("kept").alias("text"))
-    pieces = long.mapInArrow(_pieces(length, gram), "hash long, key binary, first long, count int, twice boolean")
+    pieces = long.mapInArrow(
+        lean(_pieces(length, gram)), "hash long, key binary, first long, count int, twice boolean"
+    )
     pieces = saved(pieces, "pieces")
     # The same text may come from several tasks; a hash in equal pieces of it only is alone.
     place = F.xxhash64("key", "first")
@@ -442,7 +454,7 @@ def suffix_dedup(
     candidates = saved(texts.join(wanted, "key").select("key", "text", "pieces"), "candidates")
     snippets = saved(
         candidates.mapInArrow(
-            _snippets(length), "hash long, key binary, first long, name binary, snippet binary"
+            lean(_snippets(length)), "hash long, key binary, first long, name binary, snippet binary"
         ),
         "snippets",
     )
@@ -457,9 +469,9 @@ def suffix_dedup(
     few = told.filter("NOT crowded").select("hash", "name", "snippet")
     count = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = few.repartition(count, "hash").sortWithinPartitions("hash", "name")
-    by_shard = sorted_.mapInArrow(_shards(length, shard), "hash long, name binary, a int, b int")
+    by_shard = sorted_.mapInArrow(lean(_shards(length, shard)), "hash long, name binary, a int, b int")
     single = told.filter("crowded").select("hash", "name", "snippet").mapInArrow(
-        _single_windows(length), "hash long, name binary, window binary, a int"
+        lean(_single_windows(length)), "hash long, name binary, window binary, a int"
     )
     single = saved(single, "single")
     twice = single.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window")
@@ -470,7 +482,7 @@ def suffix_dedup(
         .alias("spans")
     )
     changed = candidates.select("key", "text").join(spans, "key").select("key", "text", "spans")
-    kept = changed.mapInArrow(_keep(length), KEPT).select("key", "n_removed", "n_spans", payload)
+    kept = changed.mapInArrow(lean(_keep(length)), KEPT).select("key", "n_removed", "n_spans", payload)
     kept = saved(kept, "kept")
     name = kept.columns[-1]
     copies = rows.filter(F.col("n_bytes") >= length).groupBy("key").agg(F.count("*").alias("copies")).filter("copies > 1")

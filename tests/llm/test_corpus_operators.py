@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -197,6 +198,48 @@ def test_suffix_array_and_common_prefixes(alphabet):
         assert shared[place] == same
 
 
+def peak_of(work):
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_shards_hold_little_memory():
+    rng = np.random.default_rng(5)
+    bodies = [rng.integers(97, 123, 300, np.uint8).tobytes() for _ in range(16_000)]
+    bodies[15_999] = bodies[15_998][:250] + bodies[15_999][:50]
+    rows = [(i // 2, i.to_bytes(4, "big"), body) for i, body in enumerate(bodies)]
+    kinds = {"hash": pa.int64(), "name": pa.binary(), "snippet": pa.binary()}
+
+    def batches():
+        for at in range(0, len(rows), 1000):
+            columns = zip(*rows[at : at + 1000])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values())], list(kinds))
+
+    shards = suffix_dedup._shards(200, suffix_dedup.SHARD)
+    found, peak = peak_of(lambda: [row for batch in shards(batches()) for row in batch.to_pylist()])
+    name = [i.to_bytes(4, "big") for i in (15_998, 15_999)]
+    assert [(r["hash"], r["name"], r["a"], r["b"]) for r in found] == [(7999, n, 0, 50) for n in name]
+    assert peak < 150_000_000
+
+
+def test_shards_merge_in_blocks_of_windows():
+    rng = np.random.default_rng(6)
+    bodies = [rng.integers(97, 99, 455, np.uint8).tobytes() for _ in range(200)]
+    for i in range(0, 100, 3):
+        bodies[100 + i] = bodies[100 + i][:100] + bodies[i][:300] + bodies[100 + i][:55]
+    counts = collections.Counter(x[a : a + 200] for x in bodies for a in range(256))
+    left, right = suffix_dedup.Shard(bodies[:100], 200), suffix_dedup.Shard(bodies[100:], 200)
+    mine, theirs = right.windows(range(100)), left.windows(range(100))
+    _, peak = peak_of(lambda: right.merge(left, mine, theirs))
+    assert len(mine) == 25_600 and peak < 25_000_000
+    for i, body in enumerate(bodies):
+        marked = {a for first, last in (left, right)[i // 100].intervals(i % 100) for a in range(first, last + 1)}
+        assert marked == {a for a in range(256) if counts[body[a : a + 200]] > 1}
+
+
 # substring dedup
 
 
