@@ -83,13 +83,11 @@ def with_dense_index(df: DataFrame, order: list[Column], name: str, start: int =
     return _counted_on(rows, rows.groupBy("_part").count(), name, start)
 
 
-def _counted_on(
-    rows: DataFrame, sizes: DataFrame, name: str, start: int, descending: bool = False
-) -> DataFrame:
+def _counted_on(rows: DataFrame, sizes: DataFrame, name: str, start: int) -> DataFrame:
     """Turn the place of a row in its partition into one among all: the counts of the ``_part``
     before its own are added."""
     offsets, total = [], start
-    for row in sizes.orderBy(F.desc("_part") if descending else F.asc("_part")).collect():
+    for row in sizes.orderBy("_part").collect():
         offsets.append((row["_part"], total))
         total += row["count"]
     table = rows.sparkSession.createDataFrame(offsets, "_part long, _offset long")
@@ -104,32 +102,47 @@ def _counted_on(
 def with_number(
     df: DataFrame, by: list[str], name: str, start: int = 0, descending: bool = False
 ) -> DataFrame:
-    """Number wide rows in the order of some columns, without a copy of them on disk.
+    """Number wide rows in the order of some columns, without moving them.
 
-    Only the columns ``by`` are pinned. Their ranges are fixed and counted first, so the rows
-    themselves are shuffled once, by range. ``df`` has to give the same rows each time it is
-    read; else use :func:`with_dense_index`, which pins the rows. Equal keys get their numbers
-    in any order, which may differ between two readings. NULL is smaller than any value.
+    See :func:`numbered`. Equal keys get their numbers in any order, which may differ between
+    two readings. NULL is smaller than any value.
     """
-    key = F.struct(*by)
-    keys = pin(df.select(key.alias("_key")).repartitionByRange("_key"))
-    lows = keys.groupBy(F.spark_partition_id().alias("at")).agg(F.min("_key").alias("low"))
-    bounds = lows.agg(F.sort_array(F.collect_list("low")).alias("_bounds"))
-    count = max(lows.count(), 1)
+    return numbered(df, by, name, start, descending)[0]
 
-    def parted(rows: DataFrame, of: Column) -> DataFrame:
-        below = F.size(F.filter("_bounds", lambda low: low <= of)) - 1
-        return rows.crossJoin(F.broadcast(bounds)).withColumn("_part", below).drop("_bounds")
 
-    sizes = parted(keys, F.col("_key")).groupBy("_part").count()
+def numbered(
+    df: DataFrame, by: list[str], name: str, start: int = 0, descending: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """The rows with their numbers, and the keys alone: ``*by, name``, pinned.
+
+    The plan of ``df`` is fixed, and its rows are sorted in the partitions they are in. The
+    columns ``by`` and the partition of each row are shuffled and numbered; each partition gets
+    its numbers back, which in ascending order are those of its sorted rows. ``df`` has to give
+    the same rows each time it is read, else an error is raised; if it does not, use
+    :func:`with_dense_index`, which pins the rows.
+    """
     order = [F.desc(column) if descending else F.asc(column) for column in by]
-    rows = (
-        parted(df, key)
-        .repartitionById(count, F.col("_part"))
-        .sortWithinPartitions(*order)
-        .withColumn("_place", F.monotonically_increasing_id())
+    spark, ordered = df.sparkSession, df.sortWithinPartitions(*order)
+    rows, schema = ordered._jdf.toJavaRDD(), ordered._jdf.schema()
+    encoders = spark._jvm.org.apache.spark.sql.Encoders
+    fixed = DataFrame(spark._jsparkSession.createDataset(rows.rdd(), encoders.row(schema)), spark)
+    keys = fixed.select(*by, F.spark_partition_id().alias("_at"))
+    keys = with_dense_index(keys, [*order, F.asc("_at")], name, start)
+    if keys.isEmpty():
+        return fixed.withColumn(name, F.lit(None).cast("long")), keys.drop("_at")
+    numbers = (
+        keys.select("_at", name, F.xxhash64(*by).alias("_key"))
+        .repartitionById(rows.getNumPartitions(), F.col("_at"))
+        .sortWithinPartitions(name)
+        .drop("_at")
     )
-    return _counted_on(rows, sizes, name, start, descending)
+    both = encoders.tuple(encoders.row(schema), encoders.row(numbers._jdf.schema()))
+    pairs = rows.zip(numbers._jdf.toJavaRDD()).rdd()
+    pairs = DataFrame(spark._jsparkSession.createDataset(pairs, both).toDF(), spark)
+    same = F.xxhash64(*[F.col("_1")[column] for column in by]) == F.col("_2._key")
+    changed = F.raise_error(F.lit("rows to be numbered changed between two readings"))
+    number = F.when(same, F.col("_2")[name]).otherwise(changed)
+    return pairs.select("_1.*", number.alias(name)), keys.drop("_at")
 
 
 def join_groups(

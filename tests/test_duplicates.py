@@ -89,6 +89,25 @@ def test_numbers_of_wide_rows(spark):
     assert with_number(odd.limit(0), ["a"], "n").collect() == []
 
 
+def test_numbered_rows_stay_where_they_are(spark):
+    rows = spark.range(2000).select((F.col("id") * 7919 % 1000).alias("v"), (F.col("id") % 70).alias("w"))
+    rows = rows.repartition(5, "w").withColumn("at", F.spark_partition_id())
+    texts = spark.range(70).select(F.col("id").alias("w"), F.repeat(F.lit("x"), 9).alias("text"))
+    got = with_number(rows.join(texts, "w", "left"), ["v", "w"], "n", 1)
+    got = got.withColumn("now", F.spark_partition_id()).collect()
+    assert all(r["at"] == r["now"] for r in got) and len({r["now"] for r in got}) > 1
+    got = sorted(got, key=lambda r: r["n"])
+    assert [r["n"] for r in got] == list(range(1, 2001))
+    assert [(r["v"], r["w"]) for r in got] == sorted((r["v"], r["w"]) for r in got)
+
+
+def test_rows_that_change_are_not_numbered(spark):
+    chance = F.udf(lambda: random.random(), "double").asNondeterministic()
+    changing = with_number(spark.range(100).withColumn("v", chance()), ["v"], "n")
+    with pytest.raises(Exception, match="changed between two readings"):
+        changing.collect()
+
+
 # -- near duplicates -------------------------------------------------------------------
 
 
