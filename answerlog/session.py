@@ -5,13 +5,19 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 _SHIPPED: set[str] = set()
+_LOCK = threading.Lock()
+_OPEN: WeakKeyDictionary[SparkSession, tuple[str, list[int]]] = WeakKeyDictionary()
 
 
 def ship_package(spark: SparkSession) -> SparkSession:
@@ -66,6 +72,25 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextmanager
+def open_files(spark: SparkSession, count: int) -> Iterator[None]:
+    """Let a task write ``count`` partitions of a table side by side, so it need not sort its rows
+    by them. Of writers in several threads the largest count holds until the last has ended."""
+    setting = "spark.sql.maxConcurrentOutputFileWriters"
+    with _LOCK:
+        before, counts = _OPEN.setdefault(spark, (spark.conf.get(setting), []))
+        counts.append(count)
+        spark.conf.set(setting, max(counts))
+    try:
+        yield
+    finally:
+        with _LOCK:
+            counts.remove(count)
+            spark.conf.set(setting, max(counts) if counts else before)
+            if not counts:
+                del _OPEN[spark]
+
+
 def with_dense_index(df: DataFrame, order: list[Column], name: str, start: int = 0) -> DataFrame:
     """Number rows ``start, start+1, ...`` in ``order`` without a global window.
 

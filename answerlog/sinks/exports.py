@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +20,7 @@ from answerlog.functions.scalars import (
 from answerlog.operators import lookups
 from answerlog.sinks import reports
 from answerlog.sources.results import with_parsed_sources
-from answerlog.session import with_number
+from answerlog.session import open_files, with_number
 
 FORMATS = ("json", "csv", "md")
 
@@ -257,18 +255,6 @@ def _tasks_in_place(grouped: DataFrame) -> int:
     return tasks if groups <= MOST_GROUPS and tasks >= least else 0
 
 
-@contextmanager
-def _open_files(spark: SparkSession, count: int) -> Iterator[None]:
-    """Let a task write ``count`` groups side by side, so it need not sort its rows by group."""
-    setting = "spark.sql.maxConcurrentOutputFileWriters"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, count)
-    try:
-        yield
-    finally:
-        spark.conf.set(setting, before)
-
-
 def export_groups(
     grouped: DataFrame, path: str, format: str = "json", compression: str = "gzip"
 ) -> DataFrame:
@@ -295,7 +281,7 @@ def export_groups(
     else:
         block = _guarded(reports.markdown_block(full=True)).alias("value")
         rows = with_parsed_sources(spread).select("group_key", block)
-    with _open_files(grouped.sparkSession, files):
+    with open_files(grouped.sparkSession, files):
         if format == "csv":
             _write_csv(rows, path, "group_key", compression)
         else:

@@ -16,13 +16,16 @@ from pyspark.sql import types as T
 
 from answerlog import schema
 from answerlog.functions.scalars import parse_sources
-from answerlog.session import pin, with_dense_index
+from answerlog.session import numbered, open_files, pin, with_dense_index
 from answerlog.sources.commits import CommitLog, Intent
 
 FENCE = 12  # a fence is a block of 2**12 ids
 FENCES = "block long, dt date, batch long"
 FEW_IDS = 1_000_000  # so many ids are broadcast
 TASK_RUNS = 25_000  # a batch of more runs may be written by more tasks than there are cores
+FILE_RUNS = 5_000  # an appended batch is gathered by day where its files would hold fewer runs on average
+MOST_RUNS = 100_000  # of a task that holds the files of its days open, some 100 MB of answers in zstd
+MOST_DAYS = 200  # files that a task holds open
 ORDER = ("timestamp", "query", "model", "execution_time_seconds")
 
 
@@ -85,22 +88,43 @@ def write_runs(rows: DataFrame, path: str) -> None:
 
 
 def append_results(spark: SparkSession, batch: DataFrame, path: str) -> DataFrame:
-    """Add a batch of runs and return it with its new ids, which go on after the largest id.
+    """Add a batch of runs and return it, as the log holds it, with its new ids, which go on
+    after the largest id.
 
-    Runs are numbered in the order of their time. That order also keeps the runs of a day
-    together, so the daily partitions are written without another shuffle. The ids are a
-    block reserved beforehand, so writers append side by side.
+    Runs are numbered in the order of their time, and only the columns of that order are
+    shuffled for it. The ids are a block reserved beforehand, so writers append side by side.
+    The batch is read more than once and has to hold the same runs each time.
     """
-    order = [F.col(name) for name in ORDER]
-    placed = with_dense_index(schema.conform(batch).drop("id"), order, "_number")
-    count = placed.count()
+    rows, keys = numbered(schema.conform(batch).drop("id"), list(ORDER), "_number")
+    rows = rows.withColumn("id", F.col("_number"))
+    count, days = keys.agg(F.count(F.lit(1)), F.countDistinct(F.to_date("timestamp"))).first()
     if not count:
-        return placed.withColumn("id", F.col("_number")).select(*schema.RESULTS.names)
+        return rows.select(*schema.RESULTS.names)
     log = CommitLog(spark, path)
     intent = log.reserve(f"append-{uuid.uuid4().hex}", 0, count)
-    rows = placed.withColumn("id", F.col("_number") + F.lit(intent.first)).select(*schema.RESULTS.names)
-    log.commit(intent, _write(rows, path, intent))
-    return rows
+    rows = rows.withColumn("id", F.col("_number") + F.lit(intent.first))
+    tasks = _tasks_in_place(spark, count, days)
+    if tasks:
+        with open_files(spark, MOST_DAYS):
+            size = _write(rows.coalesce(tasks), path, intent)
+    else:
+        size = _write(_gathered(rows, count), path, intent)
+    log.commit(intent, size)
+    return scan_results(spark, path, batches=F.col("batch") == F.lit(intent.number))
+
+
+def _tasks_in_place(spark: SparkSession, count: int, days: int) -> int:
+    """How many tasks may each write a file per day, or 0 if the runs are to be gathered."""
+    tasks = count // (days * FILE_RUNS)
+    fits = days <= MOST_DAYS and tasks >= spark.sparkContext.defaultParallelism
+    return max(tasks, count // MOST_RUNS) if fits else 0
+
+
+def _gathered(rows: DataFrame, count: int) -> DataFrame:
+    """Rows with a ``_number`` from 0 on in as few tasks as can hold them, those of a day together."""
+    tasks = count // TASK_RUNS + 1
+    task = F.floor(F.col("_number") * F.lit(tasks) / F.lit(count)).cast("int")
+    return rows.repartitionById(tasks, F.least(task, F.lit(tasks - 1)))
 
 
 def append_arrived(

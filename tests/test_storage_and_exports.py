@@ -3,6 +3,7 @@ from __future__ import annotations
 import glob
 import json
 import os
+import random
 
 import pyarrow.parquet as pq
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql.utils import AnalysisException
 
 from answerlog import schema
 from answerlog.operators import retention
-from answerlog.session import new_folder, shared_dir
+from answerlog.session import new_folder, open_files, shared_dir
 from answerlog.sinks import exports, reports
 from answerlog.sources import prompts, results
 from tests.conftest import one, rows_of
@@ -42,6 +43,33 @@ def test_append_goes_on_with_ids(spark, log):
     assert "PartitionFilters: [isnotnull(dt" in plan._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("file_runs, tasks", [(1, 5), (1_000, 1)])
+def test_an_appended_batch_keeps_its_texts_where_they_are(spark, make_log, monkeypatch, tmp_path, file_runs, tasks):
+    monkeypatch.setattr(results, "FILE_RUNS", file_runs)
+    chance = random.Random(5)
+    texts = [chance.randbytes(25_000).hex() for _ in range(40)]
+    batch = make_log(
+        [{"query": f"q{i % 3}", "timestamp": f"2024-06-0{1 + i * 7 % 2} 08:{i * 11 % 40:02d}:00", "answer_text": t} for i, t in enumerate(texts)]
+    ).repartition(5, "id")
+    path, before = str(tmp_path / "log"), exports.folder_bytes(spark, shared_dir(spark))
+    got = rows_of(results.append_results(spark, batch, path))
+    assert exports.folder_bytes(spark, shared_dir(spark)) - before < 500_000  # the texts have 2 MB
+    assert len(glob.glob(f"{path}/dt=*/batch=*/part-*")) == 2 * tasks
+    order = sorted(rows_of(batch), key=lambda r: (r["timestamp"], r["query"]))
+    assert {r["id"]: r["answer_text"] for r in got} == {i: r["answer_text"] for i, r in enumerate(order, 1)}
+    assert rows_of(results.scan_results(spark, path).orderBy("id")) == sorted(got, key=lambda r: r["id"])
+
+
+def test_open_files_of_writers_side_by_side(spark):
+    setting = "spark.sql.maxConcurrentOutputFileWriters"
+    before, seen = spark.conf.get(setting), []
+    one, two = open_files(spark, 7), open_files(spark, 5)
+    for step in (one.__enter__, two.__enter__, lambda: one.__exit__(None, None, None), lambda: two.__exit__(None, None, None)):
+        step()
+        seen.append(spark.conf.get(setting))
+    assert seen == ["7", "7", "5", before]
+
+
 def test_archive_and_delete(spark, log):
     old, rest = retention.archive_split(log, "2025-01-01")
     assert (old.count(), rest.count()) == (2, 1)
