@@ -106,6 +106,20 @@ def test_a_snapshot_is_written_where_its_rows_are(spark, make_log):
     assert spark.read.schema(schema.RESULTS).parquet(target).exceptAll(runs).isEmpty()
 
 
+def test_a_snapshot_is_packed_more_tightly_than_the_log(spark, make_log):
+    chance = random.Random(3)
+    words = ["".join(chance.choices("abcdefghiklmnoprstu", k=chance.randint(2, 9))) for _ in range(500)]
+    usual_words = [1 / place for place in range(1, 501)]
+    runs = make_log([{"timestamp": "2024-06-01", "answer_text": " ".join(chance.choices(words, usual_words, k=400))} for _ in range(600)]).coalesce(1)
+    usual, path, target = (new_folder(spark, name) for name in ("usual", "snapshot", "target"))
+    runs.write.option("compression", "zstd").parquet(usual)
+    retention.write_snapshot(runs, path)
+    retention.restore_snapshot(spark, path, target)
+    for copy in (path, target):
+        assert exports.folder_bytes(spark, copy) < 0.99 * exports.folder_bytes(spark, usual)
+        assert spark.read.schema(schema.RESULTS).parquet(copy).exceptAll(runs).isEmpty()
+
+
 def read_text(path):
     return "".join(open(p, encoding="utf-8").read() for p in sorted(glob.glob(f"{path}/part-*")))
 
