@@ -78,7 +78,7 @@ class _Tokenizer:
         """Ids of plain words, of about ``BLOCK`` characters at once."""
         at = 0
         while at < len(text):
-            gap = self.GAP.search(text, at + BLOCK)
+            gap = self.GAP.search(text, at + max(BLOCK, 1))
             end = gap.start() if gap else len(text)
             yield array("I", self.ranks.encode_ordinary(text[at:end])).tobytes()
             at = end
